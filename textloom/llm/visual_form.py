@@ -118,8 +118,8 @@ class Transducer:
         tail = f"[{esc(marks)}{esc(hidden)}]"
         longer = "|".join(re.escape(s) for s in sorted((s for s in table if len(s) > 1), key=len, reverse=True))
         jamo = "[ᄀ-ᅞ][ᅡ-ᆧ][ᆨ-ᇿ]?"
-        # longest first: listed sequences, syllables of jamo, a changed base with its tail, any base with a tail, a lone tail
-        self.pattern = re.compile(f"(?:{longer}){tail}*|{jamo}{tail}*|[{esc(changed)}]{tail}*|(?s:.){tail}+", re.UNICODE)
+        # longest first: listed sequences, syllables of jamo, a changed base with its tail, any base with a tail, invisible characters before any base
+        self.pattern = re.compile(f"(?:{longer}){tail}*|{jamo}{tail}*|[{esc(changed)}]{tail}*|(?s:.){tail}+|[{esc(hidden)}]+", re.UNICODE)
 
     def _cluster(self, cluster: str) -> str:
         """Rewrite one grapheme cluster."""
