@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.distinctiveness import distinctiveness, leading_terms
+from textloom.llm.language import fit, labelled_sample, paragraph_languages, relabelled
 from textloom.llm.term_counts import mark, term_counts
 from textloom.llm.visual_form import visual_form
 from textloom.runtime import materialize, read_table
@@ -159,6 +160,30 @@ def p4_terms(spark: SparkSession, folder: str) -> DataFrame:
     return forms.groupBy("form").agg(F.count("*").alias("terms")).where("terms > 1")
 
 
+# ----------------------------------------------------------- 5: language labels
+
+
+def _paragraphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Current records (seq, content, lang) as a table, and their paragraphs with languages."""
+    rows = materialize(current_records(read_table(spark, folder, "records"), "content", "lang").select("seq", "content", "lang"), "records")
+    model = fit(*labelled_sample(rows, "content", "lang", "seq"))
+    return rows, paragraph_languages(rows.where(F.length("content") > 0), "seq", "content", model)
+
+
+@query()
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of each paragraph of the records whose label is missing or wrong or that mix languages."""
+    rows, paras = _paragraphs(spark, folder)
+    paras = materialize(paras.select("seq", "para", "lang"), "paragraphs")
+    return relabelled(paras, rows.select("seq", F.col("lang").alias("label")), "seq", "label")
+
+
+@query()
+def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of every paragraph, and of the whole content, of every current record."""
+    return _paragraphs(spark, folder)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
