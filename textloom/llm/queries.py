@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.distinctiveness import distinctiveness, leading_terms
 from textloom.llm.language import fit, labelled_sample, paragraph_languages, relabelled
+from textloom.llm.near_duplicates import bags_of_terms, groups, record_pairs, similar_pairs
 from textloom.llm.term_counts import mark, term_counts
 from textloom.llm.visual_form import visual_form
 from textloom.runtime import materialize, read_table
@@ -41,6 +42,33 @@ def _n_records(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "stats").agg(F.coalesce(F.sum("document_count"), F.lit(0)).alias("n"))
 
 
+# ------------------------------------------------------------ 1: near duplicates
+
+#: Terms in both contents are at least this share of the terms in either.
+SIMILARITY = (7, 10)
+
+
+def _content_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    content = read_table(spark, folder, "tokens").where(F.col("field") == "content")
+    bags = bags_of_terms(content, ["shard", "id"], "term")
+    current = current_records(read_table(spark, folder, "records"))
+    return similar_pairs(materialize(bags.join(current, ["shard", "id"]).select("seq", "items"), "bags"), "seq", SIMILARITY)
+
+
+@query()
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of current records whose contents share at least 70 % of their distinct terms."""
+    members, pairs = _content_pairs(spark, folder)
+    return record_pairs(members, pairs, "seq").select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
+
+
+@query()
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of near-duplicate contents that each current record belongs to."""
+    members, pairs = _content_pairs(spark, folder)
+    return groups(members, pairs, "seq").withColumnRenamed("group", "group_seq")
+
+
 # ------------------------------------------------- 2: how distinctive a term is
 
 GL2_SQL = """
