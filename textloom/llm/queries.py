@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm.distinctiveness import distinctiveness, leading_terms
 from textloom.llm.language import fit, labelled_sample, paragraph_languages, relabelled
+from textloom.llm.mixing import mix, mix_shares
 from textloom.llm.near_duplicates import bags_of_terms, groups, record_pairs, similar_pairs
+from textloom.llm.packing import fill, pack
 from textloom.llm.term_counts import mark, term_counts
+from textloom.llm.token_sizes import token_sizes
 from textloom.llm.visual_form import visual_form
 from textloom.runtime import materialize, read_table
 from textloom.sources.records import current_records
@@ -212,6 +215,42 @@ def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return _paragraphs(spark, folder)[1]
 
 
+# --------------------------------------------------------- 7: filling containers
+
+
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return materialize(token_sizes(read_table(spark, folder, "documents"), "text", ["doc_id", "source"]), "sizes")
+
+
+@query()
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text, or of every piece of a text above the capacity, for each kind of container."""
+    return pack(_sizes(spark, folder), read_table(spark, folder, "containers"))
+
+
+@query()
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts, tokens and fill of every container."""
+    containers = read_table(spark, folder, "containers")
+    return fill(pack(_sizes(spark, folder), containers), containers)
+
+
+# ------------------------------------------------------------- 8: mixing sources
+
+
+@query()
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen texts with their number of copies."""
+    return mix(_sizes(spark, folder), read_table(spark, folder, "source_targets"))
+
+
+@query()
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached share of each source."""
+    targets = read_table(spark, folder, "source_targets")
+    return mix_shares(mix(_sizes(spark, folder), targets), targets)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
