@@ -12,20 +12,24 @@ from textloom.operators.ranking import global_rank
 #: Expected copies are whole multiples of 2**-UNIT_BITS, so that running sums are exact.
 UNIT_BITS = 24
 
+#: Sizes of a mixture that follow from the data.
+ALL, EXACT = "all", "exact"
+
 #: Most sources a plan may have; the plan is held by the driver.
 MAX_SOURCES = 100_000
 
 
-def plan_mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
+def plan_mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | str = ALL) -> list[dict]:
     """One entry per source of ``targets``: tokens at hand, wanted tokens and expected copies of each document.
 
-    ``total_tokens`` is the wanted size of the mixture. By default it is the
-    largest size at which every source that has tokens still reaches its share
-    within its ``max_repeat``. With a larger total, a source that cannot reach
-    its share is repeated as often as it may be, and the rest of the total is
-    spread over the others in proportion to their shares. Shares are taken
-    relative to those of the sources that have tokens. Null or negative shares
-    and repeats count as 0.
+    ``total_tokens`` is the wanted size of the mixture: a number, ``ALL`` for as
+    many tokens as the listed sources hold, or ``EXACT`` for the largest size at
+    which every source that has tokens still reaches its share within its
+    ``max_repeat``. A source that cannot reach its share of the total is
+    repeated as often as it may be, and the rest of the total is spread over the
+    others in proportion to their shares, so that these keep their proportions.
+    Shares are taken relative to those of the sources that have tokens. Null or
+    negative shares and repeats count as 0.
     """
     have = sizes.where(F.col("n_tokens") > 0).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     t = targets.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeat").alias("repeat"))
@@ -40,11 +44,13 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = No
     plan.sort(key=lambda p: p["source"])
     live = [p for p in plan if p["tokens"] > 0 and p["share"] > 0 and p["repeat"] > 0]
     weight = sum(p["share"] for p in live)
-    if live and total_tokens is None:
+    if total_tokens == ALL:
+        total_tokens = sum(p["tokens"] for p in live)
+    elif live and total_tokens == EXACT:
         total_tokens = min(p["repeat"] * p["tokens"] * weight / p["share"] for p in live)
     for p in plan:
         p["wanted"] = 0.0
-    rest, left = list(live), float(total_tokens or 0)
+    rest, left = list(live), float(total_tokens) if live else 0.0
     while rest:
         w = sum(p["share"] for p in rest)
         full = [p for p in rest if left * p["share"] / w >= p["repeat"] * p["tokens"]]
@@ -66,7 +72,7 @@ def _offset(seed: int, source: str) -> int:
     return int.from_bytes(hashlib.sha256(f"{seed}:{source}".encode()).digest()[:8], "big") % (1 << UNIT_BITS)
 
 
-def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | str = ALL, seed: int = 0) -> DataFrame:
     """``doc_id, source, n_tokens, copies`` of every chosen document.
 
     ``sizes``: ``doc_id, source, n_tokens``; ``targets``: ``source,

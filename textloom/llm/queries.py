@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.distinctiveness import distinctiveness, leading_terms
 from textloom.llm.language import fit, labelled_sample, paragraph_languages, relabelled
-from textloom.llm.mixing import mix, mix_shares
+from textloom.llm.mixing import EXACT, mix, mix_shares
 from textloom.llm.near_duplicates import bags_of_terms, groups, record_pairs, similar_pairs
 from textloom.llm.packing import fill, pack
 from textloom.llm.term_counts import mark, term_counts
@@ -246,11 +246,18 @@ def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Wanted and reached share of each source."""
+    """Wanted and reached share of each source, in a mixture as large as the collection."""
     targets = read_table(spark, folder, "source_targets")
     return mix_shares(mix(_sizes(spark, folder), targets), targets)
 
 
+@query()
+def p8_exact_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached share of each source, in the largest mixture that meets every share."""
+    targets = read_table(spark, folder, "source_targets")
+    return mix_shares(mix(_sizes(spark, folder), targets, EXACT), targets)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
