@@ -12,6 +12,8 @@ from textloom.llm.language import fit, labelled_sample, paragraph_languages, rel
 from textloom.llm.mixing import EXACT, mix, mix_shares
 from textloom.llm.near_duplicates import bags_of_terms, groups, record_pairs, similar_pairs
 from textloom.llm.packing import fill, pack
+from textloom.llm.pii import find_pii, redact_pii
+from textloom.llm.pii import fit as fit_pii
 from textloom.llm.term_counts import mark, term_counts
 from textloom.llm.token_sizes import token_sizes
 from textloom.llm.visual_form import visual_form
@@ -258,6 +260,21 @@ def p8_exact_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_shares(mix(_sizes(spark, folder), targets, EXACT), targets)
 
 
+# -------------------------------------------------------- 9: personal information
+
+
+@query()
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of personal information in every text."""
+    return find_pii(read_table(spark, folder, "documents"), "doc_id", "text", fit_pii())
+
+
+@query()
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with placeholders in place of personal information."""
+    return redact_pii(read_table(spark, folder, "documents"), "doc_id", "text", fit_pii())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
