@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.analyzer import Analyzer, field_tokens, standard_analyzer
+from textloom.functions.codec import decode_postings, encode_postings, key_parts
+from textloom.functions.filters import ENGLISH_STOP_WORDS, lower, stem
+from textloom.functions.highlight import HighlightOptions
+from textloom.functions.patterns import WHITE_SPACE
+from textloom.functions.tokenizers import DictionaryTokenizer, HmmTokenizer, SimpleTokenizer, StandardTokenizer, WhitespaceTokenizer
+from textloom.operators import postings as lists
 from textloom.operators.heavy_keys import once, profile_keys
+from textloom.operators.index_tables import IndexTables
+from textloom.operators.search_index import SearchIndex
+from textloom.plans.ast import BooleanQuery, FuzzyQuery, MatchQuery, PhraseQuery, PrefixQuery, Query, TermQuery
 from textloom.runtime import materialize, read_table
+from textloom.sources.corpora import corpus, corpus_of_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,6 +112,554 @@ def p6_terms(spark: SparkSession, folder: str) -> DataFrame:
     return _spread(_term_profile(spark, folder))
 
 
+# ------------------------------------------------------------------ analysis
+
+#: Decimal places of scores in results, so that the order of a sum does not show.
+DIGITS = 6
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "documents").select("doc_id", "text")
+
+
+def _exploded(rows: DataFrame, tokens) -> DataFrame:
+    return rows.select("doc_id", F.explode(tokens).alias("t")).select("doc_id", "t.*")
+
+
+def _re2_tokens(pattern: str) -> str:
+    return f"""
+    WITH x AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') t FROM documents),
+         y AS (SELECT doc_id, unnest(t) term, generate_subscripts(t, 1) - 1 AS position FROM x)
+    SELECT doc_id, term, CAST(position AS INT) AS position FROM y
+    """
+
+
+@query(_re2_tokens(f"[^{WHITE_SPACE}]+"))
+def tok_whitespace(spark: SparkSession, folder: str) -> DataFrame:
+    return _exploded(_texts(spark, folder), WhitespaceTokenizer().column(F.col("text")))
+
+
+@query(_re2_tokens(r"[\p{L}\p{Nd}]+"))
+def tok_simple(spark: SparkSession, folder: str) -> DataFrame:
+    return _exploded(_texts(spark, folder), SimpleTokenizer().column(F.col("text")))
+
+
+# RE2 has no look-ahead: a URL is taken up to the next blank and gives back its tail afterwards.
+STANDARD_RE2 = (
+    rf"(?s)(?i:https?://|www\.)[^{WHITE_SPACE}]*|[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}._+@\-]*|[^{WHITE_SPACE}]"
+)
+STANDARD_SQL = f"""
+    raw AS (SELECT doc_id, regexp_extract_all(text, '{STANDARD_RE2}') t FROM documents),
+    fixed AS (SELECT doc_id, flatten(list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^(?i:https?://|www\\.)') THEN
+                 list_concat([rtrim(x, '.,;:!?)]}}')], list_filter(string_split(substr(x, length(rtrim(x, '.,;:!?)]}}')) + 1), ''), lambda y: y <> ''))
+                 ELSE [x] END)) t FROM raw),
+    std AS (SELECT doc_id, unnest(t) term, generate_subscripts(t, 1) - 1 AS position FROM fixed)
+""".replace("\\\\.", "\\.")
+
+
+@query(f"WITH {STANDARD_SQL} SELECT doc_id, term, CAST(position AS INT) AS position FROM std")
+def tok_standard(spark: SparkSession, folder: str) -> DataFrame:
+    return _exploded(_texts(spark, folder), StandardTokenizer().column(F.col("text")))
+
+
+@query(
+    f"""
+    WITH {STANDARD_SQL}
+    SELECT type, count(*) AS n FROM (SELECT CASE
+        WHEN regexp_matches(term, '^(?i:https?://|www\\.)') THEN 'url'
+        WHEN NOT regexp_matches(term, '^[\\p{{L}}\\p{{Nd}}]') THEN 'symbol'
+        WHEN contains(term, '@') THEN 'email'
+        WHEN regexp_full_match(term, '[\\p{{Nd}}.,+\\-]+') THEN 'number'
+        ELSE 'word' END AS type FROM std) GROUP BY type
+    """.replace("\\\\", "\\")
+)
+def tok_types(spark: SparkSession, folder: str) -> DataFrame:
+    """How many tokens of each type the texts have."""
+    return _exploded(_texts(spark, folder), StandardTokenizer().column(F.col("text"), types=True)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(
+    """
+    SELECT shard, id, field, term, position, start_offset, end_offset, max(type) AS type
+    FROM tokens GROUP BY shard, id, field, term, position, start_offset, end_offset
+    """
+)
+def tok_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """All tokens of the current records with byte offsets and types, which the tokens table holds too."""
+    docs = corpus_of_records(read_table(spark, folder, "records"))
+    flat = docs.select("id", F.explode("fields").alias("field", "text"))
+    rows = flat.select("id", "field", F.explode(standard_analyzer().full(F.col("text"))).alias("t"))
+    shard = F.substring_index("id", "/", 1)
+    return rows.select(shard.cast("int").alias("shard"), F.expr("substring(id, length(substring_index(id, '/', 1)) + 2)").alias("id"), "field", "t.*")
+
+
+@query(
+    f"""
+    WITH {STANDARD_SQL}
+    SELECT doc_id, lower(term) AS term, CAST(position AS INT) AS position FROM std
+    WHERE lower(term) NOT IN ({", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)})
+    """
+)
+def pipeline_standard(spark: SparkSession, folder: str) -> DataFrame:
+    return _exploded(_texts(spark, folder), standard_analyzer().column(F.col("text")))
+
+
+@query("SELECT DISTINCT term, lower(term) AS lowered FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}]+')) term FROM documents)")
+def filt_lower(spark: SparkSession, folder: str) -> DataFrame:
+    words = _exploded(_texts(spark, folder), SimpleTokenizer().column(F.col("text"))).select("term").distinct()
+    return words.select("term", lower(F.col("term")).alias("lowered"))
+
+
+@query(f"SELECT count(*) AS kept FROM (SELECT DISTINCT shard, id, field, position, term FROM tokens) WHERE term NOT IN ({', '.join(repr(w) for w in ENGLISH_STOP_WORDS)})")
+def filt_stop(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of the current records that the stop-word filter leaves."""
+    docs = corpus_of_records(read_table(spark, folder, "records"))
+    tokens = field_tokens(docs, lambda f: standard_analyzer())
+    return tokens.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("long").alias("kept"))
+
+
+@query(
+    """
+    WITH w AS (SELECT DISTINCT term FROM tokens WHERE term IS NOT NULL),
+         c AS (SELECT term, octet_length(encode(term)) n FROM w)
+    SELECT term, CASE
+        WHEN n > 5 AND ends_with(term, 'ing') THEN
+            CASE WHEN length(term) > 4 AND substr(term, length(term) - 3, 1) = substr(term, length(term) - 4, 1) AND ascii(substr(term, length(term) - 3, 1)) < 128
+                 THEN substr(term, 1, length(term) - 4) ELSE substr(term, 1, length(term) - 3) END
+        WHEN n > 4 AND ends_with(term, 'ied') THEN substr(term, 1, length(term) - 3) || 'y'
+        WHEN n > 4 AND ends_with(term, 'ed') THEN substr(term, 1, length(term) - 2)
+        WHEN n > 4 AND ends_with(term, 'es') THEN substr(term, 1, length(term) - 2)
+        WHEN n > 3 AND ends_with(term, 's') AND NOT ends_with(term, 'ss') THEN substr(term, 1, length(term) - 1)
+        ELSE term END AS stem FROM c
+    """
+)
+def filt_stem(spark: SparkSession, folder: str) -> DataFrame:
+    """The stem of every distinct term."""
+    terms = read_table(spark, folder, "tokens").where(F.col("term").isNotNull()).select("term").distinct()
+    return terms.select("term", stem(F.col("term")).alias("stem"))
+
+
+#: A small word list for the dictionary tokenizer.
+WORDS = "索引器 存储层 搜索 搜索页面 页面 查询 查询计划 计划 高亮 高亮服务 服务 分词 分词组件 组件 排序 步骤 词语 频率 写入 缓冲区 停用词 全部 隐藏 重复 记录 的重复 文件头 表达式 在大多数 大多数情况 情况下 重新 重新启动 启动以后".split()
+_LONGEST_FIRST = "|".join(sorted(WORDS, key=lambda w: (-len(w), w)))
+
+
+@query(_re2_tokens(rf"(?:{_LONGEST_FIRST})|\p{{Han}}|(?:[^\P{{L}}\p{{Han}}]|\p{{Nd}})+|[^{WHITE_SPACE}\p{{P}}]"))
+def cjk_fmm(spark: SparkSession, folder: str) -> DataFrame:
+    """Forward maximum matching."""
+    return _exploded(_texts(spark, folder), DictionaryTokenizer(WORDS).column(F.col("text")))
+
+
+@query()
+def cjk_rmm(spark: SparkSession, folder: str) -> DataFrame:
+    return _exploded(_texts(spark, folder), DictionaryTokenizer(WORDS, "reverse").column(F.col("text")))
+
+
+@query()
+def cjk_bmm(spark: SparkSession, folder: str) -> DataFrame:
+    return _exploded(_texts(spark, folder), DictionaryTokenizer(WORDS, "both").column(F.col("text")))
+
+
+@query()
+def hmm_default(spark: SparkSession, folder: str) -> DataFrame:
+    return _exploded(_texts(spark, folder), HmmTokenizer().column(F.col("text")))
+
+
+# --------------------------------------------------------------------- index
+
+_indexes: dict[tuple[str, str], SearchIndex] = {}
+
+
+def records_index(spark: SparkSession, folder: str) -> SearchIndex:
+    """The index of all current records, written once per session and folder and then only read."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _indexes:
+        made = SearchIndex.of_documents(materialize(corpus_of_records(read_table(spark, folder, "records")), "documents"), sort=True)
+        t = made.tables
+        postings = materialize(t.postings, "postings")
+        again = SearchIndex(IndexTables(t.documents, postings, materialize(_terms(postings), "terms"), materialize(t.doclen, "doclen"), t.stats))
+        again.tables.stats = materialize(again.tables.stats, "stats")
+        _indexes[key] = again
+    return _indexes[key]
+
+
+def _joined(positions=None):
+    """Positions as text, which every engine compares alike."""
+    return F.array_join(F.col("positions") if positions is None else positions, ",").alias("positions")
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    from textloom.operators.index_tables import terms_of
+
+    return terms_of(postings).repartitionByRange("field", "term").sortWithinPartitions("field", "term")
+
+
+TOK = """
+    tok AS (SELECT DISTINCT shard || '/' || id AS id, field, term, position FROM tokens),
+    pos AS (SELECT field, term, id, CAST(count(*) AS INT) tf, list(position ORDER BY position) positions FROM tok GROUP BY field, term, id),
+    nn AS (SELECT sum(document_count)::DOUBLE n FROM stats),
+    dl AS (SELECT id, field, count(*) len FROM tok GROUP BY id, field),
+    av AS (SELECT field, sum(len) / any_value(nn.n) mean FROM dl, nn GROUP BY field),
+    dic AS (SELECT field, term, count(*) df, CAST(sum(tf) AS BIGINT) total_tf FROM pos GROUP BY field, term),
+    sc AS (SELECT pos.*, dic.df, ln(1 + (nn.n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / mean)) s
+           FROM pos JOIN dic USING (field, term) JOIN dl USING (id, field) JOIN av USING (field), nn),
+    docs AS (SELECT shard || '/' || id AS id, fields FROM (
+        SELECT *, row_number() OVER (PARTITION BY shard, id ORDER BY seq DESC) rn
+        FROM (SELECT DISTINCT seq, shard, id, fields FROM records
+              WHERE id IS NOT NULL AND trim(id) <> '' AND fields IS NOT NULL AND cardinality(fields) > 0)) WHERE rn = 1)
+"""
+
+
+@query(f"WITH {TOK} SELECT id, field, term, tf, array_to_string(positions, ',') AS positions FROM pos")
+def idx_postings(spark: SparkSession, folder: str) -> DataFrame:
+    return records_index(spark, folder).tables.postings.select("id", "field", "term", "tf", _joined())
+
+
+@query(f"WITH {TOK} SELECT field, term, df, total_tf FROM dic")
+def idx_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return records_index(spark, folder).tables.terms.select("field", "term", "df", "total_tf")
+
+
+@query("SELECT DISTINCT shard || '/' || id AS id, field, len FROM doclen")
+def idx_doclen(spark: SparkSession, folder: str) -> DataFrame:
+    return records_index(spark, folder).tables.doclen.select("id", "field", "len")
+
+
+@query(
+    """
+    WITH t AS (SELECT unnest(map_entries(total_field_length)) e FROM stats)
+    SELECT e.key AS field, CAST(sum(e.value) AS BIGINT) AS total, (SELECT CAST(sum(document_count) AS BIGINT) FROM stats) AS documents FROM t GROUP BY e.key
+    """
+)
+def idx_stats(spark: SparkSession, folder: str) -> DataFrame:
+    s = records_index(spark, folder).tables.stats
+    return s.select(F.explode("total_field_length").alias("field", "total"), F.col("document_count").alias("documents"))
+
+
+@query(f"WITH {TOK} SELECT id FROM docs")
+def all_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return records_index(spark, folder).all_ids()
+
+
+@query(f"WITH {TOK} SELECT term, df, total_tf FROM dic WHERE field = 'content' AND starts_with(term, 'co')")
+def terms_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    return records_index(spark, folder).terms("content", "co")
+
+
+@query(f"WITH {TOK} SELECT id, tf, array_to_string(positions, ',') AS positions FROM pos WHERE field = 'content' AND term = 'parser'")
+def term_postings(spark: SparkSession, folder: str) -> DataFrame:
+    return records_index(spark, folder).postings("content", "parser").withColumn("positions", _joined())
+
+
+@query(f"WITH {TOK} SELECT id, fields['title'] AS title FROM docs WHERE id = '0/shared/glossary'")
+def document_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """One document by id."""
+    docs = records_index(spark, folder).tables.documents
+    return docs.where(F.col("id") == "0/shared/glossary").select("id", F.col("fields").getItem("title").alias("title"))
+
+
+@query("SELECT DISTINCT field, len FROM doclen WHERE shard = 0 AND id = 'shared/glossary'")
+def metadata_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Field lengths of one document."""
+    return records_index(spark, folder).tables.doclen.where(F.col("id") == "0/shared/glossary").select("field", "len")
+
+
+# -------------------------------------------------------------------- search
+
+
+def _hits(spark: SparkSession, folder: str, q: Query, limit: int = 0) -> DataFrame:
+    return records_index(spark, folder).search(q, limit, DIGITS).select("id", "score")
+
+
+def _string(spark: SparkSession, folder: str, expression: str) -> DataFrame:
+    return records_index(spark, folder).search_string(expression, "content", 0, DIGITS).select("id", "score")
+
+
+def _sum_sql(terms: list[str], field: str = "content", having: str = "", factor: str = "1") -> str:
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"SELECT id, sum(s * {factor}) score FROM sc WHERE field = '{field}' AND term IN ({listed}) GROUP BY id {having}"
+
+
+def _scored(sql: str) -> str:
+    return f"WITH {TOK}, h AS ({sql}) SELECT id, round(score, {DIGITS}) AS score FROM h"
+
+
+@query(
+    f"""
+    WITH {TOK} SELECT id, round(s, {DIGITS}) AS score, 'BM25(content:parser, tf=' || tf || ')' AS explanation
+    FROM sc WHERE field = 'content' AND term = 'parser'
+    """
+)
+def term_query(spark: SparkSession, folder: str) -> DataFrame:
+    return records_index(spark, folder).search(TermQuery("content", "parser"), digits=DIGITS)
+
+
+@query(_scored(_sum_sql(["storage", "layer", "parser"])))
+def match_or(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder, MatchQuery("content", "The storage layer and the Parser parser"))
+
+
+@query(_scored(_sum_sql(["storage", "layer", "parser"], having="HAVING count(*) = 3")))
+def match_and(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder, MatchQuery("content", "storage layer parser", "and"))
+
+
+@query(f"WITH {TOK}, h AS ({_sum_sql(['storage', 'layer', 'parser'])}) SELECT id, round(score, {DIGITS}) AS score FROM h ORDER BY round(score, {DIGITS}) DESC, id LIMIT 10")
+def search_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best hits: the flagship query."""
+    return _hits(spark, folder, MatchQuery("content", "storage layer parser"), 10)
+
+
+def _bool_sql(body: str) -> str:
+    leaf = {"a": "storage", "b": "parser", "c": "crawler", "d": "snapshot"}
+    ctes = ", ".join(f"{k} AS (SELECT id, s score FROM sc WHERE field = 'content' AND term = '{t}')" for k, t in leaf.items())
+    return f"WITH {TOK}, {ctes}, h AS ({body}) SELECT id, round(score, {DIGITS}) AS score FROM h"
+
+
+def _t(term: str) -> TermQuery:
+    return TermQuery("content", term)
+
+
+@query(_bool_sql("SELECT id, a.score + b.score score FROM a JOIN b USING (id)"))
+def bool_must(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder, BooleanQuery(must=(_t("storage"), _t("parser"))))
+
+
+@query(_bool_sql("SELECT id, coalesce(a.score, 0) + coalesce(b.score, 0) score FROM a FULL JOIN b USING (id)"))
+def bool_should(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder, BooleanQuery(should=(_t("storage"), _t("parser"))))
+
+
+@query(_bool_sql("SELECT id, a.score + coalesce(b.score, 0) score FROM a LEFT JOIN b USING (id) WHERE id NOT IN (SELECT id FROM c)"))
+def bool_must_should(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder, BooleanQuery(must=(_t("storage"),), should=(_t("parser"),), must_not=(_t("crawler"),)))
+
+
+@query(_bool_sql("SELECT id, 0.0::DOUBLE score FROM docs WHERE id NOT IN (SELECT id FROM a UNION SELECT id FROM b)"))
+def bool_mustnot_only(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder, BooleanQuery(must_not=(_t("storage"), _t("parser"))))
+
+
+@query(
+    _bool_sql(
+        """
+        SELECT id, coalesce(a.score, 0) + coalesce(d.score, 0) score FROM docs LEFT JOIN a USING (id) LEFT JOIN d USING (id) LEFT JOIN b USING (id) LEFT JOIN c USING (id)
+        WHERE a.score IS NOT NULL OR (d.score IS NOT NULL AND c.score IS NULL) OR b.score IS NULL
+        """.replace("coalesce(d.score, 0)", "CASE WHEN d.score IS NOT NULL AND c.score IS NULL THEN d.score ELSE 0 END")
+    )
+)
+def bool_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """a OR (d AND NOT c) OR NOT b: pure negation inside a disjunction."""
+    inner = BooleanQuery(must=(_t("snapshot"),), must_not=(_t("crawler"),))
+    return _hits(spark, folder, BooleanQuery(should=(_t("storage"), inner, BooleanQuery(must_not=(_t("parser"),)))))
+
+
+def _phrase_sql(terms: list[str], gaps: list[int], slop: int) -> str:
+    """Chains of positions: from each start the earliest next occurrence, at most ``slop`` longer in all."""
+    chain = "SELECT id, position start, position at, 0 used FROM tok WHERE field = 'content' AND term = '{}'".format(terms[0])
+    for t, g in zip(terms[1:], gaps):
+        chain = (
+            f"SELECT c.id, c.start, min(k.position) at, any_value(c.used) + min(k.position) - any_value(c.at) - {g} used FROM ({chain}) c "
+            f"JOIN tok k ON k.id = c.id AND k.field = 'content' AND k.term = '{t}' AND k.position >= c.at + {g} GROUP BY c.id, c.start"
+        )
+    listed = " UNION ALL ".join(f"SELECT id, s FROM sc WHERE field = 'content' AND term = '{t}'" for t in terms)
+    return (
+        f"WITH {TOK}, m AS (SELECT DISTINCT id FROM ({chain}) WHERE used <= {slop}), l AS ({listed}) "
+        f"SELECT id, round(sum(s) * 1.5, {DIGITS}) AS score FROM l JOIN m USING (id) GROUP BY id"
+    )
+
+
+@query(_phrase_sql(["stale", "snapshot"], [1], 0))
+def phrase_slop0(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder, PhraseQuery("content", "stale snapshot"))
+
+
+@query(_phrase_sql(["because", "clock", "drifted."], [2, 1], 0))
+def phrase_gap(spark: SparkSession, folder: str) -> DataFrame:
+    """A stop word inside the phrase leaves its gap."""
+    return _hits(spark, folder, PhraseQuery("content", "because the clock drifted."))
+
+
+@query(_phrase_sql(["parser", "values", "service"], [1, 1], 6))
+def phrase_slop2(spark: SparkSession, folder: str) -> DataFrame:
+    """Up to six positions further apart than written."""
+    return _hits(spark, folder, PhraseQuery("content", "parser values service", 6))
+
+
+@query(f"WITH {TOK} SELECT id, round(sum(s), {DIGITS}) AS score FROM sc WHERE field = 'content' AND starts_with(term, 'comp') GROUP BY id")
+def prefix_query(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder, PrefixQuery("content", "Comp"))
+
+
+FUZZY_SQL = """
+    WITH {tok}, e AS (SELECT *, levenshtein(regexp_replace(term, '[^\\x00-\\x7F]', chr(1), 'g'), '{word}') d FROM sc
+                    WHERE field = '{field}' AND length(term) BETWEEN {low} AND {high})
+    SELECT id, round(sum(s / (d + 1)), {digits}) AS score FROM e WHERE d <= {edits} GROUP BY id
+"""
+
+
+def _fuzzy_sql(field: str, word: str, edits: int) -> str:
+    return FUZZY_SQL.format(tok=TOK, word=word, field=field, low=len(word) - edits, high=len(word) + edits, edits=edits, digits=DIGITS)
+
+
+@query(_fuzzy_sql("content", "indxer", 1))
+def fuzzy_query(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder, FuzzyQuery("content", "Indxer"))
+
+
+@query(_fuzzy_sql("content", "reprots", 3))
+def fuzzy_boost(spark: SparkSession, folder: str) -> DataFrame:
+    """Nearer terms weigh more; more than three edits mean three."""
+    return _hits(spark, folder, FuzzyQuery("content", "reprots", 9))
+
+
+@query(_bool_sql("""
+    SELECT id, coalesce(x.score, 0) + coalesce(y.score, 0) score FROM
+    (SELECT id, sum(s) * 1.5 score FROM sc WHERE field = 'content' AND term IN ('stale', 'snapshot') AND id IN (
+        SELECT u.id FROM tok u JOIN tok v ON u.id = v.id AND u.field = 'content' AND v.field = 'content' AND u.term = 'stale' AND v.term = 'snapshot' AND v.position = u.position + 1) GROUP BY id) x
+    FULL JOIN (SELECT id, s score FROM sc WHERE field = 'title' AND term = 'tuning') y USING (id)"""))
+def qs_phrase_or(spark: SparkSession, folder: str) -> DataFrame:
+    return _string(spark, folder, 'content:"stale snapshot" OR title:tuning')
+
+
+@query(_bool_sql("SELECT id, a.score + 0.0 score FROM a WHERE id NOT IN (SELECT id FROM b)"))
+def qs_and_not(spark: SparkSession, folder: str) -> DataFrame:
+    return _string(spark, folder, "content:storage AND NOT content:parser")
+
+
+@query(_bool_sql("SELECT id, coalesce(a.score, 0) score FROM docs LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE a.score IS NOT NULL OR b.score IS NULL"))
+def qs_implicit_or(spark: SparkSession, folder: str) -> DataFrame:
+    """Two clauses side by side are an OR, also with NOT."""
+    return _string(spark, folder, "storage NOT parser")
+
+
+@query(_bool_sql("SELECT id, coalesce(a.score, 0) + coalesce(b.score, 0) + d.score score FROM d LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE a.score IS NOT NULL OR b.score IS NOT NULL"))
+def qs_grouped(spark: SparkSession, folder: str) -> DataFrame:
+    return _string(spark, folder, "(storage or PARSER) and snapshot")
+
+
+# ------------------------------------------------- facets, highlight, set operations
+
+HITS_SQL = "SELECT DISTINCT id FROM sc WHERE field = 'content' AND term = 'parser'"
+
+
+@query(f"WITH {TOK} SELECT fields['category'] AS value, count(*) AS count FROM docs WHERE id IN ({HITS_SQL}) AND fields['category'] IS NOT NULL GROUP BY 1")
+def facet_category(spark: SparkSession, folder: str) -> DataFrame:
+    return records_index(spark, folder).facet(MatchQuery("content", "parser"), "category")
+
+
+@query(f"WITH {TOK} SELECT fields['lang'] AS value, count(*) AS count FROM docs WHERE fields['lang'] IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def facet_lang(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most frequent labels over all documents."""
+    return records_index(spark, folder).facet(BooleanQuery(must_not=(TermQuery("content", ""),)), "lang", 5)
+
+
+@query(
+    """
+    WITH h AS (SELECT CAST(doc_id AS VARCHAR) id, source FROM documents
+               WHERE list_contains(list_transform(regexp_extract_all(text, '[\\p{L}\\p{Nd}]+'), lambda x: lower(x)), 'parser'))
+    SELECT source AS value, count(*) AS count FROM h WHERE source IS NOT NULL GROUP BY source
+    """
+)
+def facet_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Facets over another corpus with another analyzer: simple tokens, lower case."""
+    from textloom.functions.filters import LowercaseFilter
+    from textloom.operators.search_index import IndexConfig
+
+    d = read_table(spark, folder, "documents")
+    index = SearchIndex.of_documents(corpus(d, "doc_id", {"text": "text", "source": "source"}), IndexConfig(Analyzer(SimpleTokenizer(), [LowercaseFilter()])))
+    return index.facet(MatchQuery("text", "PARSER"), "source")
+
+
+@query()
+def highlight_basic(spark: SparkSession, folder: str) -> DataFrame:
+    """Fragments of the ten best hits."""
+    index = records_index(spark, folder)
+    best = materialize(_hits(spark, folder, MatchQuery("content", "stale snapshot"), 10), "best")
+    return index.highlight(best, "content", ["stale", "snapshot"], HighlightOptions(max_fragments=2))
+
+
+def _list(spark: SparkSession, folder: str, term: str) -> DataFrame:
+    return records_index(spark, folder).tables.postings.where((F.col("field") == "content") & (F.col("term") == term)).select("id", "tf", "positions")
+
+
+@query(f"WITH {TOK} SELECT id, tf, array_to_string(positions, ',') AS positions FROM pos WHERE field = 'content' AND term = 'storage' AND id IN (SELECT id FROM pos WHERE field = 'content' AND term = 'parser')")
+def postings_intersect(spark: SparkSession, folder: str) -> DataFrame:
+    return lists.intersect(_list(spark, folder, "storage"), _list(spark, folder, "parser")).withColumn("positions", _joined())
+
+
+@query(
+    f"""
+    WITH {TOK}, l AS (SELECT id, tf, array_to_string(positions, ',') AS positions FROM pos WHERE field = 'content' AND term = 'storage'), r AS (SELECT id, tf, array_to_string(positions, ',') AS positions FROM pos WHERE field = 'content' AND term = 'parser')
+    SELECT * FROM l UNION ALL SELECT * FROM r WHERE id NOT IN (SELECT id FROM l)
+    """
+)
+def postings_union(spark: SparkSession, folder: str) -> DataFrame:
+    return lists.union(_list(spark, folder, "storage"), _list(spark, folder, "parser")).withColumn("positions", _joined())
+
+
+@query(f"WITH {TOK} SELECT id, tf, array_to_string(positions, ',') AS positions FROM pos WHERE field = 'content' AND term = 'storage' AND id >= '0/doc-00000200'")
+def skip_to(spark: SparkSession, folder: str) -> DataFrame:
+    return lists.skip_to(_list(spark, folder, "storage"), "0/doc-00000200").withColumn("positions", _joined())
+
+
+@query(f"WITH {TOK} SELECT id, tf, array_to_string(positions, ',') AS positions FROM pos WHERE field = 'content'")
+def posting_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """All postings of ``content`` encoded to bytes and decoded again."""
+    p = records_index(spark, folder).tables.postings.where(F.col("field") == "content")
+    return p.select(decode_postings(encode_postings(F.col("id"), F.col("positions"))).alias("p")).select("p.id", "p.tf", _joined(F.col("p.positions")))
+
+
+@query("SELECT DISTINCT id, rtrim(replace(replace(base64(encode(id)), '+', '-'), '/', '_'), '=') AS part FROM records WHERE id IS NOT NULL")
+def key_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Path-safe key components of all ids."""
+    return read_table(spark, folder, "records").where(F.col("id").isNotNull()).select("id").distinct().select("id", key_parts(F.col("id")).alias("part"))
+
+
+# --------------------------------------------------------------- maintenance
+
+
+def _summary(index: SearchIndex) -> DataFrame:
+    """The dictionary of ``content``, which shows every change of an index."""
+    return index.tables.terms.where(F.col("field") == "content").select("term", "df", "total_tf")
+
+
+@query(
+    f"""
+    WITH {TOK}, gone AS (SELECT id FROM docs WHERE fields['category'] = 'book'),
+         x AS (SELECT id, 'content' field, unnest(regexp_extract_all(fields['title'], '[^{WHITE_SPACE}]+')) w FROM docs WHERE fields['category'] = 'book' AND fields['title'] IS NOT NULL),
+         old AS (SELECT term, id, tf FROM pos WHERE field = 'content' AND id NOT IN (SELECT id FROM gone)),
+         new AS (SELECT 'renewed' term, id, 1 tf FROM gone)
+    SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY term
+    """
+)
+def upsert_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents of one category get the content "Renewed": the old terms go, the new one comes."""
+    index = records_index(spark, folder)
+    some = index.tables.documents.where(F.col("fields").getItem("category") == "book")
+    new = some.select("id", F.create_map(F.lit("content"), F.lit("Renewed"), F.lit("category"), F.lit("book")).alias("fields"))
+    return _summary(index.add_batch(new))
+
+
+@query(f"WITH {TOK} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM pos WHERE field = 'content' AND NOT ends_with(id, '/shared/glossary') GROUP BY term")
+def delete_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """The glossary of every shard is deleted."""
+    index = records_index(spark, folder)
+    ids = [r["id"] for r in index.tables.documents.where(F.col("id").endswith("/shared/glossary")).select("id").collect()]
+    return _summary(index.delete(*ids))
+
+
+@query(f"WITH {TOK} SELECT field, term, df, total_tf FROM dic")
+def rebuild_equal(spark: SparkSession, folder: str) -> DataFrame:
+    """Derived anew from the stored documents, the dictionary is the same."""
+    return records_index(spark, folder).rebuild().tables.terms.select("field", "term", "df", "total_tf")
+
+
+@query(f"WITH {TOK} SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM dic) AS terms, (SELECT count(*) FROM pos) AS postings, 0 AS n_problems")
+def check_report(spark: SparkSession, folder: str) -> DataFrame:
+    return records_index(spark, folder).check().select("documents", "terms", "postings", F.size("problems").alias("n_problems"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
