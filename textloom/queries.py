@@ -178,19 +178,14 @@ def tok_types(spark: SparkSession, folder: str) -> DataFrame:
     return _exploded(_texts(spark, folder), StandardTokenizer().column(F.col("text"), types=True)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query(
-    """
-    SELECT shard, id, field, term, position, start_offset, end_offset, max(type) AS type
-    FROM tokens GROUP BY shard, id, field, term, position, start_offset, end_offset
-    """
-)
+@query("SELECT DISTINCT shard, id, field, term, position, start_offset, end_offset FROM tokens")
 def tok_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    """All tokens of the current records with byte offsets and types, which the tokens table holds too."""
+    """All tokens of the current records with byte offsets, which the tokens table holds too."""
     docs = corpus_of_records(read_table(spark, folder, "records"))
     flat = docs.select("id", F.explode("fields").alias("field", "text"))
     rows = flat.select("id", "field", F.explode(standard_analyzer().full(F.col("text"))).alias("t"))
     shard = F.substring_index("id", "/", 1)
-    return rows.select(shard.cast("int").alias("shard"), F.expr("substring(id, length(substring_index(id, '/', 1)) + 2)").alias("id"), "field", "t.*")
+    return rows.select(shard.cast("int").alias("shard"), F.expr("substring(id, length(substring_index(id, '/', 1)) + 2)").alias("id"), "field", "t.term", "t.position", "t.start_offset", "t.end_offset")
 
 
 @query(
@@ -456,11 +451,11 @@ def bool_nested(spark: SparkSession, folder: str) -> DataFrame:
 
 def _phrase_sql(terms: list[str], gaps: list[int], slop: int) -> str:
     """Chains of positions: from each start the earliest next occurrence, at most ``slop`` longer in all."""
-    chain = "SELECT id, position start, position at, 0 used FROM tok WHERE field = 'content' AND term = '{}'".format(terms[0])
+    chain = "SELECT id, position first, position place, 0 used FROM tok WHERE field = 'content' AND term = '{}'".format(terms[0])
     for t, g in zip(terms[1:], gaps):
         chain = (
-            f"SELECT c.id, c.start, min(k.position) at, any_value(c.used) + min(k.position) - any_value(c.at) - {g} used FROM ({chain}) c "
-            f"JOIN tok k ON k.id = c.id AND k.field = 'content' AND k.term = '{t}' AND k.position >= c.at + {g} GROUP BY c.id, c.start"
+            f"SELECT c.id, c.first, min(k.position) place, any_value(c.used) + min(k.position) - any_value(c.place) - {g} used FROM ({chain}) c "
+            f"JOIN tok k ON k.id = c.id AND k.field = 'content' AND k.term = '{t}' AND k.position >= c.place + {g} GROUP BY c.id, c.first"
         )
     listed = " UNION ALL ".join(f"SELECT id, s FROM sc WHERE field = 'content' AND term = '{t}'" for t in terms)
     return (
