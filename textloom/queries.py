@@ -475,10 +475,10 @@ def phrase_gap(spark: SparkSession, folder: str) -> DataFrame:
     return _hits(spark, folder, PhraseQuery("content", "because the clock drifted."))
 
 
-@query(_phrase_sql(["parser", "values", "service"], [1, 1], 6))
+@query(_phrase_sql(["storage", "empty", "values"], [1, 1], 6))
 def phrase_slop2(spark: SparkSession, folder: str) -> DataFrame:
     """Up to six positions further apart than written."""
-    return _hits(spark, folder, PhraseQuery("content", "parser values service", 6))
+    return _hits(spark, folder, PhraseQuery("content", "storage empty values", 6))
 
 
 @query(f"WITH {TOK} SELECT id, round(sum(s), {DIGITS}) AS score FROM sc WHERE field = 'content' AND starts_with(term, 'comp') GROUP BY id")
