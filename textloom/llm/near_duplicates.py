@@ -17,8 +17,9 @@ from textloom.runtime import broadcast_if_small, materialize
 TOP_WEIGHT = 10
 
 #: Signature rows per band and number of bands. A pair of weighted similarity
-#: 0.70 shares a band with probability 0.995, one of 0.75 with 0.9999.
-ROWS, BANDS = 7, 62
+#: 0.65 shares a band with probability 0.988, one of 0.70 with 0.9996, one of
+#: 0.75 with 0.999997.
+ROWS, BANDS = 7, 90
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 

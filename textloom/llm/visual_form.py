@@ -108,7 +108,9 @@ class Transducer:
         changed, marks, hidden = [], [], []
         for cp in [*range(0x80), *_points(), *range(0x10000, 0x1D400)]:
             ch = chr(cp)
-            if unicodedata.category(ch) in ("Mn", "Mc", "Me") and table.get(ch) != "":
+            # what stands for a combining mark, such as the half-width sound marks, belongs to its cluster too
+            mark = table.get(ch, ch)
+            if mark and unicodedata.category(mark[0]) in ("Mn", "Mc", "Me"):
                 marks.append(ch)
             elif table.get(ch) == "":
                 hidden.append(ch)
