@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,23 @@ BROADCAST_LIMIT = 64 * 1024 * 1024
 _written: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it.
+
+    Workers on this machine get its folder on their path; on a cluster, where
+    that folder need not exist, they get the package as an archive.
+    """
+    sc = spark.sparkContext
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home in paths:
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+    if not sc.master.startswith("local"):
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "textloom"), "zip", home, "textloom")
+        sc.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as named by ``spark.checkpoint.dir``.
 
