@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from textloom.functions.filters import LowercaseFilter, StopWordFilter, TokenFilter
-from textloom.functions.tokenizers import StandardTokenizer, Tokenizer
-from textloom.model import TOKEN, Token
+from textloom.functions.tokenizers import StandardTokenizer, Tokenizer, token_arrays
+from textloom.model import Token
 
 
 class Analyzer:
@@ -40,13 +38,7 @@ class Analyzer:
 
     def full(self, text: Column) -> Column:
         """Tokens with byte offsets, by Arrow batches."""
-        analyze = self.analyze
-
-        @F.pandas_udf(ArrayType(TOKEN))
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: [x.__dict__ for x in analyze(t)] if isinstance(t, str) else None)
-
-        return run(text)
+        return token_arrays(self.analyze, text)
 
     def stream(self, text: str) -> "TokenStream":
         return TokenStream(self, text)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ def lower_text(s: str) -> str:
 
 class LowercaseFilter(TokenFilter):
     def apply(self, tokens: list[Token]) -> list[Token]:
-        return [replace(t, term=lower_text(t.term)) for t in tokens]
+        return [t._replace(term=lower_text(t.term)) for t in tokens]
 
     def column(self, tokens: Column) -> Column:
         return F.transform(tokens, lambda t: _with_term(t, lower(t["term"])))
@@ -89,7 +88,7 @@ def stem_text(s: str) -> str:
 
 class StemmerFilter(TokenFilter):
     def apply(self, tokens: list[Token]) -> list[Token]:
-        return [replace(t, term=stem_text(t.term)) for t in tokens]
+        return [t._replace(term=stem_text(t.term)) for t in tokens]
 
     def column(self, tokens: Column) -> Column:
         return F.transform(tokens, lambda t: _with_term(t, stem(t["term"])))

@@ -7,12 +7,13 @@ Arrow batch. Null and empty texts have no tokens.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType
 
 from textloom.functions import patterns as P
@@ -20,12 +21,12 @@ from textloom.model import TOKEN, Token
 
 _NUMBER = regex.compile(r"[\p{Nd}.,+\-]+")
 _HAN = regex.compile(r"\p{Han}")
-_PUNCT_OR_SPACE = regex.compile(rf"[\p{{P}}{P.WHITE_SPACE_PY}]")
-_ALNUM = regex.compile(r"[\p{L}\p{Nd}]")
 
 
 def _tokens(text: str, pieces: Iterable[tuple[int, int, str]]) -> list[Token]:
     """Tokens from code-point spans in order; bytes are counted once, from left to right."""
+    if text.isascii():
+        return [Token(text[a:b], i, a, b, kind) for i, (a, b, kind) in enumerate(pieces)]
     out, at, byte = [], 0, 0
     for i, (a, b, kind) in enumerate(pieces):
         byte += len(text[at:a].encode())
@@ -48,13 +49,31 @@ class Tokenizer:
 
     def full(self, text: Column) -> Column:
         """``ARRAY<STRUCT<term, position, start_offset, end_offset, type>>`` by Arrow batches."""
-        scan = self.scan
+        return token_arrays(self.scan, text)
 
-        @F.pandas_udf(ArrayType(TOKEN))
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: [t_.__dict__ for t_ in scan(t)] if isinstance(t, str) else None)
 
-        return run(text)
+def token_arrays(scan: Callable[[str], list[Token]], text: Column) -> Column:
+    """Column of the tokens that ``scan`` finds; the arrays of a batch are built from flat lists."""
+    kind = to_arrow_type(TOKEN)
+
+    def run(texts: pa.Array) -> pa.Array:
+        ends, flat, null = [0], [], []
+        for t in texts.to_pylist():
+            null.append(t is None)
+            if t:
+                flat += scan(t)
+            ends.append(len(flat))
+        columns = [
+            pa.array([t.term for t in flat], pa.string()),
+            pa.array([t.position for t in flat], pa.int32()),
+            pa.array([t.start_offset for t in flat], pa.int32()),
+            pa.array([t.end_offset for t in flat], pa.int32()),
+            pa.array([t.type for t in flat], pa.string()),
+        ]
+        values = pa.StructArray.from_arrays(columns, fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(null))
+
+    return F.arrow_udf(run, ArrayType(TOKEN), F.ArrowUDFType.SCALAR)(text)
 
 
 def _struct(term: Column, position: Column, kind: Column | None) -> Column:
@@ -148,46 +167,22 @@ class DictionaryTokenizer(Tokenizer):
         if mode not in ("forward", "reverse", "both"):
             raise ValueError(f"unknown mode {mode!r}")
         self.words = frozenset(w for w in words if w)
-        self.longest = max(map(len, self.words), default=1)
         self.mode = mode
+        self._ahead, self._back = self._pattern(self.words), self._pattern(w[::-1] for w in self.words)
+
+    @staticmethod
+    def _pattern(words: Iterable[str]) -> regex.Pattern:
+        """Longest word from a Han sign on, else the sign; a run of other letters and digits; any other visible character."""
+        listed = sorted((w for w in words if _HAN.match(w)), key=len, reverse=True)
+        return regex.compile(rf"(\L<words>|\p{{Han}})|((?:(?!\p{{Han}})[\p{{L}}\p{{Nd}}])+)|([^\p{{P}}{P.WHITE_SPACE_PY}])", regex.DOTALL, words=listed or ["\0\0"])
 
     def _forward(self, text: str) -> list[tuple[int, int, str]]:
-        out, i, n = [], 0, len(text)
-        while i < n:
-            ch = text[i]
-            if _PUNCT_OR_SPACE.match(ch):
-                i += 1
-                continue
-            if _HAN.match(ch):
-                size = next((k for k in range(min(self.longest, n - i), 1, -1) if text[i : i + k] in self.words), 1)
-                out.append((i, i + size, "han"))
-            elif _ALNUM.match(ch):
-                size = _run(text, i)
-                out.append((i, i + size, "word"))
-            else:
-                size = 1
-                out.append((i, i + 1, "symbol"))
-            i += size
-        return out
+        return [(*m.span(), _HAN_KINDS[m.lastindex]) for m in self._ahead.finditer(text)]
 
     def _reverse(self, text: str) -> list[tuple[int, int, str]]:
-        out, end = [], len(text)
-        while end:
-            ch = text[end - 1]
-            if _PUNCT_OR_SPACE.match(ch):
-                end -= 1
-                continue
-            if _HAN.match(ch):
-                size = next((k for k in range(min(self.longest, end), 1, -1) if text[end - k : end] in self.words), 1)
-                kind = "han"
-            elif _ALNUM.match(ch):
-                size = _run_back(text, end)
-                kind = "word"
-            else:
-                size, kind = 1, "symbol"
-            out.append((end - size, end, kind))
-            end -= size
-        return out[::-1]
+        """Forward matching of the reversed words on the reversed text, mirrored."""
+        n = len(text)
+        return [(n - m.end(), n - m.start(), _HAN_KINDS[m.lastindex]) for m in self._back.finditer(text[::-1])][::-1]
 
     def scan(self, text: str) -> list[Token]:
         if self.mode == "forward":
@@ -197,21 +192,28 @@ class DictionaryTokenizer(Tokenizer):
             return _tokens(text, back)
         ahead = self._forward(text)
         cost = lambda cut: (len(cut), sum(b - a == 1 for a, b, _ in cut))
-        return _tokens(text, back if cost(back) < cost(ahead) else ahead)
+        return _tokens(text, back if ahead != back and cost(back) < cost(ahead) else ahead)
 
+    def column(self, text: Column, types: bool = False) -> Column:
+        """Native for forward matching with a list of at most ``NATIVE_WORDS`` words."""
+        if self.mode != "forward" or len(self.words) > NATIVE_WORDS:
+            return super().column(text, types)
+        listed = sorted((w for w in self.words if _HAN.match(w)), key=len, reverse=True)
+        han = "|".join([*map(_quoted, listed), r"\p{IsHan}"])
+        rx = rf"(?s)(?:{han})|(?:(?!\p{{IsHan}})[\p{{L}}\p{{Nd}}])+|[^\p{{P}}{P.WHITE_SPACE}]"
+        found = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
+        kind = lambda t: F.when(t.rlike(r"^\p{IsHan}"), "han").when(t.rlike(r"^[\p{L}\p{Nd}]"), "word").otherwise("symbol")
+        return F.transform(found, lambda t, i: _struct(t, i, kind(t) if types else None))
 
-_RUN = regex.compile(r"(?:(?!\p{Han})[\p{L}\p{Nd}])+")
 
+_HAN_KINDS = {1: "han", 2: "word", 3: "symbol"}
 
-def _run(text: str, at: int) -> int:
-    return _RUN.match(text, at).end() - at
+#: Longest word list that is compiled into one expression of the JVM.
+NATIVE_WORDS = 2000
 
 
-def _run_back(text: str, end: int) -> int:
-    n = 0
-    while n < end and _RUN.match(text[end - n - 1]):
-        n += 1
-    return n
+def _quoted(word: str) -> str:
+    return r"\Q" + word.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
 class HmmTokenizer(_HanRuns):
@@ -221,13 +223,25 @@ class HmmTokenizer(_HanRuns):
         from textloom.functions.hmm import HmmModel
 
         self.model = model or HmmModel()
+        self._known: dict[str, list[str]] = {}
+
+    def _words(self, run: str) -> list[str]:
+        """Words of a Han run; short runs recur and are remembered, up to a bound."""
+        got = self._known.get(run)
+        if got is None:
+            got = self.model.segment(run)
+            if len(run) <= 32:
+                if len(self._known) >= 50_000:
+                    self._known.clear()
+                self._known[run] = got
+        return got
 
     def scan(self, text: str) -> list[Token]:
         def pieces():
             for m in self._rx.finditer(text):
                 if m.lastindex == 1:
                     at = m.start()
-                    for w in self.model.segment(m.group()):
+                    for w in self._words(m.group()):
                         yield at, at + len(w), "han"
                         at += len(w)
                 else:

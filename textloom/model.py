@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import types as T
 
@@ -39,8 +40,7 @@ class StoreClosedError(TextloomError):
     """The store was closed."""
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     """One token; offsets are UTF-8 bytes, the end being exclusive."""
 
     term: str
