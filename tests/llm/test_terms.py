@@ -61,7 +61,7 @@ def test_distinctiveness_against_the_formula(spark):
     rows = [(*k, None if n % 4 == 0 else tf, list(range(tf)) if n % 3 or n % 4 == 0 else None, "x") for n, (k, tf) in enumerate(posts.items())]
     rows += rows[:25] + [(0, "content", "lost", "nowhere", 2, None, "x"), (0, "content", "odd", "d0", None, None, "x")]
     dl = [(*k, v, "y") for k, v in lens.items()] * 2
-    n = spark.createDataFrame([(50,)], "n long")
+    n = 50
     got = {(x["shard"], x["field"], x["term"], x["id"]): x for x in distinctiveness(spark.createDataFrame(rows, POST), spark.createDataFrame(dl, "shard int, id string, field string, len int, term string"), n).collect()}
     df = defaultdict(int)
     for k in posts:
@@ -85,4 +85,4 @@ def test_leading_term_and_ties(spark):
 
 def test_empty_inputs(spark):
     p, d = spark.createDataFrame([], POST), spark.createDataFrame([], "shard int, id string, field string, len int")
-    assert distinctiveness(p, d, spark.createDataFrame([(0,)], "n long")).count() == 0
+    assert distinctiveness(p, d, 0).count() == 0

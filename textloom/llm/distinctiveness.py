@@ -31,13 +31,13 @@ def unique_postings(postings: DataFrame) -> DataFrame:
     return postings.select("shard", "field", "term", "id", tf.alias("tf")).groupBy("field", "term", "shard", "id").agg(F.max("tf").alias("tf"))
 
 
-def distinctiveness(postings: DataFrame, doclen: DataFrame, n_records: DataFrame, of: DataFrame | None = None, c: float = 1.0) -> DataFrame:
+def distinctiveness(postings: DataFrame, doclen: DataFrame, n_records: int, of: DataFrame | None = None, c: float = 1.0) -> DataFrame:
     """``shard, id, field, term, tf, df, score`` for each term of each record's field.
 
     Document frequencies are counted from the postings themselves over all
     shards, with copies dropped, because stored counts may be stale; a hot term
     is pre-aggregated before its exchange. ``doclen`` gives lengths (copies are
-    dropped), ``n_records`` is one row with the number of records ``n``. Mean
+    dropped), ``n_records`` is the number of records. Mean
     lengths are over all records, those without the field included. ``of``
     (``shard, id``) limits the scored records, never the statistics. A posting
     whose length is missing, or with neither ``tf`` nor positions, has a null
@@ -47,15 +47,15 @@ def distinctiveness(postings: DataFrame, doclen: DataFrame, n_records: DataFrame
     freq = once.groupBy("field", "term").agg(F.count("*").alias("df"))
     lens = doclen.groupBy("shard", "id", "field").agg(F.max("len").alias("len"))
     # one line per field name; names of fields are few by the nature of a record
-    mean = lens.groupBy("field").agg(F.sum("len").alias("_total")).crossJoin(F.broadcast(n_records)).select(
-        F.col("field").alias("_f"), (F.col("_total") / F.col("n")).alias("_mean"), "n"
+    mean = lens.groupBy("field").agg(F.sum("len").alias("_total")).select(
+        F.col("field").alias("_f"), (F.col("_total") / F.lit(float(max(1, n_records)))).alias("_mean")
     )
     if of is not None:
         once = once.join(of.select("shard", "id").distinct(), ["shard", "id"], "left_semi")
         lens = lens.join(of.select("shard", "id").distinct(), ["shard", "id"], "left_semi")
     rows = once.join(freq, ["field", "term"]).join(lens, ["shard", "id", "field"], "left")
     rows = rows.join(F.broadcast(mean), F.col("field") == F.col("_f"), "left")
-    score = dfr_gl2(F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("_mean"), c)
+    score = dfr_gl2(F.col("tf"), F.col("df"), F.lit(float(n_records)), F.col("len"), F.col("_mean"), c)
     return rows.select("shard", "id", "field", "term", "tf", "df", score.alias("score"))
 
 

@@ -106,7 +106,6 @@ def mix_shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     rows = t.join(got, "source", "left").select("source", "target_share", "max_repeat", zero("documents"), zero("copies"), zero("tokens"))
-    total = got.agg(F.sum("tokens").alias("_total"))
-    share = F.when(F.col("_total") > 0, F.col("tokens") / F.col("_total")).otherwise(F.lit(0.0))
-    # one row against at most MAX_SOURCES
-    return rows.crossJoin(F.broadcast(total)).select(*rows.columns, share.alias("actual_share"))
+    total = got.agg(F.sum("tokens")).first()[0]
+    share = F.col("tokens") / F.lit(float(total)) if total else F.lit(0.0)
+    return rows.select(*rows.columns, share.alias("actual_share"))

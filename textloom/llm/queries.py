@@ -42,9 +42,9 @@ CURRENT_SQL = """
 """
 
 
-def _n_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One row: the number of current records, from the clean per-shard statistics."""
-    return read_table(spark, folder, "stats").agg(F.coalesce(F.sum("document_count"), F.lit(0)).alias("n"))
+def _n_records(spark: SparkSession, folder: str) -> int:
+    """The number of current records, from the clean per-shard statistics."""
+    return read_table(spark, folder, "stats").agg(F.sum("document_count")).first()[0] or 0
 
 
 # ------------------------------------------------------------ 1: near duplicates
@@ -133,7 +133,7 @@ COMMON_SHARE = 0.1
 )
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Terms of ``content`` that are too rare or too common to be useful."""
-    n = _n_records(spark, folder).first()[0]
+    n = _n_records(spark, folder)
     counts = term_counts(read_table(spark, folder, "tokens").where(F.col("field") == "content"), place=("position",))
     return counts.select("term", mark(F.col("records"), n, COMMON_SHARE).alias("mark")).where(F.col("mark").isNotNull())
 
@@ -149,7 +149,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 )
 def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences and records of every distinct term over all fields and shards, with its mark."""
-    n = _n_records(spark, folder).first()[0]
+    n = _n_records(spark, folder)
     counts = term_counts(read_table(spark, folder, "tokens"))
     return counts.withColumn("mark", mark(F.col("records"), n, COMMON_SHARE))
 
