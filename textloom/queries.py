@@ -292,12 +292,14 @@ def _terms(postings: DataFrame) -> DataFrame:
 TOK = """
     tok AS (SELECT DISTINCT shard || '/' || id AS id, field, term, position FROM tokens),
     pos AS (SELECT field, term, id, CAST(count(*) AS INT) tf, list(position ORDER BY position) positions FROM tok GROUP BY field, term, id),
+    tfs AS (SELECT field, term, id, CAST(count(*) AS INT) tf FROM tok GROUP BY field, term, id),
     nn AS (SELECT sum(document_count)::DOUBLE n FROM stats),
     dl AS (SELECT id, field, count(*) len FROM tok GROUP BY id, field),
-    av AS (SELECT field, sum(len) / any_value(nn.n) mean FROM dl, nn GROUP BY field),
-    dic AS (SELECT field, term, count(*) df, CAST(sum(tf) AS BIGINT) total_tf FROM pos GROUP BY field, term),
-    sc AS (SELECT pos.*, dic.df, ln(1 + (nn.n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / mean)) s
-           FROM pos JOIN dic USING (field, term) JOIN dl USING (id, field) JOIN av USING (field), nn),
+    av AS (SELECT field, sum(len) / (SELECT n FROM nn) mean FROM dl GROUP BY field),
+    dic AS (SELECT field, term, count(*) df, CAST(sum(tf) AS BIGINT) total_tf FROM tfs GROUP BY field, term),
+    win AS (SELECT *, count(*) OVER (PARTITION BY field, term) df, sum(tf) OVER (PARTITION BY id, field) len FROM tfs),
+    sc AS (SELECT win.*, ln(1 + ((SELECT n FROM nn) - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / mean)) s
+           FROM win JOIN av USING (field)),
     docs AS (SELECT shard || '/' || id AS id, fields FROM (
         SELECT *, row_number() OVER (PARTITION BY shard, id ORDER BY seq DESC) rn
         FROM (SELECT DISTINCT seq, shard, id, fields FROM records
