@@ -56,6 +56,20 @@ def _points() -> Iterable[int]:
     yield from range(0xE0000, 0xE1000)
 
 
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _inside(chars: Iterable[str]) -> str:
+    """The inside of a character class, neighbours joined to ranges."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(re.escape(chr(a)) + (f"-{re.escape(chr(b))}" if b > a else "") for a, b in out)
+
+
 class Transducer:
     """The compiled mapping. ``apply`` is idempotent."""
 
@@ -116,12 +130,26 @@ class Transducer:
                 hidden.append(ch)
             elif self._cluster(ch) != ch:
                 changed.append(ch)
-        esc = lambda cs: "".join(map(re.escape, cs))
-        tail = f"[{esc(marks)}{esc(hidden)}]"
-        longer = "|".join(re.escape(s) for s in sorted((s for s in table if len(s) > 1), key=len, reverse=True))
+        # Classes of the basic plane compile to a bitmap; astral members would be tried one by one. So there are two
+        # patterns, and the one with astral characters serves the texts that hold any.
+        basic = lambda cs: [c for c in cs if ord(c) < 0x10000]
+        self.pattern, self.trigger = self._patterns(basic(changed), basic(marks), basic(hidden))
+        self.wide_pattern, self.wide_trigger = self._patterns(changed, marks, hidden)
+
+    def _patterns(self, changed: list[str], marks: list[str], hidden: list[str]) -> tuple[re.Pattern, re.Pattern]:
+        """The transducer's pattern, and the class of what a text must hold for anything to change in it."""
+        c, m, h = _inside(changed), _inside(marks), _inside(hidden)
+        # sequences with one second character form one class, so that a character is tried against few alternatives
+        seconds: dict[str, list[str]] = {}
+        for source in self.table:
+            if len(source) == 2:
+                seconds.setdefault(source[1], []).append(source[0])
+        longer = "|".join(f"[{_inside(firsts)}]{re.escape(second)}" for second, firsts in seconds.items())
+        tail = f"[{m}{h}]"
         jamo = "[ᄀ-ᅞ][ᅡ-ᆧ][ᆨ-ᇿ]?"
         # longest first: listed sequences, syllables of jamo, a changed base with its tail, any base with a tail, invisible characters before any base
-        self.pattern = re.compile(f"(?:{longer}){tail}*|{jamo}{tail}*|[{esc(changed)}]{tail}*|(?s:.){tail}+|[{esc(hidden)}]+", re.UNICODE)
+        pattern = f"(?:{longer}){tail}*|{jamo}{tail}*|[{c}]{tail}*|(?s:.){tail}+|[{h}]+"
+        return re.compile(pattern), re.compile(f"[{c}{m}{h}ᄀ-ᇿ]")
 
     def _cluster(self, cluster: str) -> str:
         """Rewrite one grapheme cluster."""
@@ -153,9 +181,8 @@ class Transducer:
         """The common form; null stays null, an empty text stays empty, ASCII without tabs is unchanged."""
         if text is None:
             return None
-        if text.isascii() and not ("\t" in text or "\x0b" in text or "\x0c" in text):
-            return text
-        return self.pattern.sub(self._replace, text)
+        pattern, trigger = (self.wide_pattern, self.wide_trigger) if _ASTRAL.search(text) else (self.pattern, self.trigger)
+        return text if trigger.search(text) is None else pattern.sub(self._replace, text)
 
 
 @lru_cache(maxsize=1)
