@@ -247,3 +247,16 @@ def test_random_trees(spark):
         assert got.keys() == want.keys(), q
         for d in want:
             assert got[d] == pytest.approx(want[d], abs=1e-9), q
+
+
+def test_fuzzy_beyond_the_literals(three, monkeypatch):
+    from textloom.plans import compiler
+
+    want = scores(three.search(FuzzyQuery(C, "gloang", 3)))
+    monkeypatch.setattr(compiler, "FUZZY_LITERALS", 0)
+    assert scores(three.search(FuzzyQuery(C, "gloang", 3))) == want != {}
+
+
+def test_many_static_terms(three):
+    words = " ".join(f"w{i}" for i in range(100))
+    assert scores(three.search(MatchQuery(C, words + " golang"))) == {"web": 0.980829}

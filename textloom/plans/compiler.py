@@ -22,6 +22,10 @@ from textloom.plans.ast import BooleanQuery, FuzzyQuery, MatchQuery, PhraseQuery
 #: Score of a phrase relative to the sum of its terms.
 PHRASE_BOOST = 1.5
 
+#: Up to so many terms, what a fuzzy leaf finds in the dictionary becomes literals, which prune the scan of the
+#: postings. Beyond, the expansion stays a join.
+FUZZY_LITERALS = 4096
+
 HITS = "id string, score double, explanation string"
 
 
@@ -76,8 +80,13 @@ class Plan:
             leaf.expand = lambda terms: terms.where(F.col("term").startswith(start)).withColumn("weight", F.lit(1.0))
         elif isinstance(q, FuzzyQuery):
             if tokens:
-                leaf.expand = self._fuzzy(tokens[0].term, q.edits)
-                leaf.scan = self._near(tokens[0].term, q.edits)
+                expand = self._fuzzy(tokens[0].term, q.edits)
+                dictionary = self.tables.terms.select("field", "term", "df").where(F.col("field") == q.field)
+                near = expand(dictionary).select("term", "weight").limit(FUZZY_LITERALS + 1).collect()
+                if len(near) <= FUZZY_LITERALS:
+                    leaf.terms = [(0, r["term"], r["weight"]) for r in near]
+                else:
+                    leaf.expand, leaf.scan = expand, self._near(tokens[0].term, q.edits)
         else:
             raise TypeError(f"not a query: {q!r}")
         return number
@@ -146,7 +155,7 @@ class Plan:
         static = [(f.number, slot, f.field, term, w) for f in self.leaves for slot, term, w in f.terms]
         dictionary = self.tables.terms.select("field", "term", "df")
         if static:
-            rows = spark.createDataFrame(static, "leaf int, slot int, field string, term string, weight double")
+            rows = self._literals(spark, static)
             some = dictionary.where(self._pairs([(r[2], r[3]) for r in static]))
             # as many rows as the query has terms
             parts.append(some.join(F.broadcast(rows), ["field", "term"]).select("leaf", "slot", "field", "term", "weight", "df"))
@@ -159,6 +168,14 @@ class Plan:
             out = out.unionByName(p)
         return out
 
+    @staticmethod
+    def _literals(spark, static: list[tuple[int, int, str, str, float]]) -> DataFrame:
+        """The static term rows: a constant of the plan where they are few, else a local table."""
+        names = ("leaf", "slot", "field", "term", "weight")
+        if len(static) > 64:
+            return spark.createDataFrame(static, "leaf int, slot int, field string, term string, weight double")
+        return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in static])))
+
     @staticmethod
     def _pairs(pairs: list[tuple[str, str]]) -> Column:
         """``field`` and ``term`` among the pairs, in a form that reaches the scan."""
