@@ -16,6 +16,7 @@ from textloom.operators.index_tables import BLANK, IndexTables, build, invalid_d
 from textloom.plans.ast import Query, TermQuery
 from textloom.plans.compiler import HITS, Plan
 from textloom.plans.parser import parse
+from textloom.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -154,6 +155,9 @@ class SearchIndex:
             last = documents.groupBy("id").agg(F.max_by(F.struct("fields"), F.col(order)).alias("d"))
             new = last.select("id", F.col("d.fields").alias("fields"))
         fresh = build(new, self.config.of, sorted(self.config.field_analyzers))
+        # analysed once: the new postings are written, and the change of the dictionary is counted from them
+        postings = materialize(fresh.postings, "new-postings")
+        fresh = IndexTables(fresh.documents, postings, terms_of(postings), fresh.doclen, fresh.stats)
         return self._merged(new.select("id"), fresh)
 
     def delete(self, *ids: str) -> "SearchIndex":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,10 @@ from textloom.operators.heavy_keys import once, profile_keys
 from textloom.operators.index_tables import IndexTables
 from textloom.operators.search_index import SearchIndex
 from textloom.plans.ast import BooleanQuery, FuzzyQuery, MatchQuery, PhraseQuery, PrefixQuery, Query, TermQuery
-from textloom.runtime import materialize, read_table
+from textloom.runtime import materialize, read_table, shared_dir
 from textloom.sources.corpora import corpus, corpus_of_records
+from textloom.sources.store import StoredIndex, is_folder
+from textloom.streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -657,6 +660,28 @@ def check_report(spark: SparkSession, folder: str) -> DataFrame:
     return records_index(spark, folder).check().select("documents", "terms", "postings", F.size("problems").alias("n_problems"))
 
 
+@query(f"WITH {TOK} SELECT field, term, df, total_tf FROM dic")
+def stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index published as a new version of a stored one and read back."""
+    index = records_index(spark, folder)
+    store = StoredIndex(spark, f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}")
+    return store.write(lambda _: index).tables.terms.select("field", "term", "df", "total_tf")
+
+
+@query("SELECT lower(source) AS term, count(*) AS df, count(*) AS total_tf FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as a stream into a stored index; the terms of their source."""
+    base = f"{shared_dir(spark)}/textloom/stream-{uuid.uuid4().hex}"
+    store = StoredIndex(spark, f"{base}/index")
+    schema = read_table(spark, folder, "documents").schema
+    # a stream reads folders: the table's own, or the one that holds its single file
+    reader = spark.readStream.schema(schema)
+    table = f"{folder}/documents.parquet"
+    rows = reader.parquet(table) if is_folder(spark, table) else reader.option("pathGlobFilter", "documents.parquet").parquet(folder)
+    ingest(corpus(rows, "doc_id", {"text": "text", "source": "source"}), store, f"{base}/checkpoint").awaitTermination()
+    return store.snapshot().terms("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -94,6 +94,12 @@ class Folder:
             self._fs.delete(self._path(f"{self.path}/v{v}"), True)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 class StoredIndex:
     """A persistent index: every write publishes a new version as a whole, or nothing."""
 
