@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from textloom.operators.ranking import global_rank
 
-#: Largest allowed capacity and number of kinds; they bound the sweep's tables.
-MAX_CAPACITY = 1 << 20
+#: Largest allowed sum of the capacities, and number of kinds; they bound the sweep's tables.
+MAX_CAPACITIES = 1 << 20
 MAX_KINDS = 64
 
 
@@ -108,7 +108,7 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     """
     got = containers.where(F.col("container_kind").isNotNull() & (F.col("capacity_tokens") > 0)).groupBy("container_kind").agg(F.max("capacity_tokens").alias("c"))
     kinds = sorted((r[0], int(r[1])) for r in got.limit(MAX_KINDS + 1).collect())
-    if len(kinds) > MAX_KINDS or any(c > MAX_CAPACITY for _, c in kinds):
+    if len(kinds) > MAX_KINDS or sum(c for _, c in kinds) > MAX_CAPACITIES:
         raise ValueError("too many kinds of containers, or too large ones")
     spark = sizes.sparkSession
     if not kinds:
