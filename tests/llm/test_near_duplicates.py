@@ -106,6 +106,16 @@ def test_multiset_overlap(spark):
     assert [tuple(r) for r in nd.record_pairs(members, pairs, "k").collect()] == [(1, 2)]
 
 
+def test_edited_copies_of_one_are_a_third_of_all(spark):
+    """Common in the group, rare in the edits: the terms that differ are the rare ones."""
+    r = random.Random(4)
+    docs = {k: [f"b{i}" for i in range(80)] + [f"e{k}-{i}" for i in range(r.randint(8, 17))] for k in range(120)}
+    docs |= {k: [f"w{r.randint(0, 4000)}" for _ in range(70)] for k in range(120, 360)}
+    members, pairs = nd.similar_pairs(materialize(nd.bags_of_terms(_tokens(spark, docs), ["k"], "term"), "bags"), "k", (7, 10))
+    want, got = _truth(docs), {tuple(r) for r in nd.record_pairs(members, pairs, "k").collect()}
+    assert got <= want and len(want - got) <= 0.001 * len(want)
+
+
 def test_empty(spark):
     bags = nd.bags_of_terms(spark.createDataFrame([], "k long, term string"), ["k"], "term")
     members, pairs = nd.similar_pairs(materialize(bags, "bags"), "k", (7, 10))

@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 
 from textloom.runtime import broadcast_if_small, materialize
 
-#: Largest weight of an item, in bits of information: an item held by a share
-#: s of the bags weighs round(-log2 s), at least 1 and at most this.
+#: Largest weight of an item that a signature has levels for.
 TOP_WEIGHT = 10
 
-#: Signature rows per band and number of bands. A pair of weighted similarity
-#: 0.65 shares a band with probability 0.988, one of 0.70 with 0.9996, one of
-#: 0.75 with 0.999997.
+#: Signature rows per band and number of bands. A pair of similarity 0.65
+#: shares a band with probability 0.988, one of 0.70 with 0.9996, one of 0.75
+#: with 0.999997.
 ROWS, BANDS = 7, 90
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -143,34 +142,21 @@ def bags_of_terms(tokens: DataFrame, record: list[str], term: str, multiset: boo
     return rows.select(*record, item.alias("_x")).groupBy(*record).agg(F.array_sort(F.collect_set("_x")).alias("items"))
 
 
-def common_items(bags: DataFrame, n: int, top: int = TOP_WEIGHT) -> dict[int, int]:
-    """Weights of the items held by more than ``2**-(top - 0.5)`` of the bags; all others weigh ``top``.
+def band_keys(bags: DataFrame, key: str, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """``key, band``: one line per bag and band, ``band`` being a hash of the band's number and values.
 
-    There are fewer than ``2**top`` times the mean bag size of them, whatever
-    the number of bags, so they may be held by every task.
+    Every item weighs 1, so registers agree with the probability of the very
+    similarity that is verified, whatever the share of the bags with an item.
     """
-    least = n * 2.0 ** -(top - 0.5)
-    freq = bags.select(F.explode("items").alias("x")).groupBy("x").agg(F.count("*").alias("df")).where(F.col("df") > F.lit(least))
-    return {r["x"]: max(1, min(top, round(-math.log2(r["df"] / n)))) for r in freq.collect()}
-
-
-def band_keys(bags: DataFrame, key: str, weights: dict[int, int], rows: int = ROWS, bands: int = BANDS, top: int = TOP_WEIGHT) -> DataFrame:
-    """``key, band``: one line per bag and band, ``band`` being a hash of the band's number and values."""
-    shared = bags.sparkSession.sparkContext.broadcast((np.array(sorted(weights), np.int64), np.array([weights[k] for k in sorted(weights)], np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, level = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 lists = part.column(1)
                 items = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 sizes = np.diff(lists.offsets.to_numpy())
-                w = np.full(len(items), top, np.int64)
-                if len(known):
-                    i = np.minimum(np.searchsorted(known, items), len(known) - 1)
-                    w = np.where(known[i] == items, level[i], top)
-                sig = bag_min_hash(items, w, np.r_[0, np.cumsum(sizes)[:-1]], rows * bands, top=top)
+                sig = bag_min_hash(items, np.ones(len(items), np.int64), np.r_[0, np.cumsum(sizes)[:-1]], rows * bands, top=1)
                 bits = sig.view(np.uint64).reshape(len(sizes), bands, rows)
                 with np.errstate(over="ignore"):
                     h = _mix(np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(77), (len(sizes), bands)).copy())
@@ -193,18 +179,16 @@ def similar_pairs(bags: DataFrame, key: str, threshold: tuple[int, int], rows: i
     ``(members, pairs)``: ``members`` has ``rep, key`` for every bag, ``pairs``
     has ``a, b`` with ``a < b``. Equal bags are one class from the start, so a
     class that holds a third of all rows costs one signature and no pairs.
-    Candidates share a band of their BagMinHash signatures, in which common
-    items weigh little; each candidate is then verified exactly. Empty bags are
-    no case. No rows give no classes and no pairs.
+    Candidates share a band of their BagMinHash signatures, in which every item
+    weighs 1; each candidate is then verified exactly. Empty bags are no case.
+    No rows give no classes and no pairs.
     """
     bags = bags.where(F.size("items") > 0)
     marked = bags.select(key, F.xxhash64("items").alias("_f"), F.xxhash64(F.lit(7), "items").alias("_g"))
     classes = marked.groupBy("_f", "_g").agg(F.min(key).alias("rep"))
     members = materialize(marked.join(classes, ["_f", "_g"]).select("rep", key), "members")
     reps = materialize(bags.join(members.where(F.col("rep") == F.col(key)).select(key), key, "left_semi"), "reps")
-    n = reps.count()
-    weights = common_items(reps, n) if n else {}
-    keys = band_keys(reps, key, weights, rows, bands)
+    keys = band_keys(reps, key, rows, bands)
     a = keys.select(F.col(key).alias("a"), "band")
     b = keys.select(F.col(key).alias("b"), "band")
     candidates = materialize(a.join(b, "band").where(F.col("a") < F.col("b")).select("a", "b").distinct(), "candidates")
@@ -265,4 +249,4 @@ def estimate(sig_a: np.ndarray, sig_b: np.ndarray) -> float:
     return float(np.mean(sig_a == sig_b))
 
 
-__all__ = ["bag_min_hash", "bags_of_terms", "band_keys", "common_items", "components", "estimate", "groups", "record_pairs", "similar_pairs"]
+__all__ = ["bag_min_hash", "bags_of_terms", "band_keys", "components", "estimate", "groups", "record_pairs", "similar_pairs"]
