@@ -82,6 +82,15 @@ def test_recurring_name_is_recognised(model):
     assert names == ["Gareth Quenborne"] * 2
 
 
+def test_whole_texts_are_read(model):
+    text = "a quiet word, then more of them\n" * 40 + "今天天气很好" * 30
+    spans = pii.Lexer().features([text])[1]
+    assert "".join(text[a:b] for a, b in spans) == "".join(text.split())
+    for piece in ("João da Silva", "Ana dos Santos", "Šimon Thornfield", "Anna  Meyer"):
+        line = f"the parser reads the values, thanks to {piece} for the patch."
+        assert [line[a:b] for a, b, _ in model.find([line])[0]] == [piece]
+
+
 CASES = [None, "", "   ", "nothing here", "x" * 200_000, "Tel. 555-555-0123", "😀 请联系王芳，邮箱 a.b@mail.example，电话 010-55501234。", "From: Mara O'Drannery <mara [at] corp [dot] test>\n" * 300]
 
 

@@ -21,8 +21,8 @@ N_LABELS = 1 + 2 * len(KINDS)
 
 #: Documents made up for fitting, a bound of the model and of nothing else.
 FIT_DOCUMENTS = 5000
-#: Text around an anchor that is read by the field, in characters.
-MARGIN = 56
+#: Padded characters of the texts that are read at once; a longer text is read alone.
+READ_AT_ONCE = 1_000_000
 
 _HAN = "㐀-鿿"
 _AT = r"(?:\s?[@＠]\s?|\s?[\[({]\s?at\s?[\])}]\s?|&\#64;)"
@@ -30,7 +30,7 @@ _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
 
 TOKEN = re.compile(
     rf"""
-    (?P<E>[A-Za-z0-9_%+À-ɏ][A-Za-z0-9._%+\-À-ɏ]*{_AT}[A-Za-z0-9À-ɏ][A-Za-z0-9\-À-ɏ]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9\-]*)+)
+    (?P<E>[A-Za-z0-9_%+À-ɏ][A-Za-z0-9._%+\-À-ɏ]{{0,63}}{_AT}[A-Za-z0-9À-ɏ][A-Za-z0-9\-À-ɏ]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9\-]*)+)
     |(?P<A>(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{{7,}}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{{1,2}}(?:[ ]\d{{2,3}}){{2,4}}[ ][A-Z](?![A-Za-z0-9]))
     |(?P<N>(?<![A-Za-z0-9_])(?:\+\d{{1,3}}[ \xa0]?\(\d+\)|\d{{1,3}}[ \xa0]\(\d{{2,4}}\)|\(\d+\)|\+?\d+)(?:[ \xa0.\-/]?\d+)*(?:-?[A-Za-z](?![A-Za-z0-9]))?)
     |(?P<H>[{_HAN}])
@@ -40,54 +40,9 @@ TOKEN = re.compile(
     re.VERBOSE,
 )
 
-_UP = "A-ZÀ-ÖØ-ÞА-ЯЁ"
-# Each alternative looks back at the one character that the class in front has
-# consumed; a pattern that begins with a class lets most text be skipped fast.
-# Articles and the like, which start a noun phrase and are no names:
-_ARTICLE = r"(?:(?<=D)(?:ie|er|as|en|em|es)|(?<=E)in(?:e|en|er)?|(?<=J)eder?|(?<=U)nser(?:e|er)?|(?<=Z)(?:um|ur|u)|(?<=I)[mn]|(?<=A)[mns]?|(?<=S)eit|(?<=B)ei|(?<=N)ach|(?<=V)or|(?<=T)he|(?<=O)n)\s"
-ANCHOR = re.compile(
-    rf"""
-    [@＠\[({{&\d{_UP}联收报地号姓感寄路街巷道](?:
-    (?<=[@＠])
-    |(?<=[\[({{])\s?at\s?[\])}}]
-    |(?<=&)\#64;
-    |(?<=\d)(?:[ \xa0().\-/]{{0,2}}\d){{6,}}
-    |(?<=[A-Z])(?<![A-Za-z0-9].)[A-Z]?(?:(?:\s?\d\d){{2,}}|\d\d[A-Z]\d\d)
-    |(?<=\d)(?<![\w.\-/,].)\d{{0,3}}[A-Za-z]?(?:\s(?:bis|ter))?,?\s(?:[^\W\d_]{{1,12}}['’\s]\s?){{0,3}}(?<=\s)[{_UP}]
-    |(?<=[{_UP}])[\w'’\-/.]*(?:\s(?:ул|пр|пер)\.)?,?\s(?:(?:д\.|n\.º|nº|№)\s?)?\d{{1,4}}[A-Za-z]?(?![\w.]\d|\w)
-    |(?<=[{_UP}])(?<!\w.)(?!{_ARTICLE})[\w'’\-]*[.,]?\s(?:[{_UP}]\.\s)?(?:(?:d['’]|von-|von\s|van\s|de\s)[{_UP}]|[{_UP}])
-    |(?<=联)系|(?<=收)件|(?<=报)告人|(?<=地)址|(?<=号)码|(?<=姓)名|(?<=感)谢|(?<=寄)到|(?<=[路街巷道])\d
-    )
-    """,
-    re.VERBOSE,
-)
-
-
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around everything that might belong to personal data, merged where they meet."""
-    out: list[tuple[int, int]] = []
-    for m in ANCHOR.finditer(text):
-        a, b = m.start() - MARGIN, m.end() + MARGIN
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((max(0, a), b))
-    fixed: list[tuple[int, int]] = []
-    n = len(text)
-    for a, b in out:
-        # no word is cut: each end moves outward to a blank or a sign of width, at most 40 characters
-        k = 0
-        while a > 0 and k < 40 and text[a - 1].isalnum() and ord(text[a - 1]) < 0x2E80:
-            a, k = a - 1, k + 1
-        k = 0
-        while b < n and k < 40 and text[b].isalnum() and ord(text[b]) < 0x2E80:
-            b, k = b + 1, k + 1
-        if fixed and a <= fixed[-1][1]:
-            fixed[-1] = (fixed[-1][0], min(b, n))
-        else:
-            fixed.append((a, min(b, n)))
-    return fixed
+    """Stretches of text that the field reads: the whole of it, as one chain."""
+    return [(0, len(text))] if text else []
 
 
 _DIGITS = str.maketrans("123456789", "000000000")
@@ -140,7 +95,7 @@ def _join(template: int, *parts: np.ndarray) -> np.ndarray:
 
 
 class Lexer:
-    """Turns windows into hashed features; remembers the forms it has met."""
+    """Turns texts into hashed features; remembers the forms it has met."""
 
     def __init__(self):
         self.forms: dict[tuple[str, str], int] = {("", "<edge>"): 0}
@@ -164,7 +119,7 @@ class Lexer:
         return i
 
     def features(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, list[int], list[list[int]]]:
-        """Hashes (tokens x ``N_FEATURES``), spans, window lengths, the text of each window, groups of recurring words."""
+        """Hashes (tokens x ``N_FEATURES``), spans, chain lengths, the text of each chain, groups of recurring words. A text is one chain."""
         if len(self.table) > 400_000:
             self.__init__()
         forms, form = self.forms, self._form
@@ -206,7 +161,7 @@ class Lexer:
         k0, k1, k2, km1, km2 = k[at], k[at + 1], k[np.minimum(at + 2, len(k) - 1)], k[at - 1], k[at - 2]
         h0, h1, h2, hm1, hm2 = h[at], h[at + 1], h[np.minimum(at + 2, len(h) - 1)], h[at - 1], h[at - 2]
         g0, g1 = g[at], g[at + 1]
-        # the last two words before a token, whatever signs stand between; the edge of the window counts as one
+        # the last two words before a token, whatever signs stand between; the edge of the text counts as one
         n = np.arange(len(idx))
         word = np.array(self.words)[idx] | (idx == 0)
         before = np.r_[0, np.maximum.accumulate(np.where(word, n, 0))[:-1]]
@@ -277,10 +232,21 @@ class Recogniser:
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Spans ``(start, end, kind)`` of each text, in code points."""
-        hashes, spans, lengths, owner, again = self.lexer.features(texts)
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        # texts of like length go together, as many as their padding allows
+        some: list[int] = []
+        for t in sorted(range(len(texts)), key=lambda t: len(texts[t])):
+            if some and (len(some) + 1) * len(texts[t]) > READ_AT_ONCE:
+                self._find(texts, some, out)
+                some = []
+            some.append(t)
+        self._find(texts, some, out)
+        return out
+
+    def _find(self, texts: list[str], some: list[int], out: list[list[tuple[int, int, str]]]) -> None:
+        hashes, spans, lengths, owner, again = self.lexer.features([texts[t] for t in some])
         if not len(hashes):
-            return out
+            return
         numbers = self.vocabulary.numbers(hashes)
         unary = np.zeros((len(numbers), N_LABELS), np.float32)
         for c in range(N_FEATURES):
@@ -288,12 +254,12 @@ class Recogniser:
         labels = self._decode(unary.astype(np.float64), lengths, skip_edges(again))
         at = 0
         for t, n in zip(owner, lengths):
-            out[t] += [x for x in _spans(labels[at : at + n], spans[at : at + n]) if plausible(x[2], texts[t][x[0] : x[1]])]
+            t = some[t]
+            out[t] = [x for x in _spans(labels[at : at + n], spans[at : at + n]) if plausible(x[2], texts[t][x[0] : x[1]])]
             at += n
-        return out
 
     def _decode(self, unary: np.ndarray, lengths: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Windows with skip edges go through message passing; all are decoded in batches of like length."""
+        """Texts with skip edges go through message passing; all are decoded in batches of like length."""
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         which = np.repeat(np.arange(len(lengths)), lengths)
         if len(edges):
@@ -334,12 +300,12 @@ def plausible(kind: str, piece: str) -> bool:
     """Whether a piece has what its kind cannot do without."""
     digits = sum(c.isdigit() for c in piece)
     if kind == "name":
-        return not digits and (len(piece.split()) > 1 or (len(piece) > 1 and all("㐀" <= c <= "鿿" for c in piece)))
+        return not digits and piece[0].isalpha() and (len(piece.split()) > 1 or (len(piece) > 1 and all("㐀" <= c <= "鿿" for c in piece)))
     if kind == "email":
         return re.search(_AT, piece) is not None and re.split(r"[.\])}\s]+", piece)[-1].isalpha()
     if kind == "address":
         return digits > 0 and any(c.isalpha() for c in piece)
-    return digits >= (7 if kind == "phone" else 6)
+    return digits >= 7 if kind == "phone" else digits >= 3 and sum(c.isalnum() for c in piece) >= 6
 
 
 def _truth(samples: list[tuple[str, list[tuple[int, int, str]]]], spans: list[tuple[int, int]], lengths: np.ndarray, owner: list[int]) -> np.ndarray:

@@ -13,12 +13,14 @@ GIVEN = {
     "de": "Anna Bernd Christa Dieter Elke Frank Günter Hans Ilse Jens Karin Klaus Martin Monika Peter Ralf Sabine Stefan Uwe Wolfgang Jörg Bärbel",
     "es": "Alejandro Antonio Carmen Elena Fernando Isabel Javier José Juan Luis María Miguel Pablo Rosa Sergio Andrés Mónica Ángel Raúl",
     "fr": "Camille Chloé Claire Émile Émilie François Jean Julien Lucas Marie Nicolas Paul Pierre Sophie Thomas Hélène Cédric Anaïs",
-    "nl": "Anneke Bram Daan Eva Hans Jan Johanna Kees Maria Pieter Sanne Sophie Thijs Willem Anouk Joris",
+    "nl": "Anneke Bram Daan Eva Hans Jan Johanna Kees Maria Pieter Sanne Sophie Thijs Willem Anouk Joris An",
     "pt": "Ana António Bruno Carlos Fernando Joana José Luís Manuel Maria Miguel Paulo Pedro Rita Sofia Teresa João",
     "ru": "Алексей Анна Борис Виктор Дмитрий Екатерина Елена Иван Мария Наталья Николай Ольга Павел Пётр Светлана Сергей Татьяна Юрий",
 }
 FAMILY_RU = "Иванов Петров Кузнецов Соколова Попов Лебедев Смирнова Волков Морозов Новикова Шевченко Бондаренко Ковалевич Рудковский Гордеев Зайцев"
 STREETS_RU = "Ленина Садовая Лесная Полевая Школьная Зелёная Центральная Набережная Советская Молодёжная"
+#: Words between a given name and a family name.
+PARTICLES = {"de": "von|von der|zu", "es": "de|de la|del", "fr": "de|du|le", "nl": "van|van der|van den|de", "pt": "da|dos|de|do"}
 SURNAMES_ZH = "王 李 张 刘 陈 杨 赵 黄 周 吴 徐 孙 胡 朱 高 林 何 郭 马 罗 梁 宋 郑 谢 韩 唐 冯 于 董 萧 程 曹 袁 邓 许 傅 沈 曾 彭 吕 苏 卢 蒋 蔡 贾 丁 魏 薛 叶 阎 余 潘 杜 戴 夏 钟 汪 田 任 姜 范 方 石 姚 谭 廖 邹 熊 金 陆 郝 孔 白 崔 康 毛 邱 秦 江 史 顾 侯 邵 孟 龙 万 段 雷 钱 汤 尹 黎 易 常 武 乔 贺 赖 龚 文"
 COMPOUND_ZH = "欧阳 司马 上官 诸葛 夏侯 皇甫 慕容 令狐 宇文 长孙 尉迟 公孙 端木 南宫 东方"
 GIVEN_ZH = "伟 芳 娜 敏 静 丽 强 磊 军 洋 勇 艳 杰 涛 明 超 秀英 华 建国 志强 晓明 子涵 雨轩 思远 佳怡 嘉树 清扬 明远 一帆 海燕 文博 梓萱 浩然 春梅 立新 玉兰 国栋 婷婷 俊熙 美玲"
@@ -33,11 +35,11 @@ SENTENCES = {
         "{N} asked for a rebuild, fax {P}", "Dr. {N} asked for a rebuild, fax {P}", "tel. {P}", "phone: {P}", '{{"user": "{N}", "mail": "{E}", "phone": "{P}"}}',
         'user={E} addr="{A}" ssn={I}', "It still shows the home address {A} on page two.", "The parser chokes on {E}; the rest is fine.",
         "| {N} | {E} | {P} |", "--\n{N}\n{A}\n{P}\n{E}", "-- \n{N}\n{A}\n{P}\n{E}", "-- \n{N}\n{A}\n{P}", "-- \n{N}\n{P}\n{E}", "Thanks to {N} for the patch.", "Mr. {N} called from {P}", "cc {N}",
-        "social security number {I}", "tax id {I} belongs to {N}", "> {N} wrote:", "Author: {N} <{E}>", "address: {A}", "Hi, this is {N} from the support team",
+        "social security number {I}", "tax id {I} belongs to {N}", "> {N} wrote:", "Author: {N} <{E}>", "address: {A}", "Hi, this is {N} from the support team", "{N}", "Yesterday {N} met {N} at the station.", "Call {N} today", "I think {N} has seen it.",
     ],
     "de": [
         "Die Steuernummer {I} gehört zu {N}.", "Ausweisnummer {I} taucht im Index auf.", "Herr {N} wohnt in der Nähe, Anschrift: {A}.", "Frau {N} wohnt in der Nähe, Anschrift: {A}.",
-        "Gemeldet von {N}, {A}", "Gemeldet von {N}, {A}.", "Bitte {N} unter {E} oder {P} anschreiben.", "Von: {N} <{E}>", "Tel.: {P}", "Anschrift: {A}", "Danke an {N} für den Patch.", "Telefon {P}",
+        "Gemeldet von {N}, {A}", "Gemeldet von {N}, {A}.", "Bitte {N} unter {E} oder {P} anschreiben.", "Von: {N} <{E}>", "Tel.: {P}", "Anschrift: {A}", "Danke an {N} für den Patch.", "Telefon {P}", "{N}", "Gestern hat {N} angerufen.",
     ],
     "es": [
         "Contacte con {N} en {E} o en el {P}.", "De: {N} <{E}>", "Lo comunicó {N}, con domicilio en {A}.", "Enviar el disco a {N}, {A}.", "El DNI {I} aparece en los resultados.", "Tel. {P}", "Dirección: {A}", "Gracias a {N} por el parche.",
@@ -55,7 +57,7 @@ SENTENCES = {
         "Пишите: {N}, {E}, телефон {P}.", "От: {N} <{E}>", "Сообщение отправил {N}, паспорт {I}.", "СНИЛС {I} попал в индекс.", "тел. {P}", "Адрес: {A}", "Спасибо {N} за исправление.",
     ],
     "zh": [
-        "请联系{N}，邮箱 {E}，电话 {P}。", "报告人：{N}（{E}）", "寄到{A}，收件人{N}。", "{N}的地址是{A}。", "身份证号码 {I} 出现在搜索结果里。", "手机：{P}", "感谢{N}提交补丁。", "地址：{A}", "护照号码 {I}", "联系人：{N}",
+        "请联系{N}，邮箱 {E}，电话 {P}。", "报告人：{N}（{E}）", "寄到{A}，收件人{N}。", "{N}的地址是{A}。", "身份证号码 {I} 出现在搜索结果里。", "手机：{P}", "感谢{N}提交补丁。", "地址：{A}", "护照号码 {I}", "联系人：{N}", "昨天{N}来过，{h}。", "昨天{N}去了{h}。", "{h}，{N}说{h}。", "今天{N}和{N}{h}。",
     ],
 }
 
@@ -67,17 +69,19 @@ PLAIN = {
         "(sha {hex})", "KOR-{n}{n}", "shard_{n}", "https://docs.example/{n}{n}", "# Notes on {w}: the {w} {n}", "Release {d}.{d}, {n} fixes", "{W} {n} is for {w} with {w}, as in {w}", "In practice, the {w} splits {w}, {big}.",
         "Porter Stemmer and Binary Search are described in Chapter {n}", "See Section {d} of the Style Guide", "On Monday Morning the Load Balancer dropped {n} requests", "Meanwhile, The {W} {w} {n} items of {big}.",
         "The Query Planner and the Merge Policy use {big} bytes", "port {n} on 10.0.{d}.{d}", "The {w} exposes {W} {w} {n}. The {w} runs.", "Table {d}: Hot Keys", "order {big} shipped", "ticket {big} closed",
+        "{W} from there, the {w} {w} {w}", "The {W} {w} the {w}.", "However, the {w} {w}", "{W}, our {w} {w} the {w}", "Does the {w} {w}? {W} it does, {w}",
     ],
     "de": [
         "Der Parser liest den Schreibpuffer, {w}-Zweig, {w} ohne jede Warnung {w}/{w}.", "Die Suchseite zählt die Länge jedes Feldes, {w} ({f}).", "Ein Hintergrundprozess prüft alle Stoppwörter bei hoher Last {w}/{w}, {n}{n}.",
         "Zum Beispiel, der Tokenizer sperrt {w}, doppelte Einträge braucht {n}", "{W}-Dienst lädt leere Werte, unser Werkzeug meldet {w}", "{W}-Modul verwirft kleine Ausschnitte nach einem Neustart.", "{W}-Format kürzt falsche Kopfzeilen",
         "{W}-Verbund sortiert mehrere Sprachen.", "{W}-Zweig speichert die alte Fassung", "# Hinweise zu {W}: leere Werte {n}", "Unser Werkzeug vergleicht den ersten Treffer, v{d}.{d}.{d}.",
+        "Das {W} {w} die {W} der {W}", "Der {W} {w} das {W}.", "Die {W} {w}, ein {W} {w}", "Ein {W} braucht {w}", "Im {W} {w} jede {W} {w}.",
     ],
     "es": ["Cada réplica ordena las listas largas, rama {w}, {w} una vez por hora {w}/{w}.", "{W} y el búfer de escritura {n}", "Módulo {w} revisa pequeños fragmentos {w}/{w} ({n}).", "Nuestra herramienta guarda los valores vacíos, {n}{n}.", "Rama {w} omite el primer resultado"],
     "fr": ["La requête lit le premier résultat, branche {w}, {w} avant la validation {w}/{w}.", "Module {w} rejette les valeurs vides ({big}).", "Service {w} vérifie quelques termes rares {w}/{w}.", "L'indexeur compare la version précédente, v{d}.{d}.{d}", "# Notes sur {w} : les blocs inutilisés {n}"],
     "nl": ["Een trage schijf telt de schrijfbuffer, {w} tak, {w} in de meeste gevallen {w}/{w}.", "Elke kopie vervangt {n} regels", "{W} onderdeel vergelijkt dubbele regels {w}/{w}", "De indexeerder bewaart lege waarden, {n}{n}."],
     "pt": ["O indexador conta pequenos trechos, módulo {w}, {w} até que a fila fique vazia {w}/{w}.", "Ramo {w} bloqueia {n} valores", "Módulo {w} ordena os blocos sem uso ({n}).", "Cada réplica repete as posições guardadas, v{d}.{d}.{d}"],
-    "ru": ["Разборщик отбрасывает первый результат, ветка {w}, {w} после перезапуска {w}/{w}.", "Старый Снимок хранит {n} записей, {big}.", "Журнал хранит пустые значения ({f}).", "Ветка {w} заменяет буфер записи {w}/{w}.", "Кроме того, словарь считает {w}, v{d}.{d}.{d}", "Модуль {w} читает частоту слов, {n}{n}."],
+    "ru": ["Разборщик отбрасывает первый результат, ветка {w}, {w} после перезапуска {w}/{w}.", "Старый Снимок хранит {n} записей, {big}.", "Журнал хранит пустые значения ({f}).", "Ветка {w} заменяет буфер записи {w}/{w}.", "Кроме того, словарь считает {w}, v{d}.{d}.{d}", "Модуль {w} читает частоту слов, {n}{n}.", "Однако, {w} {w}", "Потом, журнал {w}", "К примеру, разборщик {w}."],
     "zh": [
         "{h}{h}，{h}{w}（{n}）。", "{h}和{h}都{h} {w}，{h}。", "{h}报告第{d}号分片，编号 {n}。", "联系地址会被索引器忽略，电话号码字段为空。", "{h}，{w} 格式{h}{h}（v{d}.{d}.{d}）。", "{h}{h}，但是{w} 与 {w} 仍然{h}{h}！", "{h}{h}{h}，{h}。", "{h}，{h}{h}（{f}）。",
         "由于{h}，{h}收件数量{n}，路{d}没有变化。", "# {w}使用指南：{h} {n}", "{h}{h}。{h}，{h}{h}，{h}。",
@@ -124,7 +128,11 @@ class Maker:
         else:
             last = self.word().capitalize()
             x = r.random()
-            if x < 0.08:
+            if r.random() < 0.05:
+                last = r.choice("ČĐŁŚŞŠŽİŐ") + last[1:]
+            if lang in PARTICLES and r.random() < 0.15:
+                last = r.choice(PARTICLES[lang].split("|")) + " " + last
+            elif x < 0.08:
                 last = r.choice(["O'", "Mc", "d'", "von-", "Mac"]) + last
             elif x < 0.16:
                 last += "-" + self.word().capitalize()
@@ -134,7 +142,7 @@ class Maker:
             first += f" {r.choice('ABCDEGHKLMNRST')}."
         if r.random() < 0.1:
             last = last.upper()
-        return f"{last}, {first}" if r.random() < 0.22 else f"{first} {last}"
+        return f"{last}, {first}" if r.random() < 0.22 else f"{first}{'  ' if r.random() < 0.03 else ' '}{last}"
 
     def email(self) -> str:
         r = self.r
@@ -178,7 +186,7 @@ class Maker:
 
     def address(self, lang: str) -> str:
         r = self.r
-        n = str(r.randint(1, 299)) + (r.choice("abcABC") if r.random() < 0.12 else "")
+        n = str(r.randint(1, 299) if r.random() < 0.9 else r.randint(1000, 99999)) + (r.choice("abcABC") if r.random() < 0.12 else "")
         w = self.word(2, 4).capitalize()
         if lang == "en":
             return f"{n} " + r.choice(["{w} Street", "{w} Rd", "{w} Lane", "{w} Blvd.", "North {w} Avenue", "Old {w} Road", "{w} Drive", "{w} Road"]).format(w=w)
@@ -234,7 +242,7 @@ class Maker:
                 out += self.fill(r.choice(SENTENCES[tongue]), tongue)
             else:
                 out += self.fill(r.choice(PLAIN[lang if r.random() < 0.6 else "en"]), lang)
-            out.append((r.choice([" ", "  ", "\n", "\n\n", " ", ". "]), None))
+            out.append((r.choice([" ", "  ", "\n", "\n\n", " ", ". ", "? ", "! "]), None))
         return out
 
 
