@@ -16,6 +16,14 @@ def test_runs(spark, name):
     assert core.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_highlights_of_all_hits(spark):
+    folder = "/root/testdata/sf0.01"
+    hits = {r["id"] for r in core._hits(spark, folder, core.MatchQuery("content", "stale snapshot")).collect()}
+    got = core.queries()["highlight_basic"](spark, folder).collect()
+    assert len(hits) > 10 and len(got) == len(hits) and {r["id"] for r in got if r["fragments"]} == hits
+    assert core.queries()["highlight_page"](spark, folder).count() == 10
+
+
 def test_contract(spark):
     assert set(core.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["id", "score"]

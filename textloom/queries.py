@@ -573,6 +573,13 @@ def facet_source(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def highlight_basic(spark: SparkSession, folder: str) -> DataFrame:
+    """Fragments of all hits."""
+    index = records_index(spark, folder)
+    return index.highlight(index.hits(MatchQuery("content", "stale snapshot")), "content", ["stale", "snapshot"], HighlightOptions(max_fragments=2))
+
+
+@query()
+def highlight_page(spark: SparkSession, folder: str) -> DataFrame:
     """Fragments of the ten best hits."""
     index = records_index(spark, folder)
     best = materialize(_hits(spark, folder, MatchQuery("content", "stale snapshot"), 10), "best")
