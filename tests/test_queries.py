@@ -24,6 +24,21 @@ def test_highlights_of_all_hits(spark):
     assert core.queries()["highlight_page"](spark, folder).count() == 10
 
 
+@pytest.mark.parametrize("name", ["upsert_batch", "delete_docs"])
+def test_change_is_written_whole(spark, monkeypatch, name):
+    made = []
+
+    class Store(core.StoredIndex):
+        def write(self, change):
+            made.append(super().write(change))
+            return made[-1]
+
+    monkeypatch.setattr(core, "StoredIndex", Store)
+    core.queries()[name](spark, "/root/testdata/sf0.001")
+    report = made[0].check().first()
+    assert report["documents"] > 0 and report["postings"] > 0 and not report["problems"]
+
+
 def test_contract(spark):
     assert set(core.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["id", "score"]

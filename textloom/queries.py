@@ -631,6 +631,11 @@ def _summary(index: SearchIndex) -> DataFrame:
     return index.tables.terms.where(F.col("field") == "content").select("term", "df", "total_tf")
 
 
+def _published(spark: SparkSession, index: SearchIndex) -> SearchIndex:
+    """All tables of ``index`` as a new version of a stored one, read back."""
+    return StoredIndex(spark, f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}").write(lambda _: index)
+
+
 @query(
     f"""
     WITH {TOK}, gone AS (SELECT id FROM docs WHERE fields['category'] = 'book'),
@@ -645,7 +650,7 @@ def upsert_batch(spark: SparkSession, folder: str) -> DataFrame:
     index = records_index(spark, folder)
     some = index.tables.documents.where(F.col("fields").getItem("category") == "book")
     new = some.select("id", F.create_map(F.lit("content"), F.lit("Renewed"), F.lit("category"), F.lit("book")).alias("fields"))
-    return _summary(index.add_batch(new))
+    return _summary(_published(spark, index.add_batch(new)))
 
 
 @query(f"WITH {TOK} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM pos WHERE field = 'content' AND NOT ends_with(id, '/shared/glossary') GROUP BY term")
@@ -653,7 +658,7 @@ def delete_docs(spark: SparkSession, folder: str) -> DataFrame:
     """The glossary of every shard is deleted."""
     index = records_index(spark, folder)
     ids = [r["id"] for r in index.tables.documents.where(F.col("id").endswith("/shared/glossary")).select("id").collect()]
-    return _summary(index.delete(*ids))
+    return _summary(_published(spark, index.delete(*ids)))
 
 
 @query(f"WITH {TOK} SELECT field, term, df, total_tf FROM dic")
@@ -670,9 +675,7 @@ def check_report(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {TOK} SELECT field, term, df, total_tf FROM dic")
 def stored_index(spark: SparkSession, folder: str) -> DataFrame:
     """The index published as a new version of a stored one and read back."""
-    index = records_index(spark, folder)
-    store = StoredIndex(spark, f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}")
-    return store.write(lambda _: index).tables.terms.select("field", "term", "df", "total_tf")
+    return _published(spark, records_index(spark, folder)).tables.terms.select("field", "term", "df", "total_tf")
 
 
 @query("SELECT lower(source) AS term, count(*) AS df, count(*) AS total_tf FROM documents WHERE source IS NOT NULL GROUP BY 1")
