@@ -1,11 +1,12 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 
 from textloom.llm import pii
-from textloom.llm.crf import Chain, forward_backward, loopy, skip_edges, viterbi
+from textloom.llm.crf import Chain, certain, forward_backward, legal, loopy, skip_edges, train_skip, viterbi
 from textloom.llm.pii_samples import make
 
 
@@ -42,7 +43,7 @@ def test_loopy_is_exact_on_a_tree():
     k = 3
     unary, trans, skip = r.normal(size=(4, k)), r.normal(size=(k, k)), r.normal(size=(k, k))
     chain = Chain(np.array([2, 2]))
-    now = loopy(unary, trans, chain, np.array([[1, 2]]), skip, rounds=4)
+    now = loopy(unary, trans, chain, np.array([[1, 2, 0]]), skip[None], rounds=6)
     _, marg, _ = forward_backward(now, trans, chain)
     total = np.zeros((4, k))
     for p in itertools.product(range(k), repeat=4):
@@ -53,13 +54,44 @@ def test_loopy_is_exact_on_a_tree():
 
 
 def test_edges_are_linear_in_the_group():
-    assert skip_edges([[1, 2], [4, 6, 9]]).tolist() == [[1, 2], [4, 6], [6, 9], [9, 4]]
-    assert skip_edges([]).shape == (0, 2)
+    assert skip_edges([1, 2]) == [(1, 2)] and skip_edges([4, 6, 9]) == [(4, 6), (6, 9), (9, 4)] and skip_edges([3]) == []
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_certain_tokens_are_outside_on_the_best_path(seed):
+    """The proof against full decoding, with margins from small to large."""
+    r = np.random.default_rng(seed)
+    lengths = r.integers(1, 40, 12)
+    n = int(lengths.sum())
+    trans = r.normal(size=(5, 5)) + legal(5)
+    unary = r.normal(size=(n, 5)) * 2
+    unary[:, 0] += r.uniform(0, 12, n)
+    ends = np.zeros(n, bool)
+    ends[np.cumsum(lengths) - 1] = True
+    starts = np.r_[True, ends[:-1]]
+    unary[starts, 2::2] -= 30
+    sure = certain(unary, trans, starts, ends)
+    best = viterbi(unary, trans, Chain(lengths))
+    assert not best[sure].any() and sure.mean() > 0.2
+
+
+def test_skip_potentials_are_learned():
+    """Tokens whose own features say nothing take the label of the equal token elsewhere."""
+    r = np.random.default_rng(2)
+    features, labels, lengths, edges = [], [], [], []
+    for i in range(300):
+        y = int(r.integers(0, 2))
+        edges.append((2 * i, 2 * i + 1, 0))
+        features += [[1 + y], [3]]
+        labels += [y, y]
+        lengths.append(2)
+    w, trans, skip = train_skip(np.array(features), np.array(labels), lengths, np.zeros((4, 2)), np.zeros((2, 2)), np.array(edges), np.array([0, 1]), 1, epochs=40)
+    assert skip[0, 0, 0] > 0.3 and skip[0, 1, 1] > 0.3 and skip[0, 0, 1] < -0.3 and np.allclose(skip[0], skip[0].T)
 
 
 @pytest.fixture(scope="module")
 def model():
-    return pii.fit(1500)
+    return pii.fit()
 
 
 def test_held_out(model):
@@ -69,13 +101,6 @@ def test_held_out(model):
     assert hit / sum(len(a) for _, a in samples) > 0.97 and hit / sum(map(len, found)) > 0.97
 
 
-def test_windows_hold_all_that_is_labelled():
-    for text, spans in make(600, seed=55):
-        w = pii.windows(text)
-        assert all(any(a <= s and e <= b for a, b in w) for s, e, _ in spans), text
-        assert all(b <= c for (_, b), (c, _) in zip(w, w[1:]))
-
-
 def test_recurring_name_is_recognised(model):
     text = "Reported by Gareth Quenborne (g@corp.test). " + "The parser reads the values. " * 6 + "Later Gareth Quenborne saw the block."
     names = [text[a:b] for a, b, k in model.find([text])[0] if k == "name"]
@@ -84,13 +109,112 @@ def test_recurring_name_is_recognised(model):
 
 def test_whole_texts_are_read(model):
     text = "a quiet word, then more of them\n" * 40 + "今天天气很好" * 30
-    spans = pii.Lexer().features([text])[1]
-    assert "".join(text[a:b] for a, b in spans) == "".join(text.split())
+    r = pii.Lexer().read([text])
+    assert "".join(text[a:b] for a, b in r.spans) == "".join(text.split())
     for piece in ("João da Silva", "Ana dos Santos", "Šimon Thornfield", "Anna  Meyer"):
         line = f"the parser reads the values, thanks to {piece} for the patch."
         assert [line[a:b] for a, b, _ in model.find([line])[0]] == [piece]
 
 
+def test_batches_do_not_matter(model, monkeypatch):
+    texts = [t for t, _ in make(60, seed=31)] + ["", " ", "x"]
+    whole = model.find(texts)
+    monkeypatch.setattr(pii, "READ_AT_ONCE", 100)
+    assert model.find(texts) == whole == [model.find([t])[0] for t in texts]
+
+
+def test_pruned_decoding_equals_full_decoding(model):
+    texts = [t for t, _ in make(80, seed=77)]
+    lone = pii.Recogniser(model.keys, model.shapes, model.own, model.around, model.weights, model.trans, np.zeros_like(model.skip))
+    r = lone.lexer.read(texts)
+    unary = lone.unary(r).astype(np.float64)
+    got = lone.decode(unary.copy(), r, texts)
+    first = np.r_[True, r.owner[1:] != r.owner[:-1]]
+    unary[first, 2::2] += pii.NEVER
+    assert (got == viterbi(unary, lone.trans, Chain(r.lengths[r.lengths > 0]))).all()
+
+
+def test_skip_edges_change_results(model):
+    """Without the skip potentials some recurring names of made-up documents come out otherwise; with them more are right."""
+    samples = make(3000, seed=4242)
+    texts = [t for t, _ in samples]
+    lone = pii.Recogniser(model.keys, model.shapes, model.own, model.around, model.weights, model.trans, np.zeros_like(model.skip))
+    a, b = model.find(texts), lone.find(texts)
+    assert sum(x != y for x, y in zip(a, b)) > 10
+    right = lambda found: sum(len(set(t) & set(f)) - len(set(f) - set(t)) for (_, t), f in zip(samples, found))
+    assert right(a) > right(b)
+
+
+#: Sentences written by hand in other words than the samples: {piece|kind letter}.
+OTHER_WORDS = """
+Yesterday evening {Margaret Ellsworth|N} handed in her keys at reception.
+The invoice should go to {Tom Whitfield|N}, not to the branch.
+Has anybody seen {Deborah Kane|N} since lunch?
+Voicemail from {(212) 555 0188|P}, no message left.
+Her badge shows {Q48213377|I} under the photo.
+They are renovating {17 Maple Avenue|A} until autumn.
+Escalated to {Samuel B. Ortega|N} because the disk was full.
+Bug filed against the Merge Policy; {Hollis, Janet|N} has the traceback.
+I forwarded it to {j.hollis@northgate.example|E} and to {sam (at) northgate.example|E} as well.
+Our landlord is {Peter O'Malley|N}, his office is {203B King Street|A}.
+SSN {512-44-7810|I} must not show up in the export.
+Ms. {Nkechi Okonkwo|N} will present the Annual Report on Tuesday.
+Der Schlüssel liegt bei {Annegret Pohl|N} im zweiten Stock.
+Wir treffen uns um acht vor {Lindenstraße 14a|A}.
+Notruf nachts: {0151 23456789|P}, fragen Sie nach {Karsten Wehrmann|N}.
+Seine Steuernummer lautet {93 815 036 207|I}.
+Frau {Henriette von Bülow|N} hat den Antrag zurückgezogen.
+El informe lo redactó {Consuelo Ibáñez|N} en marzo.
+Vive en la {Calle Mayor, 23|A} desde hace años.
+Me dio su DNI, {48213377K|I}, y se fue.
+Pregunta por {Andrés Llorente|N}, extensión del {912 345 678|P}.
+Le courrier est adressé à {Mathilde Garnier|N}.
+Ils ont emménagé {8 bis rue des Lilas|A} samedi.
+Son numéro, {06 12 34 56 78|P}, ne répond plus.
+Le dossier de {Yves Lemaître|N} est incomplet.
+De sleutel ligt bij {Annelies Vermeer|N} op kantoor.
+Zij wonen al jaren op {Prinsengracht 112|A}.
+Mijn nieuwe nummer is {06 1234 5678|P}.
+A chave está com {Leonor Figueiredo|N} na receção.
+Mudaram-se para a {Rua das Flores, 45|A} no sábado.
+O CPF dela é {123.456.789-09|I}, confirme por favor.
+Ключи у {Марина Афанасьева|N} на втором этаже.
+Они живут по адресу {ул. Садовая, д. 12|A} уже давно.
+Мой новый номер {+7 916 123-45-67|P}, запишите.
+钥匙在{陈晓东|N}那里，请下午去取。
+{赵丽华|N}上周搬到了{建国路88号|A}。
+我的新手机号是{13912345678|P}，旧的不用了。
+他的身份证号是{110101199003078515|I}。
+会议由{诸葛文涛|N}主持，{孙莉|N}做记录。
+The Northwind Traders catalogue lists 48213377 items in 12 groups.
+Chapter 4 of the Quick Start Guide explains the Query Planner.
+On Monday New York Airport was closed for 3 hours, flight 4821 left late.
+Der Parser liest die Tabelle, der Index wächst auf 93815036 Zeilen.
+Release 4.12.7 fixes ticket 48213 and order 20240117.
+搜索服务每小时重新加载词典，日志保留七天。
+"""
+
+
+def test_other_words(model):
+    """Figures on phrasing that the samples do not share, which the README gives; the bounds only guard against a fall."""
+    hit = found = true = 0
+    letters = dict(zip("NEPIA", pii.KINDS))
+    for line in OTHER_WORDS.strip().split("\n"):
+        text, want = "", set()
+        for i, part in enumerate(re.split(r"[{}]", line)):
+            if i % 2:
+                piece, kind = part.split("|")
+                want.add((len(text), len(text) + len(piece), letters[kind]))
+                part = piece
+            text += part
+        got = set(model.find([text])[0])
+        for x in want ^ got:
+            print("missed" if x in want else "extra", text[x[0] : x[1]], x[2], "|", text)
+        hit, found, true = hit + len(want & got), found + len(got), true + len(want)
+    print(f"recall {hit / true:.3f}, precision {hit / found:.3f} of {true}")
+    assert hit / true > 0.75 and hit / found > 0.85
+
+
 CASES = [None, "", "   ", "nothing here", "x" * 200_000, "Tel. 555-555-0123", "😀 请联系王芳，邮箱 a.b@mail.example，电话 010-55501234。", "From: Mara O'Drannery <mara [at] corp [dot] test>\n" * 300]
 
 

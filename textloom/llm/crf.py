@@ -11,11 +11,6 @@ from collections.abc import Sequence
 import numpy as np
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 class Chain:
     """Padded sequences of one batch: ``slot[b, t]`` is the row of token t of sequence b, or -1."""
 
@@ -33,8 +28,8 @@ class Chain:
         return out
 
 
-def forward_backward(unary: np.ndarray, trans: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log normaliser per sequence, log marginals per token (in row order), and expected transitions.
+def forward_backward(unary: np.ndarray, trans: np.ndarray, chain: Chain, pairs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log normaliser per sequence, log marginals per token (in row order), and, if asked for, expected transitions.
 
     Scaled sums: every step is one matrix product, and what is scaled away is kept as a logarithm.
     """
@@ -56,7 +51,8 @@ def forward_backward(unary: np.ndarray, trans: np.ndarray, chain: Chain) -> tupl
         on = mask[:, t + 1]
         ahead = u[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
         beta[:, t] = np.where(on[:, None], ahead @ step.T, 1.0)
-        pair += alpha[on, t].T @ ahead[on]
+        if pairs:
+            pair += alpha[on, t].T @ ahead[on]
     marg = alpha[mask] * beta[mask]
     marg /= np.maximum(marg.sum(axis=1, keepdims=True), 1e-300)
     logz = np.where(mask, np.log(scale) + chain.pad(top)[:, :, 0], 0.0).sum(axis=1) + shift * (chain.lengths - 1)
@@ -80,41 +76,69 @@ def viterbi(unary: np.ndarray, trans: np.ndarray, chain: Chain) -> np.ndarray:
     return best[mask]
 
 
-def train(features: np.ndarray, labels: np.ndarray, lengths: Sequence[int], n_features: int, n_labels: int, epochs: int = 10, rate: float = 0.08, l2: float = 2e-6, batch: int = 256, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights ``(n_features, n_labels)`` and transitions by AdaGrad on the conditional likelihood.
+def train(features: np.ndarray, labels: np.ndarray, lengths: Sequence[int], n_features: int, n_labels: int, epochs: int = 8, rate: float = 0.08, l2: float = 2e-6, batch: int = 256, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights ``(n_features, n_labels)`` and transitions of the chain alone, by AdaGrad on the conditional likelihood.
 
     ``features`` holds feature numbers, one row per token, feature 0 being
     padding whose weight stays 0.
     """
+    return train_skip(features, labels, lengths, np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels)), np.zeros((0, 3), int), np.zeros(n_labels, int), 0, epochs, rate, l2, batch, seed)[:2]
+
+
+def train_skip(features: np.ndarray, labels: np.ndarray, lengths: Sequence[int], w: np.ndarray, trans: np.ndarray, edges: np.ndarray, classes: np.ndarray, n_types: int, epochs: int = 3, rate: float = 0.04, l2: float = 2e-6, batch: int = 256, seed: int = 5, l2_skip: float = 2e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Goes on training a chain together with the potentials of its skip edges.
+
+    ``edges`` are rows ``(left token, right token, type)``; ``classes`` joins
+    labels into classes, and a type has one weight for each unordered pair of
+    classes. Expectations at the edges come from loopy message passing.
+    Returns weights, transitions and potentials ``(types, labels, labels)``.
+    """
     rng = np.random.default_rng(seed)
     lengths = np.asarray(lengths)
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
-    w = np.zeros((n_features, n_labels))
-    trans = np.zeros((n_labels, n_labels))
-    gw, gt = np.full_like(w, 1e-3), np.full_like(trans, 1e-3)
+    n_labels, n_classes = w.shape[1], int(classes.max(initial=0)) + 1
+    w, trans = w.astype(np.float32), trans.copy()
+    skip = np.zeros((n_types, n_classes, n_classes))
+    gw, gt, gs = np.full_like(w, 1e-3), np.full_like(trans, 1e-3), np.full_like(skip, 1e-3)
     order = np.argsort(lengths, kind="stable")
-    groups = [_Batch(features, labels, lengths, starts, order[i : i + batch], n_labels) for i in range(0, len(order), batch)]
+    groups = [_Batch(features, labels, lengths, starts, order[i : i + batch], n_labels, edges) for i in range(0, len(order), batch)]
+    onto = np.eye(n_classes)[classes]
     for _ in range(epochs):
         for g in rng.permutation(len(groups)):
             b = groups[g]
-            unary = w[b.features].sum(axis=1)
+            unary = w[b.features].sum(axis=1, dtype=np.float64)
+            if len(b.edges):
+                full = skip[:, classes][:, :, classes]
+                unary, to_left, to_right = messages(unary, trans, b.chain, b.edges, full)
             _, marg, pair = forward_backward(unary, trans, b.chain)
+            if len(b.edges):
+                left, right, kind = b.edges.T
+                joint = (marg[left] - to_left)[:, :, None] + full[kind] + (marg[right] - to_right)[:, None, :]
+                joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
+                joint = onto.T @ (joint / joint.sum(axis=(1, 2), keepdims=True)) @ onto
+                diff = -joint
+                diff[np.arange(len(left)), classes[b.labels[left]], classes[b.labels[right]]] += 1.0
+                sg = np.zeros_like(skip)
+                np.add.at(sg, kind, diff)
+                sg = (sg + sg.transpose(0, 2, 1)) / b.n - l2_skip * skip
+                gs += sg**2
+                skip += rate * sg / np.sqrt(gs)
             diff = -np.exp(marg)
             diff[np.arange(len(b.labels)), b.labels] += 1.0
-            grad = np.add.reduceat(diff[b.by], b.first, axis=0) / b.n - l2 * w[b.used]
+            grad = np.add.reduceat(diff.astype(np.float32)[b.by], b.first, axis=0) / b.n - l2 * w[b.used]
             gw[b.used] += grad**2
             w[b.used] += rate * grad / np.sqrt(gw[b.used])
             w[0] = 0.0
             tg = (b.steps - pair) / b.n
             gt += tg**2
             trans += rate * tg / np.sqrt(gt)
-    return w, trans
+    return w, trans, skip[:, classes][:, :, classes]
 
 
 class _Batch:
     """What of a training batch stays the same in every epoch."""
 
-    def __init__(self, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, starts: np.ndarray, seqs: np.ndarray, n_labels: int):
+    def __init__(self, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, starts: np.ndarray, seqs: np.ndarray, n_labels: int, edges: np.ndarray):
         rows = np.concatenate([np.arange(starts[s], starts[s] + lengths[s]) for s in seqs])
         self.n, self.chain = len(seqs), Chain(lengths[seqs])
         self.features, self.labels = features[rows], labels[rows]
@@ -128,39 +152,106 @@ class _Batch:
         inner[np.cumsum(lengths[seqs]) - lengths[seqs]] = False
         self.steps = np.zeros((n_labels, n_labels))
         np.add.at(self.steps, (self.labels[np.flatnonzero(inner) - 1], self.labels[inner]), 1.0)
+        place = np.full(len(features), -1)
+        place[rows] = np.arange(len(rows))
+        here = edges[place[edges[:, 0]] >= 0]
+        self.edges = np.c_[place[here[:, :2]], here[:, 2]]
 
 
-def skip_edges(groups: Sequence[Sequence[int]]) -> np.ndarray:
+def skip_edges(group: Sequence[int]) -> list[tuple[int, int]]:
     """Edges between each member of a group and the next, closing the circle of three or more: linear in the group."""
-    out = []
-    for g in groups:
-        out += list(zip(g, g[1:]))
-        if len(g) > 2:
-            out.append((g[-1], g[0]))
-    return np.array(out, np.int64).reshape(-1, 2)
+    return [*zip(group, group[1:]), *([(group[-1], group[0])] if len(group) > 2 else [])]
 
 
-def loopy(unary: np.ndarray, trans: np.ndarray, chain: Chain, edges: np.ndarray, skip: np.ndarray, rounds: int = 3) -> np.ndarray:
-    """Unary scores after message passing along the skip edges.
+def messages(unary: np.ndarray, trans: np.ndarray, chain: Chain, edges: np.ndarray, skip: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unary scores after message passing along the skip edges, and the last messages to left and right ends.
 
-    ``skip[a, b]`` is the log potential of the labels at both ends of an edge.
-    A round runs the chains exactly and then sends each end of every edge the
-    message of the other end, from whose belief the edge's own last message
-    has been taken out.
+    ``edges`` are rows ``(left, right, type)`` and ``skip[type, a, b]`` is the
+    log potential of the labels at both ends. A round runs the chains exactly
+    and then sends each end of every edge the message of the other end, from
+    whose belief the edge's own last message has been taken out.
     """
-    if not len(edges):
-        return unary
-    left, right = edges[:, 0], edges[:, 1]
+    left, right, kind = edges.T
+    potential = np.exp(skip)
+    by_type = [np.flatnonzero(kind == t) for t in range(len(skip))]
     to_right = np.zeros((len(edges), unary.shape[1]))
     to_left = np.zeros_like(to_right)
     now = unary
+
+    def send(belief: np.ndarray, back: bool) -> np.ndarray:
+        q = np.exp(belief - belief.max(axis=1, keepdims=True))
+        out = np.empty_like(q)
+        for t, rows in enumerate(by_type):
+            out[rows] = q[rows] @ (potential[t].T if back else potential[t])
+        out = np.log(np.maximum(out, 1e-300))
+        return out - out.max(axis=1, keepdims=True)
+
     for _ in range(rounds):
-        _, belief, _ = forward_backward(now, trans, chain)
-        new_right = _logsumexp((belief[left] - to_left)[:, :, None] + skip[None], 1)
-        new_left = _logsumexp((belief[right] - to_right)[:, :, None] + skip.T[None], 1)
-        to_right = new_right - new_right.max(axis=1, keepdims=True)
-        to_left = new_left - new_left.max(axis=1, keepdims=True)
+        belief = forward_backward(now, trans, chain, pairs=False)[1]
+        new_right, new_left = send(belief[left] - to_left, False), send(belief[right] - to_right, True)
+        moved = max(np.abs(new_right - to_right).max(initial=0), np.abs(new_left - to_left).max(initial=0))
+        to_right, to_left = new_right, new_left
         now = unary.copy()
         np.add.at(now, right, to_right)
         np.add.at(now, left, to_left)
-    return now
+        if moved < 1e-3:
+            break
+    return now, to_left, to_right
+
+
+def loopy(unary: np.ndarray, trans: np.ndarray, chain: Chain, edges: np.ndarray, skip: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Unary scores after message passing; ends when no message moves any more, at the latest after ``rounds``."""
+    return messages(unary, trans, chain, edges, skip, rounds)[0] if len(edges) else unary
+
+
+#: Log potential of a transition that cannot be.
+NEVER = -30.0
+
+
+def legal(n_labels: int) -> np.ndarray:
+    """Zero, or ``NEVER`` where a continue label follows neither begin nor continue of its kind."""
+    out = np.zeros((n_labels, n_labels))
+    for go in range(2, n_labels, 2):
+        out[:, go] = NEVER
+        out[[go - 1, go], go] = 0.0
+    return out
+
+
+def certain(unary: np.ndarray, trans: np.ndarray, starts: np.ndarray, ends: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """Tokens that have label 0 on every best path, proven token by token.
+
+    Labels are 0, then begin and continue of each kind, in legal order. Take
+    any path that labels the token otherwise: give it 0 instead and, if the
+    next token continued the piece, let that one begin it. What this can cost
+    at most, over all neighbours, is compared with what label 0 gains. A
+    neighbour that is proven itself leaves fewer ways, so the proof is
+    repeated. ``starts`` and ``ends`` mark the first and last token of each chain.
+    """
+    k = len(trans)
+    begin, go = np.arange(1, k, 2), np.arange(2, k, 2)
+    plain = np.r_[0, begin]
+    y = np.arange(1, k)
+    into_any = np.maximum(0.0, np.where(trans[:, 1:] > NEVER / 2, trans[:, 1:] - trans[:, :1], -np.inf).max(axis=0))
+    into_zero = np.where(y % 2 == 1, trans[0, 1:] - trans[0, 0], -np.inf)
+    into_none = np.where(y % 2 == 1, 0.0, -np.inf)
+    out_any = np.maximum(0.0, (trans[1:][:, plain] - trans[:1, plain]).max(axis=1))
+    out_zero = trans[1:, 0] - trans[0, 0]
+    follow = np.where(trans[go] > NEVER / 2, trans[go] - trans[begin], -np.inf)
+    own = np.repeat(np.arange(len(go)), 2)
+    cut = trans[y, go[own]] - trans[0, begin[own]] + np.maximum(0.0, follow.max(axis=1))[own]
+    gain = unary[:, :1] - unary[:, 1:]
+    later = (unary[:, go] - unary[:, begin])[:, own]
+    sure = np.zeros(len(unary), bool)
+    todo = np.arange(len(unary))
+    last = len(unary) - 1
+    for _ in range(rounds):
+        before, after = sure[np.maximum(todo - 1, 0)], sure[np.minimum(todo + 1, last)]
+        into = np.where(starts[todo, None], into_none, np.where(before[:, None], into_zero, into_any))
+        more = np.where((ends[todo] | after)[:, None], -np.inf, cut + later[np.minimum(todo + 1, last)])
+        out = np.where(ends[todo, None], 0.0, np.where(after[:, None], out_zero, out_any))
+        new = (gain[todo] > into + np.maximum(out, more)).all(axis=1)
+        if not new.any():
+            break
+        sure[todo[new]] = True
+        todo = todo[~new]
+    return sure

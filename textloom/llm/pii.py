@@ -3,57 +3,65 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from textloom.llm.crf import Chain, loopy, skip_edges, train, viterbi
-from textloom.llm.pii_samples import make
+from textloom.llm.crf import NEVER, Chain, certain, legal, loopy, skip_edges, train, train_skip, viterbi
+from textloom.llm.pii_samples import SURNAMES_ZH, make
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 #: Label 0 is outside; 2k+1 begins and 2k+2 continues kind k.
 N_LABELS = 1 + 2 * len(KINDS)
+#: Class of each label at the ends of a skip edge: a kind, or outside.
+CLASSES = np.array([0] + [1 + k for k in range(len(KINDS)) for _ in range(2)])
 
 #: Documents made up for fitting, a bound of the model and of nothing else.
-FIT_DOCUMENTS = 5000
-#: Padded characters of the texts that are read at once; a longer text is read alone.
-READ_AT_ONCE = 1_000_000
+FIT_DOCUMENTS = 8000
+#: Characters of the texts that are read at once; a longer text is read alone.
+READ_AT_ONCE = 200_000
 
 _HAN = "㐀-鿿"
 _AT = r"(?:\s?[@＠]\s?|\s?[\[({]\s?at\s?[\])}]\s?|&\#64;)"
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
 
-TOKEN = re.compile(
-    rf"""
-    (?P<E>[A-Za-z0-9_%+À-ɏ][A-Za-z0-9._%+\-À-ɏ]{{0,63}}{_AT}[A-Za-z0-9À-ɏ][A-Za-z0-9\-À-ɏ]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9\-]*)+)
-    |(?P<A>(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{{7,}}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{{1,2}}(?:[ ]\d{{2,3}}){{2,4}}[ ][A-Z](?![A-Za-z0-9]))
-    |(?P<N>(?<![A-Za-z0-9_])(?:\+\d{{1,3}}[ \xa0]?\(\d+\)|\d{{1,3}}[ \xa0]\(\d{{2,4}}\)|\(\d+\)|\+?\d+)(?:[ \xa0.\-/]?\d+)*(?:-?[A-Za-z](?![A-Za-z0-9]))?)
-    |(?P<H>[{_HAN}])
-    |(?P<W>[^\W\d_{_HAN}]+(?:['’\-][^\W\d_{_HAN}]+)*)
-    |(?P<P>\S)
-    """,
-    re.VERBOSE,
+#: What every address has between its parts; only there are the parts looked for.
+MARK = re.compile(_AT)
+LOCAL = re.compile(r"[A-Za-z0-9_%+À-ɏ][A-Za-z0-9._%+\-À-ɏ]{0,63}$")
+DOMAIN = re.compile(rf"[A-Za-z0-9À-ɏ][A-Za-z0-9\-À-ɏ]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9\-]*)+")
+
+_PARTS = (
+    ("S", r"\s+"),
+    ("A", r"(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{7,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{1,2}(?:[ ]\d{2,3}){2,4}[ ][A-Z](?![A-Za-z0-9])"),
+    ("N", r"(?<![A-Za-z0-9_])(?:\+\d{1,3}[ \xa0]?\(\d+\)|\d{1,3}[ \xa0]\(\d{2,4}\)|\(\d+\)|\+?\d+)(?:[ \xa0.\-/]?\d+)*(?:-?[A-Za-z](?![A-Za-z0-9]))?"),
+    ("H", rf"[{_HAN}]"),
+    ("W", rf"[^\W\d_{_HAN}]+(?:['’\-][^\W\d_{_HAN}]+)*"),
+    ("P", r"\S"),
 )
+#: Cuts a text into tokens and the blanks between them, leaving nothing out.
+TOKEN = re.compile("|".join(p for _, p in _PARTS))
+_KIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PARTS))
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of text that the field reads: the whole of it, as one chain."""
-    return [(0, len(text))] if text else []
+_DIGITS = str.maketrans("123456789", "000000000")
+_SURNAMES = frozenset(SURNAMES_ZH.split())
 
 
-_DIGITS = str.maketrans("123456789", "000000000")
+def _level(sign: str) -> str:
+    """Whether a Han sign is of the common or of the rarer set of its encoding, or of neither."""
+    try:
+        return "common" if sign.encode("gb2312")[0] < 0xD8 else "rare"
+    except UnicodeEncodeError:
+        return "other"
 
 
 def _word_forms(kind: str, s: str) -> tuple[str, str, tuple[str, ...]]:
-    """Key, shape and own features (at most ``OWN``) of a token."""
+    """Key, shape and own features of a token."""
     if kind == "E":
-        last = re.split(r"[.\])}\s]+", s)[-1]
-        good = "tld" if last.isalpha() and len(last) > 1 else "num"
-        return "<mail>", "E" + good, ("E" + good,)
+        return "<mail>", "E" + s, ("E" + s,)
     if kind in "NA":
         zero = s.translate(_DIGITS).replace("\u00a0", " ")
         n = zero.count("0")
@@ -62,7 +70,8 @@ def _word_forms(kind: str, s: str) -> tuple[str, str, tuple[str, ...]]:
         mask = re.sub("[a-z]", "x", mask)
         return "<num" + size, "N" + size, ("m=" + mask, "n=" + size, "lead=" + mask[:1], "run=" + re.sub("0+", "0", mask), "plus" if "+" in s else "none")
     if kind == "H":
-        return s, "H", ("h=" + s,)
+        family = "1" if s in _SURNAMES else "0"
+        return s, "H" + family, ("h=" + s, "lv=" + _level(s) + family)
     if kind == "W":
         low = s.lower()
         if s.isupper():
@@ -74,263 +83,454 @@ def _word_forms(kind: str, s: str) -> tuple[str, str, tuple[str, ...]]:
         else:
             shape = "x"
         script = "c" if "Ѐ" <= s[-1] <= "ӿ" else "l"
-        return low, shape + script, ("w=" + low, "s3=" + low[-3:], "s4=" + low[-4:], "s6=" + low[-6:], "len=" + ("1" if len(s) == 1 else "2" if len(s) < 4 else "9"))
+        return low, shape + script, ("w=" + low, "s2=" + low[-2:], "s3=" + low[-3:], "s4=" + low[-4:], "s6=" + low[-6:], "len=" + ("1" if len(s) == 1 else "2" if len(s) < 4 else "9"))
     return s, "P" + s, ("p=" + s,)
 
 
-OWN = 5
-N_FEATURES = OWN + 20
-
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Most features a token has of its own, and how its neighbours' codes make the others.
+OWN = 6
+AROUND = ("k-1", "k+1", "k-2", "k+2", "h-h", "hh+", "h-hh+", "h--h-h", "hh+h++", "gg+", "gh", "k-h", "hk+", "n-h", "n--h", "k--k-", "k+k++", "k-k", "n--n-")
+EDGE, UNKNOWN = 0, 1
+#: Kinds of skip edges: equal words that stand with other capitals, equal pairs of Han signs, numbers equal in their digits.
+WORDS, SIGNS, NUMBERS = range(3)
 
 
-def _join(template: int, *parts: np.ndarray) -> np.ndarray:
-    """64-bit hashes of a template with its parts, for all tokens at once."""
-    h = np.full(len(parts[0]), template + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for x in parts:
-            h = (h ^ x) * _GOLD
-            h ^= h >> np.uint64(29)
-    return h
+class Lexer:
+    """Turns texts into numbered tokens; remembers the forms it has met.
 
+    ``keys`` and ``shapes`` number the known keys and shapes from 2; 0 is the
+    edge of a text and 1 anything unknown.
+    """
 
-class Lexer:
-    """Turns texts into hashed features; remembers the forms it has met."""
-
-    def __init__(self):
-        self.forms: dict[tuple[str, str], int] = {("", "<edge>"): 0}
-        self.table = [self._row("<edge>", "<edge>", ())]
-        self.names = [""]
-        self.words = [False]
-        self._done: np.ndarray | None = None
-
-    @staticmethod
-    def _row(key: str, shape: str, own: tuple[str, ...]) -> list[int]:
-        h = xxhash.xxh64_intdigest
-        return [h(key), h(shape, 1), *[h(x, 2) for x in own], *[0] * (OWN - len(own))]
-
-    def _form(self, kind: str, s: str) -> int:
-        key, shape, own = _word_forms(kind, s)
-        self.table.append(self._row(key, shape, own))
-        # the word itself where it may recur as part of a name
-        self.names.append(key if kind == "W" and shape[0] == "X" and len(s) > 3 else "")
-        self.words.append(kind in "WH")
-        self.forms[(kind, s)] = i = len(self.table) - 1
+    def __init__(self, keys: dict[str, int] | None = None, shapes: dict[str, int] | None = None):
+        self.keys, self.shapes = keys, shapes
+        self.clear()
+
+    def clear(self) -> None:
+        self.forms: dict[str, int] = {}
+        self.masks: dict[str, int] = {}
+        self.key: list[int | str] = [EDGE]
+        self.shape: list[int | str] = [EDGE]
+        self.own: list[tuple[str, ...]] = [()]
+        #: length, gap (0 for tokens), whether a word, whether it starts like a name, kind of skip edge
+        self.traits: list[tuple[int, int, int, int, int]] = [(0, 0, 1, 0, -1)]
+        self.mails = [self._add("E", x, 0) for x in ("tld", "num")]
+        self.columns = np.zeros((0, 7), np.int64)
+
+        class Numbers(dict):
+            def __missing__(this, s: str) -> int:  # noqa: N805
+                return self._form(s)
+
+        self.forms = Numbers()
+
+    def _add(self, kind: str, s: str, length: int) -> int:
+        if kind == "S":
+            row, traits = ("", "", ()), (length, 3 if "\n" in s else 2, 0, 0, -1)
+        else:
+            row = _word_forms(kind, s)
+            capital = kind == "W" and row[1][0] == "X"
+            link = WORDS if capital and len(s) > 2 else SIGNS if kind == "H" else NUMBERS if kind in "NA" and sum(c.isdigit() for c in s) >= 6 else -1
+            traits = (length, 0, kind in "WH", capital, link)
+        self.key.append(row[0] if self.keys is None else self.keys.get(row[0], UNKNOWN))
+        self.shape.append(row[1] if self.shapes is None else self.shapes.get(row[1], UNKNOWN))
+        self.own.append(row[2])
+        self.traits.append(traits)
+        return len(self.key) - 1
+
+    def _form(self, s: str) -> int:
+        m = _KIND.fullmatch(s)
+        kind = m.lastgroup if m else "P"
+        if kind in "NA":
+            # numbers of one layout are one form
+            mask = s.translate(_DIGITS)
+            i = self.masks.get(mask)
+            if i is None:
+                i = self.masks[mask] = self._add(kind, s, len(s))
+            return i
+        i = self.forms[s] = self._add(kind, s, len(s))
         return i
 
-    def features(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, list[int], list[list[int]]]:
-        """Hashes (tokens x ``N_FEATURES``), spans, chain lengths, the text of each chain, groups of recurring words. A text is one chain."""
-        if len(self.table) > 400_000:
-            self.__init__()
-        forms, form = self.forms, self._form
-        ids, gaps, spans, lengths, owner, again = [], [], [], [], [], []
-        real = 0
-        for t, text in enumerate(texts):
-            groups: dict[str, list[int]] = defaultdict(list)
-            for a, b in windows(text):
-                ids += (0, 0)
-                gaps += (0, 0)
-                last, n = a, 0
-                for m in TOKEN.finditer(text, a, b):
-                    kind, s = m.lastgroup, m.group()
-                    i = forms.get((kind, s))
-                    if i is None:
-                        i = form(kind, s)
-                    x, y = m.span()
-                    gaps.append(1 if x == last else 3 if text.find("\n", last, x) >= 0 else 2)
-                    ids.append(i)
-                    spans.append((x, y))
-                    last = y
-                    if self.names[i]:
-                        groups[self.names[i]].append(real + n)
-                    n += 1
-                if n:
-                    lengths.append(n)
-                    owner.append(t)
-                    real += n
-            again += [g for g in groups.values() if len(g) > 1]
-        ids += (0, 0)
-        gaps += (0, 0)
-        if self._done is None or len(self._done) < len(self.table):
-            old = self._done if self._done is not None else np.zeros((0, 2 + OWN), np.uint64)
-            self._done = np.vstack([old, np.array(self.table[len(old) :], np.uint64)])
-        idx = np.array(ids)
-        at = np.flatnonzero(idx)
-        rows = self._done[idx]
-        k, h, g = rows[:, 0], rows[:, 1], np.array(gaps, np.uint64)
-        k0, k1, k2, km1, km2 = k[at], k[at + 1], k[np.minimum(at + 2, len(k) - 1)], k[at - 1], k[at - 2]
-        h0, h1, h2, hm1, hm2 = h[at], h[at + 1], h[np.minimum(at + 2, len(h) - 1)], h[at - 1], h[at - 2]
-        g0, g1 = g[at], g[at + 1]
+    def mail_spans(self, text: str) -> list[tuple[int, int]]:
+        out, last = [], 0
+        for m in MARK.finditer(text):
+            a, b = m.span()
+            if a < last:
+                continue
+            local = LOCAL.search(text, max(last, a - 66), a)
+            domain = DOMAIN.match(text, b)
+            if local and domain:
+                out.append((local.start(), domain.end()))
+                last = domain.end()
+        return out
+
+    def read(self, texts: list[str]) -> Read:
+        """All tokens of the texts, each text between two edges on either side."""
+        if len(self.key) > 300_000:
+            self.clear()
+        get, cut = self.forms.__getitem__, TOKEN.findall
+        ids: list[int] = [0, 0]
+        at: list[int] = []
+        mails: list[tuple[int, int]] = []
+        for text in texts:
+            at.append(len(ids))
+            last = 0
+            if "@" in text or "＠" in text or "at" in text or "&#64;" in text:
+                for a, b in self.mail_spans(text):
+                    ids += map(get, cut(text, last, a))
+                    ending = re.split(r"[.\])}\s]+", text[a:b])[-1]
+                    mails.append((len(ids), b - a))
+                    ids.append(self.mails[0] if ending.isalpha() and len(ending) > 1 else self.mails[1])
+                    last = b
+            ids += map(get, cut(text, last))
+            ids += (0, 0)
+        if len(self.columns) < len(self.key):
+            old = len(self.columns)
+            more = np.array([(0 if self.keys is None else k, 0 if self.shapes is None else h, *t) for k, h, t in zip(self.key[old:], self.shape[old:], self.traits[old:])], np.int64)
+            self.columns = np.concatenate([self.columns, more])
+        i = np.array(ids, np.int64)
+        c = self.columns[i]
+        length, space = c[:, 2], c[:, 3] > 0
+        for k, n in mails:
+            length[k] = n
+        end = np.cumsum(length)
+        owner = np.zeros(len(i), np.int64)
+        owner[at] = 1
+        owner = np.cumsum(owner) - 1
+        base = end[np.array(at, np.int64) - 1]
+        # a token's gap is that of the blank before it
+        gap = np.ones(len(i), np.int64)
+        gap[1:][space[:-1]] = c[:-1, 3][space[:-1]]
+        gap[i == 0] = 0
+        token = np.flatnonzero(~space)
+        i, c, gap, end, length, owner = i[token], c[token], gap[token], end[token], length[token], owner[token]
+        real = np.flatnonzero(i)
+        stop = end[real] - base[owner[real]]
+        return Read(i, c, gap, real, np.bincount(owner[real], minlength=len(texts)), owner[real], np.c_[stop - length[real], stop])
+
+
+class Read:
+    """Tokens of some texts with their edges: forms, their columns and gaps; and of the real tokens place, text and span."""
+
+    def __init__(self, form, columns, gap, real, lengths, owner, spans):
+        self.form, self.columns, self.gap, self.real, self.lengths, self.owner, self.spans = form, columns, gap, real, lengths, owner, spans
+
+    def codes(self, key: np.ndarray, shape: np.ndarray, n_keys: int, n_shapes: int) -> dict[str, np.ndarray]:
+        """Codes of ``AROUND`` for every real token."""
+        at, last = self.real, len(key) - 1
+        k0, k1, k2, km1, km2 = key[at], key[at + 1], key[np.minimum(at + 2, last)], key[at - 1], key[at - 2]
+        h0, h1, h2, hm1, hm2 = shape[at], shape[at + 1], shape[np.minimum(at + 2, last)], shape[at - 1], shape[at - 2]
+        g0, g1 = self.gap[at], self.gap[at + 1]
         # the last two words before a token, whatever signs stand between; the edge of the text counts as one
-        n = np.arange(len(idx))
-        word = np.array(self.words)[idx] | (idx == 0)
-        before = np.r_[0, np.maximum.accumulate(np.where(word, n, 0))[:-1]]
+        n = np.arange(len(key))
+        before = np.r_[0, np.maximum.accumulate(np.where(self.columns[:, 4] > 0, n, 0))[:-1]]
         w1 = before[at]
         w2 = before[w1]
-        near1, near2 = k[w1], k[w2]
-        out = np.empty((len(at), N_FEATURES), np.uint64)
-        out[:, :OWN] = rows[at, 2:]
-        for c, f in enumerate(
-            (
-                _join(0, h0), _join(1, km1), _join(2, k1), _join(3, km2), _join(4, k2), _join(5, hm1, h0), _join(6, h0, h1), _join(7, hm1, h0, h1), _join(8, hm2, hm1, h0),
-                _join(9, h0, h1, h2), _join(10, km2, km1), _join(11, km1, h0), _join(12, h0, k1), _join(13, k1, k2), _join(14, g0, g1), _join(15, g0, h0), _join(16, k0, km1),
-                _join(17, near1, h0), _join(18, near2, near1), _join(19, near2, h0),
-            )
-        ):
-            out[:, OWN + c] = f
-        return out, spans, np.array(lengths, np.int64), owner, again
-
-
-class Vocabulary:
-    """Numbers of the known feature hashes, by direct addressing; 0 for all others."""
-
-    BITS = 20
-
-    def __init__(self, hashes: np.ndarray):
-        slot = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
-        _, first = np.unique(slot, return_index=True)
-        # of features that share a slot the first is kept
-        self.hashes = hashes[np.sort(first)]
-        self._build()
-
-    def _build(self) -> None:
-        slot = (self.hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
-        self._number = np.zeros(1 << self.BITS, np.int32)
-        self._number[slot] = np.arange(1, len(self.hashes) + 1)
-        self._check = np.r_[np.zeros(1, np.uint64), self.hashes]
-
-    def __getstate__(self):
-        return self.hashes
-
-    def __setstate__(self, hashes):
-        self.hashes = hashes
-        self._build()
-
-    def __len__(self) -> int:
-        return len(self.hashes)
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        i = self._number[(h >> np.uint64(64 - self.BITS)).astype(np.int64)]
-        return np.where(self._check[i] == h, i, 0)
+        n1, n2 = key[w1], key[w2]
+        s, k = n_shapes, n_keys
+        hh, hn = hm1 * s + h0, h0 * s + h1
+        return {
+            "k-1": km1, "k+1": k1, "k-2": km2, "k+2": k2, "h-h": hh, "hh+": hn, "h-hh+": hh * s + h1, "h--h-h": hm2 * s * s + hh, "hh+h++": hn * s + h2, "gg+": g0 * 4 + g1, "gh": g0 * s + h0,
+            "k-h": km1 * s + h0, "hk+": k1 * s + h0, "n-h": n1 * s + h0, "n--h": n2 * s + h0, "k--k-": km2 * k + km1, "k+k++": k1 * k + k2, "k-k": km1 * k + k0, "n--n-": n2 * k + n1,
+        }
+
+    def edges(self, texts: list[str], open_: np.ndarray) -> np.ndarray:
+        """Skip edges ``(left, right, type)`` between open tokens of one text that recur in it."""
+        link = self.columns[self.real, 6]
+        some = np.flatnonzero(open_ & (link >= 0))
+        if not len(some):
+            return np.zeros((0, 3), np.int64)
+        capital = self.columns[:, 5] > 0
+        place = self.real[some]
+        last = len(capital) - 1
+        beside = capital[place - 1] | capital[place + 1] | capital[place - 2] | capital[np.minimum(place + 2, last)]
+        groups: dict[tuple, list[int]] = defaultdict(list)
+        for i, near, kind in zip(some.tolist(), beside.tolist(), link[some].tolist()):
+            t = int(self.owner[i])
+            a, b = self.spans[i]
+            if kind == WORDS:
+                if near:
+                    groups[(kind, t, texts[t][a:b].lower())].append(i)
+            elif kind == SIGNS:
+                if "㐀" <= texts[t][b : b + 1] <= "鿿":
+                    groups[(kind, t, texts[t][a : b + 1])].append(i)
+            else:
+                # of a number the last digits: prefixes come and go
+                groups[(kind, t, "".join(c for c in texts[t][a:b] if c.isalnum())[-7:])].append(i)
+        out = [(*e, key[0]) for key, g in groups.items() if len(g) > 1 for e in skip_edges(g)]
+        return np.array(out, np.int64).reshape(-1, 3)
+
+
+class Pairs:
+    """Exact lookup of numbers by 64-bit codes: two tables by two hashes, each code stored once."""
+
+    BITS = 18
+
+    def __init__(self, codes: np.ndarray, numbers: np.ndarray):
+        self.tables = []
+        for salt in range(64):
+            slot = self._slot(codes, salt)
+            _, first = np.unique(slot, return_index=True)
+            keys, values = np.full(1 << self.BITS, -1, np.int64), np.zeros(1 << self.BITS, np.int32)
+            keys[slot[first]], values[slot[first]] = codes[first], numbers[first]
+            self.tables.append((salt, keys, values))
+            rest = np.ones(len(codes), bool)
+            rest[first] = False
+            codes, numbers = codes[rest], numbers[rest]
+            if not len(codes):
+                return
+        raise ValueError("too many pairs for the table")
+
+    def _slot(self, codes: np.ndarray, salt: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * salt * 0x632BE59BD9B4E019 & (1 << 64) - 1)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def __getitem__(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(codes), np.int32)
+        for salt, keys, values in self.tables:
+            slot = self._slot(codes, salt)
+            hit = np.flatnonzero(keys[slot] == codes)
+            out[hit] = values[slot[hit]]
+        return out
 
 
 class Recogniser:
-    """The fitted field."""
+    """The fitted field: known keys, shapes and features with their weights, transitions and skip potentials."""
 
-    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, trans: np.ndarray, skip: float):
-        self.vocabulary, self.weights, self.trans = vocabulary, weights.astype(np.float32), trans
-        # a name's words keep their kind wherever they recur; begin and continue count as one kind
-        kind = np.array([0] + [1 + k for k in range(len(KINDS)) for _ in range(2)])
-        self.skip = np.where((kind[:, None] == kind[None, :]) & (kind[:, None] == 1), skip, 0.0)
-        self.lexer = Lexer()
+    def __init__(self, keys: dict[str, int], shapes: dict[str, int], own: dict[str, int], around: dict[str, tuple[np.ndarray, np.ndarray]], weights: np.ndarray, trans: np.ndarray, skip: np.ndarray):
+        self.keys, self.shapes, self.own, self.around = keys, shapes, own, around
+        self.weights, self.trans, self.skip = weights, trans, skip
+        self._compile()
 
     def __getstate__(self):
-        return self.__dict__ | {"lexer": None}
+        return (self.keys, self.shapes, self.own, self.around, self.weights, self.trans, self.skip)
 
     def __setstate__(self, state):
-        self.__dict__ |= state | {"lexer": Lexer()}
+        self.keys, self.shapes, self.own, self.around, self.weights, self.trans, self.skip = state
+        self._compile()
+
+    def _compile(self) -> None:
+        """Tables in which a code finds its weights: dense rows for one key, numbers of rows for the rest."""
+        self.lexer = Lexer(self.keys, self.shapes)
+        w = self.w = self.weights.astype(np.float32)
+        self.n_keys, self.n_shapes = len(self.keys) + 2, len(self.shapes) + 2
+        s = self.n_shapes
+        dense = {t: np.zeros(self.n_keys, np.int32) for t in ("k-1", "k+1", "k-2", "k+2")}
+        dense |= {t: np.zeros(s**3, np.int32) for t in ("h--h-h", "hh+h++")}
+        dense |= {t: np.zeros(self.n_keys * s, np.int32) for t in ("k-h", "hk+", "n-h", "n--h")}
+        dense |= {"h-h": np.zeros(s * s, np.int32), "hh+": np.zeros(s * s, np.int32), "h-hh+": np.zeros(s**3, np.int32), "gg+": np.zeros(16, np.int32), "gh": np.zeros(4 * s, np.int32)}
+        self.sparse = {}
+        for t, (codes, numbers) in self.around.items():
+            if t in dense:
+                dense[t][codes] = numbers
+            elif t != "h":
+                self.sparse[t] = Pairs(codes, numbers)
+        self.rows = {t: w[dense.pop(t)] for t in ("k-1", "k+1", "k-2", "k+2")}
+        a, b = w[dense.pop("h-h")].reshape(s, s, 1, -1), w[dense.pop("hh+")].reshape(1, s, s, -1)
+        self.shapes3 = np.ascontiguousarray((a + b + w[dense.pop("h-hh+")].reshape(s, s, s, -1)).reshape(s**3, -1))
+        self.gaps = (w[dense.pop("gg+")].reshape(4, 4, 1, -1) + w[dense.pop("gh")].reshape(4, 1, s, -1)).reshape(16 * s, -1)
+        self.numbers = dense
+        self._own = np.zeros((0, N_LABELS), np.float32)
+
+    def _own_rows(self) -> np.ndarray:
+        have, all_ = len(self._own), self.lexer.own
+        if have > len(all_):
+            have, self._own = 0, self._own[:0]
+        if have < len(all_):
+            numbers = np.zeros((len(all_) - have, OWN), np.int64)
+            get = self.own.get
+            for i, features in enumerate(all_[have:]):
+                for j, f in enumerate(features):
+                    numbers[i, j] = get(f, 0)
+            shape = np.array(self.lexer.shape[have:], np.int64)
+            named = self.own_shapes[shape]
+            self._own = np.concatenate([self._own, self.w[numbers].sum(axis=1) + self.w[named]])
+        return self._own
+
+    @property
+    def own_shapes(self) -> np.ndarray:
+        codes, numbers = self.around["h"]
+        out = np.zeros(self.n_shapes, np.int64)
+        out[codes] = numbers
+        return out
+
+    def unary(self, r: Read) -> np.ndarray:
+        """Scores of every label for every token."""
+        own = self._own_rows()
+        key, shape, s = r.columns[:, 0], r.columns[:, 1], self.n_shapes
+        c = r.codes(key, shape, self.n_keys, s)
+        u = own[r.form[r.real]]
+        for t in ("k-1", "k+1", "k-2", "k+2"):
+            u += self.rows[t][c[t]]
+        u += self.shapes3[c["h-hh+"]]
+        u += self.gaps[c["gg+"] * s + shape[r.real]]
+        for t, table in (self.numbers | self.sparse).items():
+            n = table[c[t]]
+            hit = np.flatnonzero(n)
+            u[hit] += self.w[n[hit]]
+        return u
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Spans ``(start, end, kind)`` of each text, in code points."""
+        out: list[list[tuple[int, int, str]]] = []
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            if some and size + len(text) > READ_AT_ONCE:
+                out += self._find(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        return out + (self._find(some) if some else [])
+
+    def _find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        if self.lexer.key and len(self.lexer.key) > 300_000:
+            self.lexer.clear()
+            self._own = self._own[:0]
+        r = self.lexer.read(texts)
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        # texts of like length go together, as many as their padding allows
-        some: list[int] = []
-        for t in sorted(range(len(texts)), key=lambda t: len(texts[t])):
-            if some and (len(some) + 1) * len(texts[t]) > READ_AT_ONCE:
-                self._find(texts, some, out)
-                some = []
-            some.append(t)
-        self._find(texts, some, out)
+        if not len(r.real):
+            return out
+        labels = self.decode(self.unary(r).astype(np.float64), r, texts)
+        # only stretches of labelled tokens are looked at one by one
+        on = np.flatnonzero(labels)
+        for t, x, y, kind in _pieces(labels[on], r.owner[on], r.spans[on], np.r_[0, np.diff(on)] != 1):
+            if plausible(kind, texts[t][x:y]):
+                out[t].append((x, y, kind))
         return out
 
-    def _find(self, texts: list[str], some: list[int], out: list[list[tuple[int, int, str]]]) -> None:
-        hashes, spans, lengths, owner, again = self.lexer.features([texts[t] for t in some])
-        if not len(hashes):
-            return
-        numbers = self.vocabulary.numbers(hashes)
-        unary = np.zeros((len(numbers), N_LABELS), np.float32)
-        for c in range(N_FEATURES):
-            unary += self.weights[numbers[:, c]]
-        labels = self._decode(unary.astype(np.float64), lengths, skip_edges(again))
-        at = 0
-        for t, n in zip(owner, lengths):
-            t = some[t]
-            out[t] = [x for x in _spans(labels[at : at + n], spans[at : at + n]) if plausible(x[2], texts[t][x[0] : x[1]])]
-            at += n
-
-    def _decode(self, unary: np.ndarray, lengths: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Texts with skip edges go through message passing; all are decoded in batches of like length."""
-        starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        which = np.repeat(np.arange(len(lengths)), lengths)
-        if len(edges):
-            linked = np.unique(which[edges.reshape(-1)])
-            rows = np.concatenate([np.arange(starts[w], starts[w] + lengths[w]) for w in linked])
-            place = np.full(len(unary), -1)
-            place[rows] = np.arange(len(rows))
-            unary = unary.copy()
-            unary[rows] = loopy(unary[rows], self.trans, Chain(lengths[linked]), place[edges], self.skip)
-        out = np.zeros(len(unary), np.int64)
+    def decode(self, unary: np.ndarray, r: Read, texts: list[str]) -> np.ndarray:
+        """Best labels under the field.
+
+        Tokens proven to be outside on every best path of their chain split it;
+        between them the decoding is the same as over the whole chain. Skip
+        edges join open tokens, and the stretches they touch go through message
+        passing first.
+        """
+        n = len(unary)
+        last = np.r_[r.owner[1:] != r.owner[:-1], True]
+        first = np.r_[True, last[:-1]]
+        unary[first, 2::2] += NEVER
+        open_ = ~certain(unary, self.trans, first, last)
+        out = np.zeros(n, np.int64)
+        rows = np.flatnonzero(open_)
+        if not len(rows):
+            return out
+        place = np.full(n, -1)
+        place[rows] = np.arange(len(rows))
+        begins = np.r_[True, (np.diff(rows) != 1) | first[rows[1:]]]
+        ends = np.r_[begins[1:], True]
+        u = unary[rows]
+        u[begins & ~first[rows]] += self.trans[0]
+        u[ends & ~last[rows]] += self.trans[:, 0]
+        starts = np.flatnonzero(begins)
+        lengths = np.diff(np.r_[starts, len(rows)])
+        edges = r.edges(texts, open_)
+        if len(edges) and np.any(self.skip):
+            edges = np.c_[place[edges[:, :2]], edges[:, 2]]
+            which = np.cumsum(begins) - 1
+            linked = np.unique(which[edges[:, :2].reshape(-1)])
+            some = np.flatnonzero(np.isin(which, linked))
+            new = np.full(len(rows), -1)
+            new[some] = np.arange(len(some))
+            u[some] = loopy(u[some], self.trans, Chain(lengths[linked]), np.c_[new[edges[:, :2]], edges[:, 2]], self.skip)
+        found = np.zeros(len(rows), np.int64)
         order = np.argsort(lengths, kind="stable")
-        for i in range(0, len(order), 512):
-            ws = order[i : i + 512]
-            rows = np.concatenate([np.arange(starts[w], starts[w] + lengths[w]) for w in ws])
-            out[rows] = viterbi(unary[rows], self.trans, Chain(lengths[ws]))
+        at = 0
+        while at < len(order):
+            # stretches of like length go together, as many as their padding allows
+            size = max(1, min(4096, 40_000 // int(lengths[order[min(at + 255, len(order) - 1)]])))
+            ws = order[at : at + size]
+            at += size
+            x = np.concatenate([np.arange(starts[w], starts[w] + lengths[w]) for w in ws]) if len(ws) > 1 else np.arange(starts[ws[0]], starts[ws[0]] + lengths[ws[0]])
+            found[x] = viterbi(u[x], self.trans, Chain(lengths[ws]))
+        out[rows] = found
         return out
 
 
-def _spans(labels: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    out: list[tuple[int, int, str]] = []
-    start, kind, end = -1, -1, -1
-    if not labels.any():
-        return out
-    for y, (a, b) in zip(labels.tolist(), spans):
-        k = (y - 1) // 2 if y else -1
-        if y and y % 2 == 0 and k == kind:
+def _pieces(labels: np.ndarray, owner: np.ndarray, spans: np.ndarray, broken: np.ndarray) -> Iterator[tuple[int, int, int, str]]:
+    """Text, start, end and kind of each run of labels; ``broken`` marks tokens before which others lie."""
+    text, start, end, kind = -1, 0, 0, -1
+    for y, t, (a, b), cut in zip(labels.tolist(), owner.tolist(), spans.tolist(), broken.tolist()):
+        k = (y - 1) // 2
+        if y % 2 == 0 and k == kind and t == text and not cut:
             end = b
             continue
         if kind >= 0:
-            out.append((start, end, KINDS[kind]))
-        start, end, kind = (a, b, k) if y else (-1, -1, -1)
+            yield text, start, end, KINDS[kind]
+        text, start, end, kind = t, a, b, k
     if kind >= 0:
-        out.append((start, end, KINDS[kind]))
-    return out
+        yield text, start, end, KINDS[kind]
 
 
 def plausible(kind: str, piece: str) -> bool:
-    """Whether a piece has what its kind cannot do without."""
+    """Whether a piece has what its kind cannot do without, by its definition: two names, a sign between, digits."""
     digits = sum(c.isdigit() for c in piece)
     if kind == "name":
         return not digits and piece[0].isalpha() and (len(piece.split()) > 1 or (len(piece) > 1 and all("㐀" <= c <= "鿿" for c in piece)))
     if kind == "email":
-        return re.search(_AT, piece) is not None and re.split(r"[.\])}\s]+", piece)[-1].isalpha()
+        return MARK.search(piece) is not None and re.split(r"[.\])}\s]+", piece)[-1].isalpha()
     if kind == "address":
         return digits > 0 and any(c.isalpha() for c in piece)
-    return digits >= 7 if kind == "phone" else digits >= 3 and sum(c.isalnum() for c in piece) >= 6
+    return digits >= 6
 
 
-def _truth(samples: list[tuple[str, list[tuple[int, int, str]]]], spans: list[tuple[int, int]], lengths: np.ndarray, owner: list[int]) -> np.ndarray:
+def _truth(samples: list[tuple[str, list[tuple[int, int, str]]]], r: Read) -> np.ndarray:
     """Labels of the tokens of labelled texts."""
-    out, at = np.zeros(len(spans), np.int64), 0
-    for t, n in zip(owner, lengths):
-        for i in range(at, at + n):
-            x0, x1 = spans[i]
-            for t0, t1, kind in samples[t][1]:
-                if x0 >= t0 and x1 <= t1:
-                    out[i] = 2 * KINDS.index(kind) + (1 if x0 == t0 else 2)
-                    break
-        at += n
+    out = np.zeros(len(r.spans), np.int64)
+    for i, (t, (x0, x1)) in enumerate(zip(r.owner.tolist(), r.spans.tolist())):
+        for t0, t1, kind in samples[t][1]:
+            if x0 >= t0 and x1 <= t1:
+                out[i] = 2 * KINDS.index(kind) + (1 if x0 == t0 else 2)
+                break
     return out
 
 
+def _known(values: list[str], counts: np.ndarray) -> dict[str, int]:
+    """Numbers from 2 of the values seen at least twice."""
+    total: Counter[str] = Counter()
+    for v, n in zip(values, counts.tolist()):
+        total[v] += n
+    return {v: i + 2 for i, v in enumerate(sorted(v for v, n in total.items() if n >= 2 and v))}
+
+
 @lru_cache(maxsize=2)
-def fit(documents: int = FIT_DOCUMENTS, skip: float = 1.0, seed: int = 11) -> Recogniser:
-    """Fit on made-up documents. Features seen once are left out."""
+def fit(documents: int = FIT_DOCUMENTS, seed: int = 11) -> Recogniser:
+    """Fit on made-up documents: the chain first, then chain and skip potentials together. Features seen once are left out."""
     samples = make(documents, seed)
-    hashes, spans, lengths, owner, _ = Lexer().features([t for t, _ in samples])
-    known, seen = np.unique(hashes, return_counts=True)
-    vocabulary = Vocabulary(known[(seen >= 2) & (known > 0)])
-    w, trans = train(vocabulary.numbers(hashes), _truth(samples, spans, lengths, owner), lengths, len(vocabulary) + 1, N_LABELS)
-    return Recogniser(vocabulary, w, trans, skip)
+    texts = [t for t, _ in samples]
+    raw = Lexer()
+    seen = np.bincount(raw.read(texts).form, minlength=len(raw.key))
+    keys, shapes = _known(raw.key[1:], seen[1:]), _known(raw.shape[1:], seen[1:])
+    lexer = Lexer(keys, shapes)
+    r = lexer.read(texts)
+    form = r.form[r.real]
+    codes = r.codes(r.columns[:, 0], r.columns[:, 1], len(keys) + 2, len(shapes) + 2) | {"h": r.columns[r.real, 1]}
+    total: Counter[str] = Counter()
+    for features, n in zip(lexer.own, np.bincount(form, minlength=len(lexer.own)).tolist()):
+        for f in features:
+            total[f] += n
+    own = {f: i + 1 for i, f in enumerate(sorted(f for f, n in total.items() if n >= 2))}
+    numbers = np.zeros((len(form), OWN + len(codes)), np.int32)
+    rows = np.zeros((len(lexer.own), OWN), np.int32)
+    for i, features in enumerate(lexer.own):
+        rows[i, : len(features)] = [own.get(f, 0) for f in features]
+    numbers[:, :OWN] = rows[form]
+    at, around = len(own) + 1, {}
+    for c, (t, x) in enumerate(codes.items()):
+        values, where, n = np.unique(x, return_inverse=True, return_counts=True)
+        number = np.where(n >= 2, at + np.cumsum(n >= 2) - 1, 0)
+        around[t] = (values[number > 0], number[number > 0])
+        at += int((n >= 2).sum())
+        numbers[:, OWN + c] = number[where]
+    truth = _truth(samples, r)
+    w, trans = train(numbers, truth, r.lengths, at, N_LABELS)
+    last = np.r_[r.owner[1:] != r.owner[:-1], True]
+    first = np.r_[True, last[:-1]]
+    unary = np.concatenate([w[numbers[i : i + 50_000]].sum(axis=1) for i in range(0, len(numbers), 50_000)])
+    unary[first, 2::2] += NEVER
+    edges = r.edges(texts, ~certain(unary, trans + legal(N_LABELS), first, last))
+    w, trans, skip = train_skip(numbers, truth, r.lengths, w, trans, edges, CLASSES, 3)
+    return Recogniser(keys, shapes, own, around, w, trans + legal(N_LABELS), skip)
 
 
 def find_pii(docs: DataFrame, key: str, text: str, model: Recogniser) -> DataFrame:
@@ -393,4 +593,4 @@ def redact_pii(docs: DataFrame, key: str, text: str, model: Recogniser) -> DataF
     return docs.select(key, text).mapInArrow(work, f"k {kind}, t string").toDF(key, "text")
 
 
-__all__ = ["Recogniser", "find_pii", "fit", "redact", "redact_pii", "windows"]
+__all__ = ["Recogniser", "find_pii", "fit", "redact", "redact_pii"]
