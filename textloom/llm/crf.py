@@ -59,6 +59,22 @@ def forward_backward(unary: np.ndarray, trans: np.ndarray, chain: Chain, pairs:
     return logz, np.log(np.maximum(marg, 1e-300)), pair * step
 
 
+def marginals(unary: np.ndarray, trans: np.ndarray, lengths: np.ndarray, at_once: int = 40_000) -> np.ndarray:
+    """Log marginals of chains that lie one after the other; those of like length are run together."""
+    out = np.empty_like(unary)
+    starts = np.r_[0, np.cumsum(lengths)[:-1]]
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        size = max(1, min(4096, at_once // int(lengths[order[min(at + 255, len(order) - 1)]])))
+        ws = order[at : at + size]
+        at += size
+        n = lengths[ws]
+        rows = np.repeat(starts[ws] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        out[rows] = forward_backward(unary.take(rows, axis=0), trans, Chain(n), pairs=False)[1]
+    return out
+
+
 def viterbi(unary: np.ndarray, trans: np.ndarray, chain: Chain) -> np.ndarray:
     """Best label of every token, in row order; of equal paths the one with lower labels."""
     u, mask = chain.pad(unary), chain.mask
@@ -217,7 +233,7 @@ def legal(n_labels: int) -> np.ndarray:
     return out
 
 
-def certain(unary: np.ndarray, trans: np.ndarray, starts: np.ndarray, ends: np.ndarray, rounds: int = 4) -> np.ndarray:
+def certain(unary: np.ndarray, trans: np.ndarray, starts: np.ndarray, ends: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Tokens that have label 0 on every best path, proven token by token.
 
     Labels are 0, then begin and continue of each kind, in legal order. Take
@@ -239,19 +255,28 @@ def certain(unary: np.ndarray, trans: np.ndarray, starts: np.ndarray, ends: np.n
     follow = np.where(trans[go] > NEVER / 2, trans[go] - trans[begin], -np.inf)
     own = np.repeat(np.arange(len(go)), 2)
     cut = trans[y, go[own]] - trans[0, begin[own]] + np.maximum(0.0, follow.max(axis=1))[own]
-    gain = unary[:, :1] - unary[:, 1:]
-    later = (unary[:, go] - unary[:, begin])[:, own]
-    sure = np.zeros(len(unary), bool)
-    todo = np.arange(len(unary))
+    into_any, into_zero, into_none, out_any, out_zero, cut = (x.astype(unary.dtype) for x in (into_any, into_zero, into_none, out_any, out_zero, cut))
     last = len(unary) - 1
+    # how much better the next token continues each kind than begins it
+    later = unary[:, go] - unary[:, begin]
+    # first by one number for all labels
+    need = into_any.max() + np.maximum(out_any.max(), cut.max() + later.max(axis=1))
+    sure = np.zeros(len(unary), bool)
+    sure[:-1] = unary[:-1, 0] - unary[:-1, 1:].max(axis=1) > need[1:]
+    todo = np.flatnonzero(~sure)
+    gain = unary.take(todo, axis=0)
+    gain = gain[:, :1] - gain[:, 1:]
+    more_any = cut + later.take(np.minimum(todo + 1, last), axis=0)[:, own]
+    begins, stops = starts[todo], ends[todo]
     for _ in range(rounds):
-        before, after = sure[np.maximum(todo - 1, 0)], sure[np.minimum(todo + 1, last)]
-        into = np.where(starts[todo, None], into_none, np.where(before[:, None], into_zero, into_any))
-        more = np.where((ends[todo] | after)[:, None], -np.inf, cut + later[np.minimum(todo + 1, last)])
-        out = np.where(ends[todo, None], 0.0, np.where(after[:, None], out_zero, out_any))
-        new = (gain[todo] > into + np.maximum(out, more)).all(axis=1)
+        before, after = sure.take(np.maximum(todo - 1, 0)), sure.take(np.minimum(todo + 1, last))
+        into = np.where(begins[:, None], into_none, np.where(before[:, None], into_zero, into_any))
+        more = np.where((stops | after)[:, None], -np.inf, more_any)
+        out = np.where(stops[:, None], 0.0, np.where(after[:, None], out_zero, out_any))
+        new = (gain > into + np.maximum(out, more)).all(axis=1)
         if not new.any():
             break
         sure[todo[new]] = True
-        todo = todo[~new]
+        rest = ~new
+        todo, gain, more_any, begins, stops = todo[rest], gain[rest], more_any[rest], begins[rest], stops[rest]
     return sure

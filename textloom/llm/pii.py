@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textloom.llm.crf import NEVER, Chain, certain, legal, loopy, skip_edges, train, train_skip, viterbi
+from textloom.llm.crf import NEVER, Chain, certain, legal, loopy, marginals, skip_edges, train, train_skip, viterbi
 from textloom.llm.pii_samples import SURNAMES_ZH, make
 
 KINDS = ("name", "email", "phone", "id_number", "address")
@@ -31,14 +31,17 @@ _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
 
 #: What every address has between its parts; only there are the parts looked for.
 MARK = re.compile(_AT)
+#: The sign itself, or the word with the bracket after it.
+SIGN = re.compile(r"[@＠]|&\#64;|at\s?[\])}]")
 LOCAL = re.compile(r"[A-Za-z0-9_%+À-ɏ][A-Za-z0-9._%+\-À-ɏ]{0,63}$")
 DOMAIN = re.compile(rf"[A-Za-z0-9À-ɏ][A-Za-z0-9\-À-ɏ]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9\-]*)+")
 
 _PARTS = (
     ("S", r"\s+"),
+    ("V", rf"[^\W\d_A-Z{_HAN}][^\W\d_{_HAN}]*(?:['’\-][^\W\d_{_HAN}]+)*"),
+    ("H", rf"[{_HAN}]"),
     ("A", r"(?<![A-Za-z0-9])(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{7,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{1,2}(?:[ ]\d{2,3}){2,4}[ ][A-Z](?![A-Za-z0-9])"),
     ("N", r"(?<![A-Za-z0-9_])(?:\+\d{1,3}[ \xa0]?\(\d+\)|\d{1,3}[ \xa0]\(\d{2,4}\)|\(\d+\)|\+?\d+)(?:[ \xa0.\-/]?\d+)*(?:-?[A-Za-z](?![A-Za-z0-9]))?"),
-    ("H", rf"[{_HAN}]"),
     ("W", rf"[^\W\d_{_HAN}]+(?:['’\-][^\W\d_{_HAN}]+)*"),
     ("P", r"\S"),
 )
@@ -140,6 +143,7 @@ class Lexer:
     def _form(self, s: str) -> int:
         m = _KIND.fullmatch(s)
         kind = m.lastgroup if m else "P"
+        kind = "W" if kind == "V" else kind
         if kind in "NA":
             # numbers of one layout are one form
             mask = s.translate(_DIGITS)
@@ -151,11 +155,15 @@ class Lexer:
         return i
 
     def mail_spans(self, text: str) -> list[tuple[int, int]]:
+        """Addresses, looked for only where one of the signs for "at" stands."""
+        places = [m.start() for m in SIGN.finditer(text)]
         out, last = [], 0
-        for m in MARK.finditer(text):
-            a, b = m.span()
-            if a < last:
+        for at in places:
+            # a blank and a bracket may stand before the sign
+            m = next((m for x in (at - 3, at - 2, at - 1, at) if x >= last and (m := MARK.match(text, x)) and m.end() > at), None)
+            if m is None:
                 continue
+            a, b = m.span()
             local = LOCAL.search(text, max(last, a - 66), a)
             domain = DOMAIN.match(text, b)
             if local and domain:
@@ -188,24 +196,24 @@ class Lexer:
             more = np.array([(0 if self.keys is None else k, 0 if self.shapes is None else h, *t) for k, h, t in zip(self.key[old:], self.shape[old:], self.traits[old:])], np.int64)
             self.columns = np.concatenate([self.columns, more])
         i = np.array(ids, np.int64)
-        c = self.columns[i]
-        length, space = c[:, 2], c[:, 3] > 0
+        length, space = self.columns[:, 2].take(i), self.columns[:, 3].take(i)
         for k, n in mails:
             length[k] = n
         end = np.cumsum(length)
-        owner = np.zeros(len(i), np.int64)
-        owner[at] = 1
-        owner = np.cumsum(owner) - 1
-        base = end[np.array(at, np.int64) - 1]
+        first = np.array(at, np.int64)
         # a token's gap is that of the blank before it
         gap = np.ones(len(i), np.int64)
-        gap[1:][space[:-1]] = c[:-1, 3][space[:-1]]
+        gap[1:] = np.maximum(space[:-1], 1)
         gap[i == 0] = 0
-        token = np.flatnonzero(~space)
-        i, c, gap, end, length, owner = i[token], c[token], gap[token], end[token], length[token], owner[token]
+        token = np.flatnonzero(space == 0)
+        owner = np.searchsorted(first, token, side="right") - 1
+        base = end.take(first - 1)
+        i, gap, end, length = i.take(token), gap.take(token), end.take(token), length.take(token)
+        c = self.columns.take(i, axis=0)
         real = np.flatnonzero(i)
-        stop = end[real] - base[owner[real]]
-        return Read(i, c, gap, real, np.bincount(owner[real], minlength=len(texts)), owner[real], np.c_[stop - length[real], stop])
+        owner = owner.take(real)
+        stop = end.take(real) - base.take(owner)
+        return Read(i, c, gap, real, np.bincount(owner, minlength=len(texts)), owner, np.c_[stop - length.take(real), stop])
 
 
 class Read:
@@ -217,15 +225,14 @@ class Read:
     def codes(self, key: np.ndarray, shape: np.ndarray, n_keys: int, n_shapes: int) -> dict[str, np.ndarray]:
         """Codes of ``AROUND`` for every real token."""
         at, last = self.real, len(key) - 1
-        k0, k1, k2, km1, km2 = key[at], key[at + 1], key[np.minimum(at + 2, last)], key[at - 1], key[at - 2]
-        h0, h1, h2, hm1, hm2 = shape[at], shape[at + 1], shape[np.minimum(at + 2, last)], shape[at - 1], shape[at - 2]
-        g0, g1 = self.gap[at], self.gap[at + 1]
+        k0, k1, k2, km1, km2 = key.take(at), key.take(at + 1), key.take(np.minimum(at + 2, last)), key.take(at - 1), key.take(at - 2)
+        h0, h1, h2, hm1, hm2 = shape.take(at), shape.take(at + 1), shape.take(np.minimum(at + 2, last)), shape.take(at - 1), shape.take(at - 2)
+        g0, g1 = self.gap.take(at), self.gap.take(at + 1)
         # the last two words before a token, whatever signs stand between; the edge of the text counts as one
         n = np.arange(len(key))
         before = np.r_[0, np.maximum.accumulate(np.where(self.columns[:, 4] > 0, n, 0))[:-1]]
-        w1 = before[at]
-        w2 = before[w1]
-        n1, n2 = key[w1], key[w2]
+        w1 = before.take(at)
+        n1, n2 = key.take(w1), key.take(before.take(w1))
         s, k = n_shapes, n_keys
         hh, hn = hm1 * s + h0, h0 * s + h1
         return {
@@ -288,8 +295,7 @@ class Pairs:
         out = np.zeros(len(codes), np.int32)
         for salt, keys, values in self.tables:
             slot = self._slot(codes, salt)
-            hit = np.flatnonzero(keys[slot] == codes)
-            out[hit] = values[slot[hit]]
+            out += np.where(keys.take(slot) == codes, values.take(slot), 0)
         return out
 
 
@@ -356,18 +362,25 @@ class Recogniser:
     def unary(self, r: Read) -> np.ndarray:
         """Scores of every label for every token."""
         own = self._own_rows()
-        key, shape, s = r.columns[:, 0], r.columns[:, 1], self.n_shapes
-        c = r.codes(key, shape, self.n_keys, s)
-        u = own[r.form[r.real]]
-        for t in ("k-1", "k+1", "k-2", "k+2"):
-            u += self.rows[t][c[t]]
-        u += self.shapes3[c["h-hh+"]]
-        u += self.gaps[c["gg+"] * s + shape[r.real]]
-        for t, table in (self.numbers | self.sparse).items():
-            n = table[c[t]]
-            hit = np.flatnonzero(n)
-            u[hit] += self.w[n[hit]]
-        return u
+        key, shape, s = np.ascontiguousarray(r.columns[:, 0]), np.ascontiguousarray(r.columns[:, 1]), self.n_shapes
+        out = np.empty((len(r.real), N_LABELS), np.float32)
+        all_codes = r.codes(key, shape, self.n_keys, s)
+        all_codes["gap"] = all_codes["gg+"] * s + shape[r.real]
+        form = r.form[r.real]
+        # blocks that stay in the cache
+        for at in range(0, len(out), 16_384):
+            c = {t: x[at : at + 16_384] for t, x in all_codes.items()}
+            u = own.take(form[at : at + 16_384], axis=0)
+            for t in ("k-1", "k+1", "k-2", "k+2"):
+                u += self.rows[t].take(c[t], axis=0)
+            u += self.shapes3.take(c["h-hh+"], axis=0)
+            u += self.gaps.take(c["gap"], axis=0)
+            for t, table in self.numbers.items():
+                u += self.w.take(table.take(c[t]), axis=0)
+            for t, table in self.sparse.items():
+                u += self.w.take(table[c[t]], axis=0)
+            out[at : at + 16_384] = u
+        return out
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Spans ``(start, end, kind)`` of each text, in code points."""
@@ -390,7 +403,7 @@ class Recogniser:
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if not len(r.real):
             return out
-        labels = self.decode(self.unary(r).astype(np.float64), r, texts)
+        labels = self.decode(self.unary(r), r, texts)
         # only stretches of labelled tokens are looked at one by one
         on = np.flatnonzero(labels)
         for t, x, y, kind in _pieces(labels[on], r.owner[on], r.spans[on], np.r_[0, np.diff(on)] != 1):
@@ -419,7 +432,7 @@ class Recogniser:
         place[rows] = np.arange(len(rows))
         begins = np.r_[True, (np.diff(rows) != 1) | first[rows[1:]]]
         ends = np.r_[begins[1:], True]
-        u = unary[rows]
+        u = unary.take(rows, axis=0).astype(np.float64)
         u[begins & ~first[rows]] += self.trans[0]
         u[ends & ~last[rows]] += self.trans[:, 0]
         starts = np.flatnonzero(begins)
@@ -427,12 +440,7 @@ class Recogniser:
         edges = r.edges(texts, open_)
         if len(edges) and np.any(self.skip):
             edges = np.c_[place[edges[:, :2]], edges[:, 2]]
-            which = np.cumsum(begins) - 1
-            linked = np.unique(which[edges[:, :2].reshape(-1)])
-            some = np.flatnonzero(np.isin(which, linked))
-            new = np.full(len(rows), -1)
-            new[some] = np.arange(len(some))
-            u[some] = loopy(u[some], self.trans, Chain(lengths[linked]), np.c_[new[edges[:, :2]], edges[:, 2]], self.skip)
+            self._pass(u, edges, np.cumsum(begins) - 1, starts, lengths)
         found = np.zeros(len(rows), np.int64)
         order = np.argsort(lengths, kind="stable")
         at = 0
@@ -441,12 +449,39 @@ class Recogniser:
             size = max(1, min(4096, 40_000 // int(lengths[order[min(at + 255, len(order) - 1)]])))
             ws = order[at : at + size]
             at += size
-            x = np.concatenate([np.arange(starts[w], starts[w] + lengths[w]) for w in ws]) if len(ws) > 1 else np.arange(starts[ws[0]], starts[ws[0]] + lengths[ws[0]])
-            found[x] = viterbi(u[x], self.trans, Chain(lengths[ws]))
+            n = lengths[ws]
+            x = np.repeat(starts[ws] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            found[x] = viterbi(u.take(x, axis=0), self.trans, Chain(n))
         out[rows] = found
         return out
 
 
+    def _pass(self, u: np.ndarray, edges: np.ndarray, which: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Message passing over the stretches with edges; adds the messages to ``u``.
+
+        A message changes the odds of two labels by no more than the spread of
+        the potentials, and a token has at most two edges. So an edge of which
+        both ends are surer than that, and by as much again, can be left out.
+        """
+        sure = 1.0 / (1.0 + np.exp(-4.0 * (self.skip.max(axis=(1, 2)) - self.skip.min(axis=(1, 2))).max()))
+
+        def part(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            linked = np.unique(which[edges[:, :2].reshape(-1)])
+            n = lengths[linked]
+            rows = np.repeat(starts[linked] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            new = np.zeros(len(u), np.int64)
+            new[rows] = np.arange(len(rows))
+            return rows, n, np.c_[new[edges[:, :2]], edges[:, 2]]
+
+        rows, n, here = part(edges)
+        belief = marginals(u.take(rows, axis=0), self.trans, n).max(axis=1)
+        doubt = (belief < np.log(sure)).take(here[:, :2]).any(axis=1)
+        if not doubt.any():
+            return
+        rows, n, here = part(edges[doubt])
+        u[rows] = loopy(u.take(rows, axis=0), self.trans, Chain(n), here, self.skip)
+
+
 def _pieces(labels: np.ndarray, owner: np.ndarray, spans: np.ndarray, broken: np.ndarray) -> Iterator[tuple[int, int, int, str]]:
     """Text, start, end and kind of each run of labels; ``broken`` marks tokens before which others lie."""
     text, start, end, kind = -1, 0, 0, -1
