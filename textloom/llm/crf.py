@@ -77,19 +77,29 @@ def marginals(unary: np.ndarray, trans: np.ndarray, lengths: np.ndarray, at_once
 
 def viterbi(unary: np.ndarray, trans: np.ndarray, chain: Chain) -> np.ndarray:
     """Best label of every token, in row order; of equal paths the one with lower labels."""
-    u, mask = chain.pad(unary), chain.mask
+    # longest first, so that those that still go on are always the first ones
+    order = np.argsort(-chain.lengths, kind="stable")
+    u, lengths = chain.pad(unary)[order], chain.lengths[order]
     n, longest, k = u.shape
+    alive = np.searchsorted(-lengths, -np.arange(longest), side="left")
+    into = np.ascontiguousarray(trans.T)[None]
     score = u[:, 0].copy()
     back = np.zeros((n, longest, k), np.int16)
     for t in range(1, longest):
-        x = score[:, :, None] + trans[None]
-        back[:, t] = np.where(mask[:, t, None], x.argmax(1), np.arange(k)[None])
-        score = np.where(mask[:, t, None], x.max(1) + u[:, t], score)
+        on = int(alive[t])
+        x = score[:on, None, :] + into
+        came = x.argmax(2)
+        back[:on, t] = came
+        score[:on] = np.take_along_axis(x, came[:, :, None], 2)[:, :, 0] + u[:on, t]
     best = np.zeros((n, longest), np.int64)
-    best[:, -1] = score.argmax(1)
+    at = np.arange(n)
+    best[at, lengths - 1] = score.argmax(1)
     for t in range(longest - 1, 0, -1):
-        best[:, t - 1] = back[np.arange(n), t, best[:, t]]
-    return best[mask]
+        on = int(alive[t])
+        best[:on, t - 1] = back[at[:on], t, best[:on, t]]
+    out = np.empty_like(best)
+    out[order] = best
+    return out[chain.mask]
 
 
 def train(features: np.ndarray, labels: np.ndarray, lengths: Sequence[int], n_features: int, n_labels: int, epochs: int = 8, rate: float = 0.08, l2: float = 2e-6, batch: int = 256, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -257,26 +267,32 @@ def certain(unary: np.ndarray, trans: np.ndarray, starts: np.ndarray, ends: np.n
     cut = trans[y, go[own]] - trans[0, begin[own]] + np.maximum(0.0, follow.max(axis=1))[own]
     into_any, into_zero, into_none, out_any, out_zero, cut = (x.astype(unary.dtype) for x in (into_any, into_zero, into_none, out_any, out_zero, cut))
     last = len(unary) - 1
-    # how much better the next token continues each kind than begins it
-    later = unary[:, go] - unary[:, begin]
-    # first by one number for all labels
-    need = into_any.max() + np.maximum(out_any.max(), cut.max() + later.max(axis=1))
+    # first by one number for all labels; label by label over all tokens, which is fast
+    u = np.ascontiguousarray(unary.T)
+    most, ahead = u[1].copy(), u[2] - u[1]
+    for k in range(2, len(u)):
+        np.maximum(most, u[k], out=most)
+    for k in range(3, len(u), 2):
+        # how much better a token continues a kind than begins it
+        np.maximum(ahead, u[k + 1] - u[k], out=ahead)
     sure = np.zeros(len(unary), bool)
-    sure[:-1] = unary[:-1, 0] - unary[:-1, 1:].max(axis=1) > need[1:]
+    sure[:-1] = (u[0] - most)[:-1] > into_any.max() + np.maximum(out_any.max(), cut.max() + ahead[1:])
     todo = np.flatnonzero(~sure)
-    gain = unary.take(todo, axis=0)
-    gain = gain[:, :1] - gain[:, 1:]
-    more_any = cut + later.take(np.minimum(todo + 1, last), axis=0)[:, own]
+    later = u[:, np.minimum(todo + 1, last)]
+    more_any = cut[:, None] + (later[go] - later[begin])[own]
+    gain = u.take(todo, axis=1)
+    gain = gain[0] - gain[1:]
     begins, stops = starts[todo], ends[todo]
+    into_any, into_zero, into_none, out_any, out_zero = (x[:, None] for x in (into_any, into_zero, into_none, out_any, out_zero))
     for _ in range(rounds):
         before, after = sure.take(np.maximum(todo - 1, 0)), sure.take(np.minimum(todo + 1, last))
-        into = np.where(begins[:, None], into_none, np.where(before[:, None], into_zero, into_any))
-        more = np.where((stops | after)[:, None], -np.inf, more_any)
-        out = np.where(stops[:, None], 0.0, np.where(after[:, None], out_zero, out_any))
-        new = (gain > into + np.maximum(out, more)).all(axis=1)
+        into = np.where(begins, into_none, np.where(before, into_zero, into_any))
+        more = np.where(stops | after, -np.inf, more_any)
+        out = np.where(stops, 0.0, np.where(after, out_zero, out_any))
+        new = (gain > into + np.maximum(out, more)).all(axis=0)
         if not new.any():
             break
         sure[todo[new]] = True
-        rest = ~new
-        todo, gain, more_any, begins, stops = todo[rest], gain[rest], more_any[rest], begins[rest], stops[rest]
+        rest = np.flatnonzero(~new)
+        todo, gain, more_any, begins, stops = todo.take(rest), gain.take(rest, axis=1), more_any.take(rest, axis=1), begins.take(rest), stops.take(rest)
     return sure
