@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators.heavy_keys import exact_quantiles, first_bin, once, profile_keys
+from textloom.operators.heavy_keys import exact_quantiles, first_bin, heavy_keys, once, profile_keys, surplus_copies
 from textloom.operators.ranking import global_rank
 
 PROBS = (0.0, 0.25, 0.5, 0.9, 1.0)
@@ -58,6 +58,32 @@ def test_copies_count_once(spark):
     assert sorted(map(tuple, once(df, ["k"], ["k", "p"], F.max("v").alias("v")).collect())) == [("a", 1, 5), ("a", 2, 6)]
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_heavy_keys(spark, monkeypatch, limit):
+    """Against brute force, with copies, nulls, ties at the share, wide and narrow values; with and without broadcasts."""
+    from textloom.operators import heavy_keys as module
+
+    if limit is not None:
+        monkeypatch.setattr(module, "broadcast_if_small", lambda df: df)
+    r = random.Random(8)
+    wide = [("wide", i, r.choice([-(2**63), 2**63 - 1, 0, r.randint(-(2**62), 2**62)])) for i in range(300)]
+    hot = [("hot", i, 10**17 + r.randint(0, 9)) for i in range(400)]
+    rest = [(f"k{i}", 0, i) for i in range(195)] + [("one value", i, 5) for i in range(100)] + [("no value", i, None) for i in range(100)] + [(None, i, i) for i in range(100)] + [("short", i, i) for i in range(4)]
+    distinct = wide + hot + rest
+    rows = distinct + [distinct[0]] * 500 + r.sample(distinct, 200)
+    df = spark.createDataFrame(rows, "n_rows string, q int, key_value long").repartition(5)
+    got = {x["key_value"]: (x["n_rows"], list(x["q"])) for x in heavy_keys(df, "n_rows", ["n_rows", "q", "key_value"], "key_value", 100 / len(distinct), PROBS).collect()}
+    assert got == {k: (sum(x[0] == k for x in distinct), _want([x[2] for x in distinct if x[0] == k])) for k in ("wide", "hot", "one value", "no value", None)}
+    assert heavy_keys(df.limit(0), "n_rows", ["n_rows"], "key_value", 0.1, PROBS).count() == 0
+    with pytest.raises(ValueError):
+        heavy_keys(df, "n_rows", ["n_rows"], "key_value", 0, PROBS)
+
+
+def test_surplus_copies(spark):
+    df = spark.createDataFrame([("a", None, 1), (None, "a", 1), ("a", None, 1), ("b", "c", 2), ("a", None, 1)], "k string, extra string, v int").withColumnRenamed("extra", "p")
+    assert [tuple(x) for x in surplus_copies(df, ["k", "p"], "v").collect()] == [("a", None, 1, 2)]
+
+
 def test_global_rank(spark):
     r = random.Random(1)
     rows = [("hot" if r.random() < 0.6 else r.choice(["x", "y", None]), r.randint(0, 20), i) for i in range(2000)]

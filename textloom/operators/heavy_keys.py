@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.runtime import broadcast_if_small, materialize
+from textloom.runtime import broadcast_if_small, discard, materialize
 
 #: Bins per octave of the first histogram, and parts of a bin in each refinement.
 SUB_BITS = 7
@@ -57,7 +57,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     """
     probs = _clean_probs(probs)
     keys = list(keys)
-    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).cast("long").alias("_v"))
+    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).cast("long").alias("_v"), F.lit(1).alias("_w"))
     ks = [f"_k{i}" for i in range(len(keys))]
     hist = rows.groupBy(*ks, first_bin(F.col("_v")).alias("_b")).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
@@ -74,7 +74,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         .where((F.col("_all") == 0) | ((F.col("_rank") > F.col("_cum") - F.col("_n")) & (F.col("_rank") <= F.col("_cum"))))
         .select(*ks, F.col("_w.i").alias("_i"), F.col("_all"), (F.col("_rank") - F.col("_cum") + F.col("_n")).alias("_rank"), "_lo", "_hi")
     )
-    found = materialize(open_, "ranks")
+    out = _resolve(rows, ks, materialize(open_, "ranks"))
+    return out.select(*[F.col(k).alias(n) for k, n in zip(ks, keys)], F.col("_all").alias("n"), F.col("_q").alias("q"))
+
+
+def _resolve(rows: DataFrame, ks: list[str], found: DataFrame) -> DataFrame:
+    """``ks, _all, _q`` with the values of all wanted ranks, the intervals in ``found`` being split until each holds one value."""
     done = found.where(F.col("_lo").eqNullSafe(F.col("_hi")))
     todo = found.where(F.col("_lo") < F.col("_hi"))
     parts = [done]
@@ -85,8 +90,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.groupBy(*ks).agg(F.max("_all").alias("n"), F.sort_array(F.collect_list(F.struct("_i", "_lo"))).alias("_q"))
-    return out.select(*[F.col(k).alias(n) for k, n in zip(ks, keys)], "n", F.col("_q._lo").alias("q"))
+    out = out.groupBy(*ks).agg(F.max("_all").alias("_all"), F.sort_array(F.collect_list(F.struct("_i", "_lo"))).alias("_q"))
+    return out.select(*ks, "_all", F.col("_q._lo").alias("_q"))
 
 
 def _refine(rows: DataFrame, ks: list[str], todo: DataFrame) -> DataFrame:
@@ -94,12 +99,15 @@ def _refine(rows: DataFrame, ks: list[str], todo: DataFrame) -> DataFrame:
     spans = materialize(todo.select(*ks, "_lo", "_hi").distinct(), "spans")
     spans = broadcast_if_small(spans.select(*[F.col(k).alias(f"s{k}") for k in ks], F.col("_lo").alias("_slo"), F.col("_hi").alias("_shi")))
     cond = [F.col(k).eqNullSafe(F.col(f"s{k}")) for k in ks] + [F.col("_v").between(F.col("_slo"), F.col("_shi"))]
-    # both ends of a first bin have one sign, so the difference fits; the largest value never shares part 0 with the smallest
-    part = F.floor((F.col("_v") - F.col("_slo")).cast("double") * SPLIT / ((F.col("_shi") - F.col("_slo")).cast("double") + 1))
+    # the difference of whole numbers fits where both ends have one sign, and is rounded only where it is large; the
+    # largest value never shares part 0 with the smallest
+    one_sign = (F.col("_slo") < 0) == (F.col("_shi") < 0)
+    less = lambda a, b: F.when(one_sign, F.try_subtract(a, b).cast("double")).otherwise(a.cast("double") - b.cast("double"))
+    part = F.floor(less(F.col("_v"), F.col("_slo")) * SPLIT / (less(F.col("_shi"), F.col("_slo")) + 1))
     hist = (
         rows.join(spans, cond)
         .groupBy(*ks, F.col("_slo"), F.col("_shi"), part.alias("_b"))
-        .agg(F.count("_v").alias("_n"), F.min("_v").alias("_nlo"), F.max("_v").alias("_nhi"))
+        .agg(F.sum("_w").alias("_n"), F.min("_v").alias("_nlo"), F.max("_v").alias("_nhi"))
     )
     running = Window.partitionBy(*ks, "_slo", "_shi").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cum = hist.withColumn("_cum", F.sum("_n").over(running))
@@ -140,6 +148,52 @@ def profile_keys(rows: DataFrame, key: str, record: Sequence[str], value: str, c
     return totals.join(q, F.col("_key").eqNullSafe(F.col("_qk")), "left").select(F.col("_key").alias("key_value"), "n_rows", "occurrences", "records", "q")
 
 
+def surplus_copies(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """``key..., value, extra`` of the rows that occur more than once, with the number of their copies beyond the first.
+
+    Only a hash of each row is exchanged, counted inside each task first; rows
+    whose hash recurs are then counted exactly. Nulls are values like others.
+    """
+    h = F.xxhash64(*key)
+    twice = df.select(h.alias("_h")).groupBy("_h").agg(F.count("*").alias("_c")).where(F.col("_c") > 1).select("_h")
+    twice = materialize(twice, "twice")
+    some = df.withColumn("_h", h).join(broadcast_if_small(twice), "_h", "left_semi")
+    found = some.groupBy(*key).agg(F.max(value).alias(value), (F.count("*") - 1).alias("extra"))
+    out = materialize(found.where(F.col("extra") > 0), "surplus")
+    discard(twice)
+    return out
+
+
+def heavy_keys(df: DataFrame, key: str, row: Sequence[str], value: str, share: float, probs: Sequence[float]) -> DataFrame:
+    """``key_value, n_rows, q`` of the keys that hold at least ``share`` of all rows, copies of a ``row`` counted once.
+
+    Exact selection that begins with one bin for each key, its range and count
+    of values. The counts tell the heavy keys, at most ``1 / share``, and only
+    their bins are split further, up to the exact quantiles. Copies are taken
+    out as counts, not as rows: each histogram adds all rows and subtracts the
+    surplus ones, which is possible because counts are mergeable. A null key is
+    a key like any other; null values count as rows but have no rank, and a key
+    without values has null quantiles. An empty table gives no rows.
+    """
+    if not 0 < share <= 1:
+        raise ValueError("a share lies above 0 and not above 1")
+    probs = _clean_probs(probs)
+    named = df.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(row)], F.col(key).alias("_k0"), F.col(value).cast("long").alias("_v"))
+    copies = surplus_copies(named, [*(f"_r{i}" for i in range(len(row))), "_k0"], "_v")
+    rows = named.select("_k0", "_v", F.lit(1).cast("long").alias("_w")).unionByName(copies.select("_k0", "_v", (-F.col("extra")).alias("_w")))
+    counted = rows.groupBy("_k0").agg(F.sum("_w").alias("_rows"), F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))), F.lit(0)).alias("_all"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    first = materialize(counted, "bins")
+    total = first.agg(F.sum("_rows")).first()[0] or 0
+    # at most 1 / share rows
+    heavy = materialize(first.where(F.col("_rows") >= F.lit(share) * F.lit(total)), "heavy")
+    want = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)])
+    open_ = heavy.withColumn("_want", F.explode(want)).select(
+        "_k0", F.col("_want.i").alias("_i"), "_all", F.greatest(F.lit(1), F.ceil(F.col("_all") * F.col("_want.p"))).cast("long").alias("_rank"), "_lo", "_hi"
+    )
+    q = _resolve(rows, ["_k0"], materialize(open_, "ranks")).select(F.col("_k0").alias("_qk"), "_q")
+    return heavy.join(F.broadcast(q), F.col("_k0").eqNullSafe(F.col("_qk"))).select(F.col("_k0").alias("key_value"), F.col("_rows").alias("n_rows"), F.col("_q").alias("q"))
+
+
 def once(df: DataFrame, spread: Sequence[str], key: Sequence[str], *values: Column) -> DataFrame:
     """Each ``key`` once, with ``values`` aggregated; the exchange is on ``spread``, a subset of ``key``.
 

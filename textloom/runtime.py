@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,19 +64,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete every table written by :func:`materialize` in this process."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:
-            pass
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:
+        pass
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` from which nothing will be read again, as the last round of a loop."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        for entry in [x for x in _written if x[1] == path]:
+            _written.remove(entry)
+            _delete(*entry)
+
+
+def release(since: int = 0) -> None:
+    """Delete the tables that :func:`materialize` has written in this process, but for the first ``since``."""
+    while len(_written) > since:
+        _delete(*_written.pop())
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end the tables written inside it: for work whose results have been written or fetched by then."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(since)
 
 
 atexit.register(release)
