@@ -18,8 +18,10 @@ def dictionary(index):
 
 
 def report(index):
+    problems = sorted(map(tuple, index.problems().collect()))
     r = index.check().first()
-    return r["documents"], list(r["problems"])
+    assert r["problems"] == len(problems)
+    return r["documents"], problems
 
 
 def test_add_positions(spark):
@@ -55,6 +57,18 @@ def test_last_of_a_batch_wins(spark):
     assert i.document("1") == {C: "second"} and i.stats()[0] == 2
 
 
+def test_repeated_ids_need_an_order(spark, tmp_path):
+    rows = docs(spark, [("1", {C: "first"}), ("1", {C: "second"})])
+    with pytest.raises(InvalidDocumentError):
+        new_index(spark).add_batch(rows)
+    store = StoredIndex(spark, str(tmp_path / "index"))
+    with pytest.raises(InvalidDocumentError):
+        store.add_batch(rows)
+    assert store.snapshot().stats()[0] == 0
+    ties = spark.createDataFrame([("1", {C: "a"}, 5), ("1", {C: "b"}, 5), ("1", {C: "z"}, 4)], DOC + ", n int")
+    assert store.add_batch(ties, "n").document("1") == {C: "b"}
+
+
 def test_delete(spark):
     one = add(new_index(spark), "1", {C: "alpha beta"})
     two = add(one, "2", {C: "beta gamma"})
@@ -71,7 +85,7 @@ def test_rebuild_and_check(spark):
     again = i.rebuild()
     assert dictionary(again) == dictionary(i) and again.stats() == i.stats() == (2, {C: 4, "t": 0})
     i.tables.terms = i.tables.terms.withColumn("df", F.when(F.col("term") == "web", 7).otherwise(F.col("df")))
-    assert report(i) == (2, ["term content/web: 7 counted, 2 found"])
+    assert report(i) == (2, [("term", C, "web", 7, 2)])
 
 
 def test_stored_index(spark, tmp_path):
@@ -87,15 +101,87 @@ def test_stored_index(spark, tmp_path):
     with pytest.raises(InvalidDocumentError):
         again.add_batch(docs(spark, [("x", {C: "y"}), ("", {C: "y"})]))
     assert again.snapshot().stats()[0] == 1 and report(again.rebuild()) == (1, [])
-    again._folder.vacuum(1)
-    assert again.snapshot().stats()[0] == 1
+    again.vacuum(1)
+    assert again.snapshot().stats()[0] == 1 and len(again._folder.parts()) == 1
     with pytest.raises(RuntimeError):
-        again._folder.commit(1, [])
+        again._folder.commit(1, [], lambda part: {})
     again.close()
     with pytest.raises(StoreClosedError):
         again.snapshot()
 
 
+def test_segments(spark, tmp_path):
+    """Batches, updates and deletes as segments give what one build of the last state gives, also when some or all are merged."""
+    import random
+
+    r, state = random.Random(4), {}
+    store = StoredIndex(spark, str(tmp_path / "index"))
+    words = "alpha beta gamma delta the epsilon".split()
+    for step in range(7):
+        batch = {str(r.randint(0, 12)): {C: " ".join(r.choices(words, k=r.randint(0, 6))), **({"t": "x y"} if r.random() < 0.5 else {})} for _ in range(4)}
+        store.add_batch(docs(spark, list(batch.items())))
+        state |= batch
+        if step % 3 == 2:
+            gone = r.sample(sorted(state), 2)
+            store.delete(*gone)
+            for g in gone:
+                del state[g]
+        if step in (2, 6):
+            want = SearchIndex.of_documents(docs(spark, list(state.items())))
+            for _ in range(2):
+                now = store.snapshot()
+                assert report(now) == (len(state), []) and dictionary(now) == dictionary(want)
+                n, lengths = now.stats()
+                assert n == len(state) and {f: x for f, x in lengths.items() if x} == {f: x for f, x in want.stats()[1].items() if x}
+                rows = lambda i: sorted((p["field"], p["term"], p["id"], p["tf"], tuple(p["positions"]), p["dl"]) for p in i.tables.postings.collect())
+                assert rows(now) == rows(want)
+                store.compact(everything=True)
+            assert len(store._manifest()["segments"]) == 1
+    assert store.rebuild().stats()[0] == len(state)
+
+
+def test_small_segments_merge(spark, tmp_path):
+    store = StoredIndex(spark, str(tmp_path / "index"))
+    for i in range(6):
+        store.add_batch(docs(spark, [(str(i), {C: f"w{i} w"})]))
+        assert len(store._manifest()["segments"]) < 5
+    assert store.snapshot().term_info(C, "w") == (6, 6) and report(store.snapshot()) == (6, [])
+
+
+def test_many_ids_are_joined(spark, tmp_path, monkeypatch):
+    from textloom.sources import store as module
+
+    monkeypatch.setattr(module, "LITERAL_IDS", 2)
+    store = StoredIndex(spark, str(tmp_path / "index"))
+    store.add_batch(docs(spark, [(str(i), {C: "old"}) for i in range(6)]))
+    now = store.add_batch(docs(spark, [(str(i), {C: "new"}) for i in range(4)]))
+    assert now.term_info(C, "old") == (2, 2) and now.term_info(C, "new") == (4, 4) and report(now) == (6, [])
+
+
+def test_claims_are_leases(spark, tmp_path, monkeypatch):
+    import json
+    import os
+    import time
+
+    path = str(tmp_path / "index")
+    store = StoredIndex(spark, path)
+    claim = os.path.join(path, "CLAIM-2")
+
+    def left(age):
+        with open(claim, "w") as f:
+            json.dump({"owner": "someone", "time": time.time() - age}, f)
+        crc = os.path.join(path, ".CLAIM-2.crc")
+        if os.path.exists(crc):
+            os.remove(crc)
+
+    left(5)
+    with pytest.raises(RuntimeError):
+        store.add_batch(docs(spark, [("1", {C: "x"})]))
+    assert store.snapshot().stats()[0] == 0
+    left(10**6)
+    assert store.add_batch(docs(spark, [("1", {C: "x"})])).stats()[0] == 1 and not os.path.exists(claim)
+
+
 @pytest.mark.parametrize("persistent", [False, True])
 def test_key_value_store(spark, tmp_path, persistent):
     path = str(tmp_path / "kv") if persistent else None
@@ -128,13 +214,14 @@ def test_key_value_store(spark, tmp_path, persistent):
 def test_streaming_ingest(spark, tmp_path):
     source = str(tmp_path / "in")
     docs(spark, [("1", {C: "streamed text"}), ("", {C: "refused"}), ("2", {C: "more text"})]).write.parquet(source)
-    index = StoredIndex(spark, str(tmp_path / "index"))
-    run = lambda: ingest(spark.readStream.schema(DOC).parquet(source), index, str(tmp_path / "cp")).awaitTermination()
+    index, bad = StoredIndex(spark, str(tmp_path / "index")), str(tmp_path / "refused")
+    run = lambda: ingest(spark.readStream.schema(DOC).parquet(source), index, str(tmp_path / "cp"), refused=bad).awaitTermination()
     run()
     docs(spark, [("2", {C: "changed"})]).write.mode("append").parquet(source)
     run()
     i = index.snapshot()
     assert i.stats()[0] == 2 and i.document("2") == {C: "changed"}
+    assert [(r["batch"], r["id"]) for r in spark.read.schema(DOC + ", batch int").parquet(bad).collect()] == [(0, "")]
     assert [r["id"] for r in i.search(MatchQuery(C, "text")).collect()] == ["1"]
 
 

@@ -29,6 +29,11 @@ class HighlightOptions:
     max_fragments: int = 1
     escape_html: bool = True
 
+    @classmethod
+    def unset(cls) -> "HighlightOptions":
+        """Options of which nothing is set: default tags and sizes, but no escapes."""
+        return cls("", "", 0, 0, False)
+
     def filled(self) -> "HighlightOptions":
         return replace(
             self,

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.analyzer import Analyzer, field_tokens
 from textloom.functions.patterns import WHITE_SPACE
+from textloom.runtime import materialize
 
 BLANK = f"^[{WHITE_SPACE}]*$"
 
@@ -30,11 +31,20 @@ class IndexTables:
         return [(n, getattr(self, n)) for n in self.NAMES]
 
 
-def invalid_documents(documents: DataFrame) -> DataFrame:
-    """Documents with a blank or null id, without fields, or with a blank field name."""
+def _invalid() -> Column:
     blank_name = F.exists(F.map_keys("fields"), lambda k: k.rlike(BLANK))
     bad = F.col("id").isNull() | F.col("id").rlike(BLANK) | F.col("fields").isNull() | (F.size("fields") == 0) | blank_name
-    return documents.where(F.coalesce(bad, F.lit(True)))
+    return F.coalesce(bad, F.lit(True))
+
+
+def invalid_documents(documents: DataFrame) -> DataFrame:
+    """Documents with a blank or null id, without fields, or with a blank field name."""
+    return documents.where(_invalid())
+
+
+def valid_documents(documents: DataFrame) -> DataFrame:
+    """All other documents."""
+    return documents.where(~_invalid())
 
 
 def postings_of(tokens: DataFrame, sort: bool = False) -> DataFrame:
@@ -67,9 +77,31 @@ def stats_of(documents: DataFrame, doclen: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("document_count")).crossJoin(total)
 
 
-def build(documents: DataFrame, analyzer_of: Callable[[str | None], Analyzer], fields: Sequence[str] = (), sort: bool = False) -> IndexTables:
-    """All tables of ``documents(id, fields)``, whose ids are distinct and valid."""
-    tokens = field_tokens(documents, analyzer_of, fields)
-    doclen = tokens.select("id", "field", F.size("tokens").alias("len"))
-    postings = postings_of(tokens, sort)
-    return IndexTables(documents, postings, terms_of(postings), doclen, stats_of(documents, doclen))
+def last_of(documents: DataFrame, order: str) -> DataFrame:
+    """``id, fields`` of each id's last row in ``order``; of equal ones the one with the greatest entries."""
+    # a map has no order of its own, so it travels as sorted entries
+    rows = documents.select("id", F.col(order).alias("o"), F.array_sort(F.map_entries("fields")).alias("e"))
+    last = rows.groupBy("id").agg(F.max(F.struct("o", "e")).alias("d"))
+    return last.select("id", F.map_from_entries("d.e").alias("fields"))
+
+
+def build(documents: DataFrame, analyzer_of: Callable[[str | None], Analyzer], fields: Sequence[str] = (), sort: bool = False, write: str = "") -> IndexTables:
+    """All tables of ``documents(id, fields)``, whose ids are distinct and valid.
+
+    With ``write``, a prefix of names, texts are analysed once: their tokens
+    are written first and all else is derived from written tables.
+    """
+    if not write:
+        tokens = field_tokens(documents, analyzer_of, fields)
+        doclen = tokens.select("id", "field", F.size("tokens").alias("len"))
+        postings = postings_of(tokens, sort)
+        return IndexTables(documents, postings, terms_of(postings), doclen, stats_of(documents, doclen))
+    documents = materialize(documents, f"{write}-documents")
+    tokens = materialize(field_tokens(documents, analyzer_of, fields), f"{write}-tokens")
+    doclen = materialize(tokens.select("id", "field", F.size("tokens").alias("len")), f"{write}-doclen")
+    postings = materialize(postings_of(tokens, sort), f"{write}-postings")
+    terms = terms_of(postings)
+    if sort:
+        terms = terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
+    terms = materialize(terms, f"{write}-terms")
+    return IndexTables(documents, postings, terms, doclen, materialize(stats_of(documents, doclen), f"{write}-stats"))

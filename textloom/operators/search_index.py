@@ -12,11 +12,10 @@ from textloom.functions.analyzer import Analyzer, standard_analyzer
 from textloom.functions.highlight import HighlightOptions, highlight_column
 from textloom.functions.scoring import BM25
 from textloom.model import DocumentMissingError, InvalidDocumentError
-from textloom.operators.index_tables import BLANK, IndexTables, build, invalid_documents, terms_of
+from textloom.operators.index_tables import BLANK, IndexTables, build, invalid_documents, last_of, terms_of
 from textloom.plans.ast import Query, TermQuery
 from textloom.plans.compiler import HITS, Plan
 from textloom.plans.parser import parse
-from textloom.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -53,6 +52,12 @@ class SearchIndex:
         config = config or IndexConfig()
         return cls(build(documents, config.of, sorted(config.field_analyzers), sort), config)
 
+    @classmethod
+    def written(cls, documents: DataFrame, config: IndexConfig | None = None) -> "SearchIndex":
+        """Like :meth:`of_documents`, sorted, with every text analysed once and every table in the shared folder."""
+        config = config or IndexConfig()
+        return cls(build(documents, config.of, sorted(config.field_analyzers), True, "index"), config)
+
     # ---- readers
 
     def document(self, doc_id: str) -> dict[str, str]:
@@ -143,36 +148,27 @@ class SearchIndex:
         """A snapshot with ``documents(id, fields)`` added or put in place of those with their ids.
 
         All documents are validated first; one that is invalid leaves everything
-        as it is. Of several with one id the last in ``order`` stays; without an
-        order the ids must be distinct. Only the new documents are analysed, and
-        only the touched part of the dictionary is counted again.
+        as it is. Of several with one id the last in ``order`` stays (of equal
+        ones the one whose entries are the greatest, nulls coming first).
+        Without an order no id may repeat: rows of a table have none of their
+        own, so a repeated id is refused. Only the new documents are analysed,
+        and only the touched part of the dictionary is counted again.
         """
-        if not invalid_documents(documents).isEmpty():
-            raise InvalidDocumentError("a document has a blank id, no fields or a blank field name")
-        new = documents.select("id", "fields")
-        if order:
-            # a map has no order of its own, so it travels as sorted entries
-            last = documents.groupBy("id").agg(F.max_by(F.struct("fields"), F.col(order)).alias("d"))
-            new = last.select("id", F.col("d.fields").alias("fields"))
-        fresh = build(new, self.config.of, sorted(self.config.field_analyzers))
-        # analysed once: the new postings are written, and the change of the dictionary is counted from them
-        postings = materialize(fresh.postings, "new-postings")
-        fresh = IndexTables(fresh.documents, postings, terms_of(postings), fresh.doclen, fresh.stats)
-        return self._merged(new.select("id"), fresh)
+        fresh = fresh_tables(documents, order, self.config)
+        return self._merged(fresh.documents.select("id"), fresh)
 
     def delete(self, *ids: str) -> "SearchIndex":
         """A snapshot without the documents; a blank or unknown id is an error and changes nothing."""
-        import re
+        return self.delete_all(self._spark.createDataFrame([(i,) for i in ids], "id string"))
 
-        from textloom.functions.patterns import WHITE_SPACE_PY
-
-        if any(not i or re.fullmatch(f"[{WHITE_SPACE_PY}]*", i) for i in ids):
+    def delete_all(self, ids: DataFrame) -> "SearchIndex":
+        """``delete`` of the ids of a table, of any number; repeated ones count once."""
+        gone = ids.select("id").distinct()
+        if not gone.where(F.col("id").isNull() | F.col("id").rlike(BLANK)).isEmpty():
             raise InvalidDocumentError("blank id")
-        gone = self._spark.createDataFrame([(i,) for i in ids], "id string")
-        known = {r["id"] for r in self.tables.documents.join(F.broadcast(gone), "id", "left_semi").select("id").collect()}
-        for i in ids:
-            if i not in known:
-                raise DocumentMissingError(i)
+        missing = gone.join(self.tables.documents.select("id"), "id", "left_anti").take(1)
+        if missing:
+            raise DocumentMissingError(missing[0]["id"])
         return self._merged(gone, None)
 
     def _merged(self, gone: DataFrame, fresh: IndexTables | None) -> "SearchIndex":
@@ -196,21 +192,27 @@ class SearchIndex:
         return SearchIndex.of_documents(self.tables.documents, self.config)
 
     def check(self) -> DataFrame:
-        """One row ``documents, terms, postings, problems``: dictionary counts against postings, documents against statistics."""
+        """One row ``documents, terms, postings, problems``, the last being the number of rows of :meth:`problems`."""
+        t = self.tables
+        n = t.doclen.select("id").distinct().agg(F.count("*").alias("documents"))
+        one = n.crossJoin(t.terms.agg(F.count("*").alias("terms"))).crossJoin(t.postings.agg(F.count("*").alias("postings")))
+        return one.crossJoin(self.problems().agg(F.count("*").alias("problems")))
+
+    def problems(self) -> DataFrame:
+        """A row ``kind, field, term, counted, found`` for each thing that does not agree, in no order.
+
+        Kind ``term``: the document frequency of a dictionary entry and its
+        postings. Kind ``documents``: the number of documents in the statistics
+        and the documents that have lengths. A sound index gives no rows.
+        """
         t = self.tables
         real = t.postings.groupBy("field", "term").agg(F.count("*").alias("n"))
         both = t.terms.select("field", "term", "df").join(real, ["field", "term"], "left")
-        wrong = both.where(F.coalesce("n", F.lit(0)) != F.col("df"))
-        text = F.concat(F.lit("term "), "field", F.lit("/"), "term", F.lit(": "), F.col("df").cast("string"), F.lit(" counted, "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" found"))
-        problems = wrong.agg(F.array_sort(F.collect_list(text)).alias("p"))
-        n = t.doclen.select("id").distinct().agg(F.count("*").alias("documents"))
-        one = n.crossJoin(t.terms.agg(F.count("*").alias("terms"))).crossJoin(real.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings")))
-        one = one.crossJoin(problems).crossJoin(t.stats.select("document_count"))
-        count = F.when(
-            F.col("documents") != F.col("document_count"),
-            F.array(F.concat(F.lit("documents: "), F.col("document_count").cast("string"), F.lit(" counted, "), F.col("documents").cast("string"), F.lit(" found"))),
-        ).otherwise(F.array().cast("array<string>"))
-        return one.select("documents", "terms", "postings", F.concat(count, "p").alias("problems"))
+        terms = both.select(F.lit("term").alias("kind"), "field", "term", F.col("df").alias("counted"), F.coalesce("n", F.lit(0)).alias("found"))
+        n = t.doclen.select("id").distinct().agg(F.count("*").alias("found"))
+        none = F.lit(None).cast("string")
+        count = t.stats.crossJoin(n).select(F.lit("documents").alias("kind"), none.alias("field"), none.alias("term"), F.col("document_count").alias("counted"), "found")
+        return terms.unionByName(count).where(~F.col("counted").eqNullSafe(F.col("found")))
 
     def cached(self) -> "SearchIndex":
         for _, df in self.tables.items():
@@ -226,6 +228,18 @@ class SearchIndex:
         return self.tables.documents.sparkSession
 
 
+def fresh_tables(documents: DataFrame, order: str | None, config: IndexConfig) -> IndexTables:
+    """Tables of a batch, written; see :meth:`SearchIndex.add_batch` for what is refused and which of equal ids counts."""
+    if not invalid_documents(documents).isEmpty():
+        raise InvalidDocumentError("a document has a blank id, no fields or a blank field name")
+    new = documents.select("id", "fields")
+    if order:
+        new = last_of(documents, order)
+    elif twice := new.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("id").take(1):
+        raise InvalidDocumentError(f"id {twice[0]['id']!r} repeats; name the column that orders its rows")
+    return build(new, config.of, sorted(config.field_analyzers), write="new")
+
+
 def new_index(spark: SparkSession, config: IndexConfig | None = None) -> SearchIndex:
     """An empty index."""
     return SearchIndex.of_documents(spark.createDataFrame([], "id string, fields map<string,string>"), config)
@@ -236,4 +250,4 @@ def add(index: SearchIndex, doc_id: str, fields: dict[str, str]) -> SearchIndex:
     return index.add_batch(index._spark.createDataFrame([(doc_id, fields)], "id string, fields map<string,string>"))
 
 
-__all__ = ["BLANK", "IndexConfig", "SearchIndex", "add", "new_index"]
+__all__ = ["BLANK", "IndexConfig", "SearchIndex", "add", "fresh_tables", "new_index"]

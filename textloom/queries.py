@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +15,15 @@ from textloom.functions.filters import ENGLISH_STOP_WORDS, lower, stem
 from textloom.functions.highlight import HighlightOptions
 from textloom.functions.patterns import WHITE_SPACE
 from textloom.functions.tokenizers import DictionaryTokenizer, HmmTokenizer, SimpleTokenizer, StandardTokenizer, WhitespaceTokenizer
+from textloom.model import TextloomError
 from textloom.operators import postings as lists
-from textloom.operators.heavy_keys import once, profile_keys
-from textloom.operators.index_tables import IndexTables
+from textloom.operators.heavy_keys import heavy_keys, once, profile_keys
 from textloom.operators.search_index import SearchIndex
 from textloom.plans.ast import BooleanQuery, FuzzyQuery, MatchQuery, PhraseQuery, PrefixQuery, Query, TermQuery
 from textloom.runtime import materialize, read_table, shared_dir
 from textloom.sources.corpora import corpus, corpus_of_records
-from textloom.sources.store import StoredIndex, is_folder
+from textloom.sources.records import accepted
+from textloom.sources.store import KeyValueStore, StoredIndex, is_folder
 from textloom.streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,14 +81,12 @@ def _spread(profile: DataFrame) -> DataFrame:
 )
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of postings and terms of tokens that hold at least ``HEAVY_SHARE`` of their table's rows."""
-    out = None
-    for name, profile in (("postings.id", _id_profile(spark, folder)), ("tokens.term", _term_profile(spark, folder))):
-        profile = materialize(profile, "profile")
-        total = profile.agg(F.sum("n_rows")).first()[0] or 0
-        heavy = profile.where((F.col("n_rows") >= F.lit(HEAVY_SHARE * total)) & F.col("key_value").isNotNull())
-        heavy = heavy.select(F.lit(name).alias("key_column"), "key_value")
-        out = heavy if out is None else out.unionByName(heavy)
-    return out
+    p = read_table(spark, folder, "postings").select("shard", "field", "term", "id", F.coalesce("tf", F.size("positions")).alias("tf"))
+    t = read_table(spark, folder, "tokens").select("shard", "id", "field", "term", "position")
+    ids = heavy_keys(p, "id", ["shard", "field", "term", "id"], "tf", HEAVY_SHARE, PROBS)
+    terms = heavy_keys(t, "term", ["shard", "id", "field", "term", "position"], "position", HEAVY_SHARE, PROBS)
+    named = lambda name, df: df.where(F.col("key_value").isNotNull()).select(F.lit(name).alias("key_column"), "key_value")
+    return named("postings.id", ids).unionByName(named("tokens.term", terms))
 
 
 @query(
@@ -248,17 +248,65 @@ def cjk_fmm(spark: SparkSession, folder: str) -> DataFrame:
     return _exploded(_texts(spark, folder), DictionaryTokenizer(WORDS).column(F.col("text")))
 
 
-@query()
+def _signs_back(x: str) -> str:
+    """SQL: the code points of a string in reverse order."""
+    return f"array_to_string(list_reverse(regexp_extract_all({x}, '(?s).')), '')"
+
+
+_HAN_RE2 = rf"\p{{Han}}|(?:[^\P{{L}}\p{{Han}}]|\p{{Nd}})+|[^{WHITE_SPACE}\p{{P}}]"
+_BACK_RE2 = "(?:" + "|".join(sorted((w[::-1] for w in WORDS), key=lambda w: (-len(w), w))) + ")|" + _HAN_RE2
+CUTS_SQL = f"""
+    ahead AS (SELECT doc_id, regexp_extract_all(text, '(?:{_LONGEST_FIRST})|{_HAN_RE2}') t FROM documents WHERE text IS NOT NULL),
+    back AS (SELECT doc_id, list_transform(list_reverse(regexp_extract_all({_signs_back("text")}, '{_BACK_RE2}')), lambda x: {_signs_back("x")}) t FROM documents WHERE text IS NOT NULL)
+"""
+
+
+def _numbered(source: str) -> str:
+    return f"SELECT doc_id, unnest(t) AS term, CAST(generate_subscripts(t, 1) - 1 AS INT) AS position FROM {source}"
+
+
+@query(f"WITH {CUTS_SQL} {_numbered('back')}")
 def cjk_rmm(spark: SparkSession, folder: str) -> DataFrame:
+    """Reverse maximum matching."""
     return _exploded(_texts(spark, folder), DictionaryTokenizer(WORDS, "reverse").column(F.col("text")))
 
 
-@query()
+@query(
+    f"""
+    WITH {CUTS_SQL},
+    cost AS (SELECT doc_id, a.t f, b.t r, (len(a.t), len(list_filter(a.t, lambda x: length(x) = 1))) cf, (len(b.t), len(list_filter(b.t, lambda x: length(x) = 1))) cr
+             FROM ahead a JOIN back b USING (doc_id)),
+    best AS (SELECT doc_id, CASE WHEN cr < cf THEN r ELSE f END t FROM cost)
+    {_numbered("best")}
+    """
+)
 def cjk_bmm(spark: SparkSession, folder: str) -> DataFrame:
+    """The better of both directions."""
     return _exploded(_texts(spark, folder), DictionaryTokenizer(WORDS, "both").column(F.col("text")))
 
 
-@query()
+# With the default model every sign has the same probabilities, so the best path depends on the length of a run alone.
+_NONE = "'-infinity'::DOUBLE"
+HMM_SQL = f"""
+    runs AS (SELECT doc_id, regexp_extract_all(text, '\\p{{Han}}+|(?:[^\\P{{L}}\\p{{Han}}]|\\p{{Nd}})+|[^{WHITE_SPACE}\\p{{P}}]') t FROM documents WHERE text IS NOT NULL),
+    longest AS (SELECT coalesce(max(list_max(list_transform(t, lambda x: length(x)))), 1) n FROM runs),
+    path AS (
+        SELECT 1 n, -0.5::DOUBLE + -0.6::DOUBLE b, {_NONE} m, {_NONE} e, -0.8::DOUBLE + -0.9::DOUBLE s, 'B' pb, 'M' pm, 'E' pe, 'S' ps
+        UNION ALL
+        SELECT n + 1, greatest(e + -0.7::DOUBLE, s + -0.7::DOUBLE) + -0.6::DOUBLE, greatest(b + -0.7::DOUBLE, m + -0.7::DOUBLE) + -0.8::DOUBLE, greatest(b + -0.7::DOUBLE, m + -0.7::DOUBLE) + -0.6::DOUBLE, greatest(e + -0.7::DOUBLE, s + -0.7::DOUBLE) + -0.9::DOUBLE,
+               CASE WHEN greatest(e, s) = {_NONE} THEN pb WHEN e + -0.7::DOUBLE >= s + -0.7::DOUBLE THEN pe ELSE ps END || 'B', CASE WHEN b + -0.7::DOUBLE >= m + -0.7::DOUBLE THEN pb ELSE pm END || 'M',
+               CASE WHEN b + -0.7::DOUBLE >= m + -0.7::DOUBLE THEN pb ELSE pm END || 'E', CASE WHEN greatest(e, s) = {_NONE} THEN pb WHEN e + -0.7::DOUBLE >= s + -0.7::DOUBLE THEN pe ELSE ps END || 'S'
+        FROM path WHERE n < (SELECT n FROM longest)
+    ),
+    words AS (SELECT n, list_transform(regexp_extract_all(CASE WHEN s > e THEN ps ELSE pe END, '[BM]*[ES]'), lambda w: length(w)) w FROM path),
+    flat AS (SELECT doc_id, unnest(t) x, generate_subscripts(t, 1) k FROM runs),
+    cut AS (SELECT doc_id, k, CASE WHEN regexp_matches(x, '^\\p{{Han}}') THEN list_transform(range(1, len(w) + 1), lambda i: substr(x, 1 + CAST(coalesce(list_sum(w[1:i - 1]), 0) AS BIGINT), w[i])) ELSE [x] END ws
+            FROM flat LEFT JOIN words ON words.n = length(x)),
+    seg AS (SELECT doc_id, flatten(list(ws ORDER BY k)) t FROM cut GROUP BY doc_id)
+"""
+
+
+@query(f"WITH RECURSIVE {HMM_SQL} {_numbered('seg')}")
 def hmm_default(spark: SparkSession, folder: str) -> DataFrame:
     return _exploded(_texts(spark, folder), HmmTokenizer().column(F.col("text")))
 
@@ -272,12 +320,7 @@ def records_index(spark: SparkSession, folder: str) -> SearchIndex:
     """The index of all current records, written once per session and folder and then only read."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _indexes:
-        made = SearchIndex.of_documents(materialize(corpus_of_records(read_table(spark, folder, "records")), "documents"), sort=True)
-        t = made.tables
-        postings = materialize(t.postings, "postings")
-        again = SearchIndex(IndexTables(t.documents, postings, materialize(_terms(postings), "terms"), materialize(t.doclen, "doclen"), t.stats))
-        again.tables.stats = materialize(again.tables.stats, "stats")
-        _indexes[key] = again
+        _indexes[key] = SearchIndex.written(corpus_of_records(read_table(spark, folder, "records")))
     return _indexes[key]
 
 
@@ -286,12 +329,6 @@ def _joined(positions=None):
     return F.array_join(F.col("positions") if positions is None else positions, ",").alias("positions")
 
 
-def _terms(postings: DataFrame) -> DataFrame:
-    from textloom.operators.index_tables import terms_of
-
-    return terms_of(postings).repartitionByRange("field", "term").sortWithinPartitions("field", "term")
-
-
 TOK = """
     tok AS (SELECT DISTINCT shard || '/' || id AS id, field, term, position FROM tokens),
     pos AS (SELECT field, term, id, CAST(count(*) AS INT) tf, list(position ORDER BY position) positions FROM tok GROUP BY field, term, id),
@@ -332,8 +369,8 @@ def idx_doclen(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def idx_stats(spark: SparkSession, folder: str) -> DataFrame:
-    s = records_index(spark, folder).tables.stats
-    return s.select(F.explode("total_field_length").alias("field", "total"), F.col("document_count").alias("documents"))
+    n, totals = records_index(spark, folder).stats()
+    return spark.createDataFrame([(f, total, n) for f, total in totals.items()], "field string, total long, documents long")
 
 
 @query(f"WITH {TOK} SELECT id FROM docs")
@@ -351,17 +388,54 @@ def term_postings(spark: SparkSession, folder: str) -> DataFrame:
     return records_index(spark, folder).postings("content", "parser").withColumn("positions", _joined())
 
 
-@query(f"WITH {TOK} SELECT id, fields['title'] AS title FROM docs WHERE id = '0/shared/glossary'")
+def _error(call) -> str:
+    """Name of the library's error that a call ends with, or nothing."""
+    try:
+        call()
+        return ""
+    except TextloomError as e:
+        return type(e).__name__
+
+
+@query(
+    f"""
+    WITH {TOK} SELECT '0/shared/glossary' AS id, (SELECT fields['title'] FROM docs WHERE id = '0/shared/glossary') AS title, '' AS error
+    UNION ALL SELECT 'no such id', NULL, 'DocumentMissingError'
+    """
+)
 def document_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """One document by id."""
-    docs = records_index(spark, folder).tables.documents
-    return docs.where(F.col("id") == "0/shared/glossary").select("id", F.col("fields").getItem("title").alias("title"))
+    """Documents by id, by the reader's method; an unknown id is an error."""
+    index = records_index(spark, folder)
+    rows = [("0/shared/glossary", index.document("0/shared/glossary").get("title"), ""), ("no such id", None, _error(lambda: index.document("no such id")))]
+    return spark.createDataFrame(rows, "id string, title string, error string")
 
 
-@query("SELECT DISTINCT field, len FROM doclen WHERE shard = 0 AND id = 'shared/glossary'")
+@query(
+    """
+    SELECT DISTINCT field, CAST(len AS BIGINT) AS len, '' AS error FROM doclen WHERE shard = 0 AND id = 'shared/glossary'
+    UNION ALL SELECT 'no such id', 0, 'DocumentMissingError'
+    """
+)
 def metadata_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Field lengths of one document."""
-    return records_index(spark, folder).tables.doclen.where(F.col("id") == "0/shared/glossary").select("field", "len")
+    """Field lengths of one document, by the reader's method; an unknown id is an error."""
+    index = records_index(spark, folder)
+    rows = [(f, n, "") for f, n in index.metadata("0/shared/glossary").items()]
+    return spark.createDataFrame([*rows, ("no such id", 0, _error(lambda: index.metadata("no such id")))], "field string, len long, error string")
+
+
+PROBED = ("storage", "parser", "snapshot", "no-such-term")
+
+
+@query(
+    f"""
+    WITH {TOK}, w AS (SELECT unnest({list(PROBED)}) term)
+    SELECT term, coalesce(df, 0) AS df, coalesce(total_tf, 0) AS total_tf FROM w LEFT JOIN (SELECT * FROM dic WHERE field = 'content') USING (term)
+    """
+)
+def term_info(spark: SparkSession, folder: str) -> DataFrame:
+    """Dictionary entries by the reader's method; zeros for an unknown term."""
+    index = records_index(spark, folder)
+    return spark.createDataFrame([(t, *index.term_info("content", t)) for t in PROBED], "term string, df long, total_tf long")
 
 
 # -------------------------------------------------------------------- search
@@ -571,19 +645,62 @@ def facet_source(spark: SparkSession, folder: str) -> DataFrame:
     return index.facet(MatchQuery("text", "PARSER"), "source")
 
 
-@query()
+def _fragments_sql(pages: str, most: int, size: int = 160, escape: bool = True) -> str:
+    """Fragments of ``content`` around "stale" and "snapshot" for the ids of ``pages``, from the offsets in tokens; bytes are pairs of hexadecimal digits."""
+
+    def text(a: str, b: str, h: str = "h") -> str:
+        out = f"decode(unhex(substr({h}, 2 * CAST({a} AS BIGINT) + 1, 2 * CAST(({b}) - ({a}) AS BIGINT))))"
+        for sign, name in (("'&'", "&amp;"), ("chr(39)", "&#39;"), ("'<'", "&lt;"), ("'>'", "&gt;"), ("chr(34)", "&#34;")) if escape else ():
+            out = f"replace({out}, {sign}, '{name}')"
+        return out
+
+    inside = lambda at: f"{at} > 0 AND {at} < total AND substr(h, 2 * CAST({at} AS BIGINT) + 1, 1) IN ('8', '9', 'A', 'B')"
+    back = "CASE WHEN NOT ({0}) THEN s WHEN NOT ({1}) THEN s - 1 WHEN NOT ({2}) THEN s - 2 ELSE s - 3 END".format(inside("s"), inside("(s - 1)"), inside("(s - 2)"))
+    on = "CASE WHEN NOT ({0}) THEN e WHEN NOT ({1}) THEN e + 1 WHEN NOT ({2}) THEN e + 2 ELSE e + 3 END".format(inside("e"), inside("(e + 1)"), inside("(e + 2)"))
+    return f"""
+        WITH {TOK}, page AS ({pages}),
+        m AS (SELECT DISTINCT shard || '/' || id AS id, start_offset a, end_offset b FROM tokens WHERE field = 'content' AND term IN ('stale', 'snapshot') AND shard || '/' || id IN (SELECT id FROM page)),
+        g AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY a) grp FROM (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY id ORDER BY a) <= {size} THEN 0 ELSE 1 END fresh FROM m)),
+        q AS (SELECT id, grp, min(a) f, max(b) l FROM g WHERE grp <= {most} GROUP BY id, grp),
+        w AS (SELECT q.*, hex(encode(fields['content'])) h, octet_length(encode(fields['content'])) total, greatest(0, f - greatest(0, {size} - (l - f)) // 2) s0 FROM q JOIN docs USING (id)),
+        x AS (SELECT *, CASE WHEN greatest(s0 + {size}, l) > total THEN greatest(0, total - {size}) ELSE s0 END s, CASE WHEN greatest(s0 + {size}, l) > total THEN total ELSE greatest(s0 + {size}, l) END e FROM w),
+        y AS (SELECT id, grp, h, total, {back} s, {on} e FROM x),
+        z AS (SELECT y.*, m.a, m.b, coalesce(lag(m.b) OVER (PARTITION BY y.id, y.grp ORDER BY m.a), y.s) p FROM y JOIN m ON m.id = y.id AND m.a >= y.s AND m.b <= y.e)
+        SELECT id, CAST(grp AS INT) AS n, CAST(s AS INT) AS start, CAST(e AS INT) AS stop,
+               string_agg({text("p", "a")} || '<em>' || {text("a", "b")} || '</em>', '' ORDER BY a) || {text("max(b)", "e", "any_value(h)")} AS text
+        FROM z GROUP BY id, grp, s, e
+    """
+
+
+def _fragments(rows: DataFrame) -> DataFrame:
+    rows = rows.select("id", F.posexplode("fragments").alias("n", "f"))
+    return rows.select("id", (F.col("n") + 1).alias("n"), F.col("f.start").alias("start"), F.col("f.end").alias("stop"), F.col("f.text").alias("text"))
+
+
+@query(_fragments_sql("SELECT DISTINCT id FROM sc WHERE field = 'content' AND term IN ('stale', 'snapshot')", 2))
 def highlight_basic(spark: SparkSession, folder: str) -> DataFrame:
     """Fragments of all hits."""
     index = records_index(spark, folder)
-    return index.highlight(index.hits(MatchQuery("content", "stale snapshot")), "content", ["stale", "snapshot"], HighlightOptions(max_fragments=2))
+    return _fragments(index.highlight(index.hits(MatchQuery("content", "stale snapshot")), "content", ["stale", "snapshot"], HighlightOptions(max_fragments=2)))
 
 
-@query()
+_BEST_SQL = f"SELECT id FROM ({_sum_sql(['stale', 'snapshot'])}) ORDER BY round(score, {DIGITS}) DESC, id LIMIT 10"
+
+
+@query(_fragments_sql(_BEST_SQL, 2))
 def highlight_page(spark: SparkSession, folder: str) -> DataFrame:
     """Fragments of the ten best hits."""
     index = records_index(spark, folder)
     best = materialize(_hits(spark, folder, MatchQuery("content", "stale snapshot"), 10), "best")
-    return index.highlight(best, "content", ["stale", "snapshot"], HighlightOptions(max_fragments=2))
+    return _fragments(index.highlight(best, "content", ["stale", "snapshot"], HighlightOptions(max_fragments=2)))
+
+
+@query(_fragments_sql(_BEST_SQL, 1, escape=False))
+def highlight_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by options of which nothing is set: default tags and sizes, and no escapes."""
+    index = records_index(spark, folder)
+    best = materialize(_hits(spark, folder, MatchQuery("content", "stale snapshot"), 10), "best")
+    return _fragments(index.highlight(best, "content", ["stale", "snapshot"], HighlightOptions.unset()))
 
 
 def _list(spark: SparkSession, folder: str, term: str) -> DataFrame:
@@ -610,11 +727,30 @@ def skip_to(spark: SparkSession, folder: str) -> DataFrame:
     return lists.skip_to(_list(spark, folder, "storage"), "0/doc-00000200").withColumn("positions", _joined())
 
 
-@query(f"WITH {TOK} SELECT id, tf, array_to_string(positions, ',') AS positions FROM pos WHERE field = 'content'")
+@query(f"WITH {TOK} SELECT field, term, id, tf, array_to_string(positions, ',') AS positions FROM pos")
 def posting_codec(spark: SparkSession, folder: str) -> DataFrame:
-    """All postings of ``content`` encoded to bytes and decoded again."""
-    p = records_index(spark, folder).tables.postings.where(F.col("field") == "content")
-    return p.select(decode_postings(encode_postings(F.col("id"), F.col("positions"))).alias("p")).select("p.id", "p.tf", _joined(F.col("p.positions")))
+    """All postings of all fields encoded to bytes and decoded again."""
+    p = records_index(spark, folder).tables.postings
+    back = p.select("field", "term", decode_postings(encode_postings(F.col("id"), F.col("positions"))).alias("p"))
+    return back.select("field", "term", "p.id", "p.tf", _joined(F.col("p.positions")))
+
+
+def _varint_sql(x: str) -> str:
+    """Hexadecimal digits of a number below 2**21 as a varint."""
+    return f"CASE WHEN {x} < 128 THEN printf('%02X', {x}) WHEN {x} < 16384 THEN printf('%02X%02X', ({x} & 127) | 128, {x} >> 7) ELSE printf('%02X%02X%02X', ({x} & 127) | 128, (({x} >> 7) & 127) | 128, {x} >> 14) END"
+
+
+@query(
+    f"""
+    WITH {TOK}, p AS (SELECT field, term, id, hex(encode(id)) h, CAST(octet_length(encode(id)) AS BIGINT) n, CAST(tf AS BIGINT) tf,
+        list_transform(list_zip(positions, list_prepend(0, positions[:-2])), lambda x: CAST(x[1] - x[2] AS BIGINT)) steps FROM pos)
+    SELECT field, term, id, {_varint_sql("n")} || h || {_varint_sql("tf")} || {_varint_sql("tf")} || array_to_string(list_transform(steps, lambda d: {_varint_sql("d")}), '') AS bytes FROM p
+    """
+)
+def posting_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """The bytes of all postings of all fields, in hexadecimal."""
+    p = records_index(spark, folder).tables.postings
+    return p.select("field", "term", "id", F.hex(encode_postings(F.col("id"), F.col("positions"))).alias("bytes"))
 
 
 @query("SELECT DISTINCT id, rtrim(replace(replace(base64(encode(id)), '+', '-'), '/', '_'), '=') AS part FROM records WHERE id IS NOT NULL")
@@ -627,38 +763,91 @@ def key_codec(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _summary(index: SearchIndex) -> DataFrame:
-    """The dictionary of ``content``, which shows every change of an index."""
-    return index.tables.terms.where(F.col("field") == "content").select("term", "df", "total_tf")
+    """Everything that a change of an index shows in: the dictionary of all fields, total lengths, lengths by document, and stored fields."""
+    t = index.tables
+    n, totals = index.stats()
+    none = F.lit(None).cast("string").alias("term")
+    terms = t.terms.select(F.lit("term").alias("kind"), "field", "term", "df", "total_tf")
+    total = t.documents.sparkSession.createDataFrame([("total", f, None, n, x) for f, x in totals.items()], "kind string, field string, term string, df long, total_tf long")
+    lengths = t.doclen.groupBy("field").agg(F.count("*").alias("df"), F.sum("len").cast("long").alias("total_tf")).select(F.lit("lengths").alias("kind"), "field", none, "df", "total_tf")
+    stored = t.documents.select(F.explode(F.map_keys("fields")).alias("field")).groupBy("field").agg(F.count("*").alias("df"))
+    stored = stored.select(F.lit("stored").alias("kind"), "field", none, "df", F.lit(0).cast("long").alias("total_tf"))
+    return terms.unionByName(total).unionByName(lengths).unionByName(stored)
+
+
+def _summary_sql(tokens: str, docs: str) -> str:
+    """The same from rows ``id, field, term, tf`` and ``id, fields``."""
+    return f"""
+        , k AS ({tokens}), d AS ({docs}),
+        f AS (SELECT id, unnest(map_keys(fields)) field, unnest(map_values(fields)) v FROM d),
+        l AS (SELECT field, count(*) df, CAST(sum(coalesce(n, 0)) AS BIGINT) total FROM f LEFT JOIN (SELECT id, field, sum(tf) n FROM k GROUP BY id, field) USING (id, field) WHERE v IS NOT NULL GROUP BY field)
+        SELECT 'term' AS kind, field, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM k GROUP BY field, term
+        UNION ALL SELECT 'total', field, NULL, (SELECT count(*) FROM d), total FROM l
+        UNION ALL SELECT 'lengths', field, NULL, df, total FROM l
+        UNION ALL SELECT 'stored', field, NULL, count(*), 0 FROM f WHERE v IS NOT NULL GROUP BY field
+    """
 
 
-def _published(spark: SparkSession, index: SearchIndex) -> SearchIndex:
-    """All tables of ``index`` as a new version of a stored one, read back."""
-    return StoredIndex(spark, f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}").write(lambda _: index)
+def _stored(spark: SparkSession, index: SearchIndex) -> StoredIndex:
+    """``index`` as a version of a stored one."""
+    store = StoredIndex(spark, f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}")
+    store.write(lambda _: index)
+    return store
 
 
 @query(
-    f"""
-    WITH {TOK}, gone AS (SELECT id FROM docs WHERE fields['category'] = 'book'),
-         x AS (SELECT id, 'content' field, unnest(regexp_extract_all(fields['title'], '[^{WHITE_SPACE}]+')) w FROM docs WHERE fields['category'] = 'book' AND fields['title'] IS NOT NULL),
-         old AS (SELECT term, id, tf FROM pos WHERE field = 'content' AND id NOT IN (SELECT id FROM gone)),
-         new AS (SELECT 'renewed' term, id, 1 tf FROM gone)
-    SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY term
-    """
+    f"WITH {TOK}, gone AS (SELECT id FROM docs WHERE fields['category'] = 'book')"
+    + _summary_sql(
+        """
+        SELECT id, field, term, tf FROM tfs WHERE id NOT IN (SELECT id FROM gone)
+        UNION ALL SELECT id, 'content', 'renewed', 1 FROM gone UNION ALL SELECT id, 'category', 'book', 1 FROM gone
+        """,
+        "SELECT id, fields FROM docs WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT id, MAP {'content': 'Renewed', 'category': 'book'} FROM gone",
+    )
 )
 def upsert_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents of one category get the content "Renewed": the old terms go, the new one comes."""
-    index = records_index(spark, folder)
-    some = index.tables.documents.where(F.col("fields").getItem("category") == "book")
+    """All documents of one category get the content "Renewed": the old terms go, the new one comes. The change is a segment of a stored index."""
+    store = _stored(spark, records_index(spark, folder))
+    some = store.snapshot().tables.documents.where(F.col("fields").getItem("category") == "book")
     new = some.select("id", F.create_map(F.lit("content"), F.lit("Renewed"), F.lit("category"), F.lit("book")).alias("fields"))
-    return _summary(_published(spark, index.add_batch(new)))
+    return _summary(store.add_batch(new))
 
 
-@query(f"WITH {TOK} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM pos WHERE field = 'content' AND NOT ends_with(id, '/shared/glossary') GROUP BY term")
+@query(f"WITH {TOK}" + _summary_sql("SELECT id, field, term, tf FROM tfs", "SELECT id, fields FROM docs"))
+def upsert_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """All accepted rows of the log in one batch, in which ids repeat: of each the last in the order of arrival stays."""
+    rows = read_table(spark, folder, "records").where(accepted(F.col("id"), F.col("fields")))
+    rows = rows.select(F.concat_ws("/", F.col("shard").cast("string"), "id").alias("id"), F.map_filter("fields", lambda k, v: v.isNotNull()).alias("fields"), "seq")
+    store = StoredIndex(spark, f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}")
+    return _summary(store.add_batch(rows, "seq"))
+
+
+@query(f"WITH {TOK}" + _summary_sql("SELECT id, field, term, tf FROM tfs WHERE NOT ends_with(id, '/shared/glossary')", "SELECT id, fields FROM docs WHERE NOT ends_with(id, '/shared/glossary')"))
 def delete_docs(spark: SparkSession, folder: str) -> DataFrame:
-    """The glossary of every shard is deleted."""
-    index = records_index(spark, folder)
-    ids = [r["id"] for r in index.tables.documents.where(F.col("id").endswith("/shared/glossary")).select("id").collect()]
-    return _summary(_published(spark, index.delete(*ids)))
+    """The glossary of every shard is deleted from a stored index."""
+    store = _stored(spark, records_index(spark, folder))
+    return _summary(store.delete_all(store.snapshot().tables.documents.where(F.col("id").endswith("/shared/glossary"))))
+
+
+@query(
+    f"""
+    WITH {TOK} SELECT call, error, (SELECT count(*) FROM docs) AS documents FROM (VALUES
+        ('blank id', 'InvalidDocumentError'), ('no fields', 'InvalidDocumentError'), ('blank field', 'InvalidDocumentError'), ('repeated id', 'InvalidDocumentError'),
+        ('delete unknown', 'DocumentMissingError'), ('delete blank', 'InvalidDocumentError'), ('closed', 'StoreClosedError')) t(call, error)
+    """
+)
+def refused_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every change that is refused, with its error and the number of documents after it: each leaves the stored index as it was."""
+    store = _stored(spark, records_index(spark, folder))
+    batch = lambda *rows: spark.createDataFrame([("good", {"content": "x"}), *rows], "id string, fields map<string,string>")
+    calls = {
+        "blank id": lambda: store.add_batch(batch((" ", {"content": "x"}))), "no fields": lambda: store.add_batch(batch(("b", {}))), "blank field": lambda: store.add_batch(batch(("b", {" ": "x"}))),
+        "repeated id": lambda: store.add_batch(batch(("good", {"content": "y"}))), "delete unknown": lambda: store.delete("no such id"), "delete blank": lambda: store.delete(" "),
+    }
+    rows = [(name, _error(call), store.snapshot().stats()[0]) for name, call in calls.items()]
+    n = store.snapshot().stats()[0]
+    store.close()
+    return spark.createDataFrame([*rows, ("closed", _error(store.snapshot), n)], "call string, error string, documents long")
 
 
 @query(f"WITH {TOK} SELECT field, term, df, total_tf FROM dic")
@@ -669,13 +858,77 @@ def rebuild_equal(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {TOK} SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM dic) AS terms, (SELECT count(*) FROM pos) AS postings, 0 AS n_problems")
 def check_report(spark: SparkSession, folder: str) -> DataFrame:
-    return records_index(spark, folder).check().select("documents", "terms", "postings", F.size("problems").alias("n_problems"))
+    return records_index(spark, folder).check().withColumnRenamed("problems", "n_problems")
+
+
+@query(
+    f"""
+    WITH {TOK} SELECT 'term' AS kind, field, term, df + 1 AS counted, df AS found FROM dic WHERE starts_with(term, 'pa')
+    UNION ALL SELECT 'term', 'content', 'no-such-term', 5, 0
+    UNION ALL SELECT 'documents', NULL, NULL, (SELECT count(*) FROM docs) + 1, (SELECT count(*) FROM docs)
+    """
+)
+def check_damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """The problems of an index of which some counts are wrong, one entry is made up and the number of documents is off."""
+    t = records_index(spark, folder).tables
+    off = t.terms.withColumn("df", F.col("df") + F.when(F.col("term").startswith("pa"), 1).otherwise(0))
+    made_up = spark.createDataFrame([("content", "no-such-term", 5, 5)], "field string, term string, df long, total_tf long")
+    stats = t.stats.withColumn("document_count", F.col("document_count") + 1)
+    return SearchIndex(replace(t, terms=off.unionByName(made_up), stats=stats)).problems()
+
+
+@query(f"WITH {TOK} SELECT field, term, df, total_tf FROM dic")
+def segmented_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each of five parts added one batch after the other, each a segment; the whole is the same."""
+    docs = records_index(spark, folder).tables.documents
+    store = StoredIndex(spark, f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}")
+    for part in range(5):
+        store.add_batch(docs.where(F.pmod(F.xxhash64("id"), F.lit(5)) == part))
+    return store.snapshot().tables.terms.select("field", "term", "df", "total_tf")
+
+
+@query(
+    """
+    SELECT '/target/' || source AS key, CAST(CAST(round(target_share * 1000) AS BIGINT) AS VARCHAR) || '!' AS value FROM source_targets WHERE max_repeat > 1
+    UNION ALL SELECT '/target', 'rolled back: ValueError'
+    """
+)
+def key_value_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Puts, deletes, a transaction and one that fails on a key-value store, then all keys under a prefix.
+
+    The targets of the sources are put one by one and all of them again in one
+    transaction, which also deletes some; a key under another prefix stays out
+    of sight.
+    """
+    rows = [(r["source"], str(round(r["target_share"] * 1000)), r["max_repeat"]) for r in read_table(spark, folder, "source_targets").collect()]
+    store = KeyValueStore(spark)
+    for source, share, _ in rows:
+        store.put(f"/target/{source}".encode(), share.encode())
+    store.put(b"/other", b"out of sight")
+
+    def again(tx) -> None:
+        for source, _, repeat in rows:
+            key = f"/target/{source}".encode()
+            tx.put(key, tx.get(key) + b"!")
+            if repeat <= 1:
+                tx.delete(key)
+
+    def failing(tx) -> None:
+        tx.put(b"/target/none", b"never seen")
+        raise ValueError
+
+    store.transaction(again)
+    try:
+        store.transaction(failing)
+    except ValueError as e:
+        store.put(b"/target", f"rolled back: {type(e).__name__}".encode())
+    return store.table(b"/target").select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
 
 
 @query(f"WITH {TOK} SELECT field, term, df, total_tf FROM dic")
 def stored_index(spark: SparkSession, folder: str) -> DataFrame:
     """The index published as a new version of a stored one and read back."""
-    return _published(spark, records_index(spark, folder)).tables.terms.select("field", "term", "df", "total_tf")
+    return _stored(spark, records_index(spark, folder)).snapshot().tables.terms.select("field", "term", "df", "total_tf")
 
 
 @query("SELECT lower(source) AS term, count(*) AS df, count(*) AS total_tf FROM documents WHERE source IS NOT NULL GROUP BY 1")
