@@ -8,7 +8,9 @@ Arrow batch. Null and empty texts have no tokens.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
@@ -44,8 +46,7 @@ class Tokenizer:
         raise NotImplementedError
 
     def column(self, text: Column, types: bool = False) -> Column:
-        full = self.full(text)
-        return F.transform(full, lambda t: _struct(t["term"], t["position"], t["type"] if types else None))
+        return term_arrays(self.scan, text, types)
 
     def full(self, text: Column) -> Column:
         """``ARRAY<STRUCT<term, position, start_offset, end_offset, type>>`` by Arrow batches."""
@@ -76,6 +77,31 @@ def token_arrays(scan: Callable[[str], list[Token]], text: Column) -> Column:
     return F.arrow_udf(run, ArrayType(TOKEN), F.ArrowUDFType.SCALAR)(text)
 
 
+def term_arrays(scan: Callable[[str], list[Token]], text: Column, types: bool) -> Column:
+    """Like :func:`token_arrays`, without offsets and, unless asked for, types."""
+    kind = "array<struct<term:string,position:int" + (",type:string>>" if types else ">>")
+    names = ["term", "position", *(["type"] if types else [])]
+
+    def run(texts: pa.Array) -> pa.Array:
+        ends, null = [0], []
+        terms: list[str] = []
+        kinds: list[str] = []
+        for t in texts.to_pylist():
+            null.append(t is None)
+            if t:
+                found = scan(t)
+                terms += [x[0] for x in found]
+                if types:
+                    kinds += [x[4] for x in found]
+            ends.append(len(terms))
+        sizes = np.diff(ends)
+        position = np.arange(len(terms), dtype=np.int32) - np.repeat(np.array(ends[:-1], np.int32), sizes)
+        columns = [pa.array(terms, pa.string()), pa.array(position), *([pa.array(kinds, pa.string())] if types else [])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names), mask=pa.array(null))
+
+    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)(text)
+
+
 def _struct(term: Column, position: Column, kind: Column | None) -> Column:
     cols = [term.alias("term"), position.cast("int").alias("position")]
     return F.struct(*cols, kind.alias("type")) if kind is not None else F.struct(*cols)
@@ -194,16 +220,27 @@ class DictionaryTokenizer(Tokenizer):
         cost = lambda cut: (len(cut), sum(b - a == 1 for a, b, _ in cut))
         return _tokens(text, back if ahead != back and cost(back) < cost(ahead) else ahead)
 
+    def _matched(self, text: Column, back: bool) -> Column:
+        """Terms of one direction as an array, by one expression of the JVM; backwards on the reversed text."""
+        words = sorted((w[::-1] if back else w for w in self.words), key=len, reverse=True)
+        han = "|".join([*(_quoted(w) for w in words if _HAN.match(w)), r"\p{IsHan}"])
+        rx = rf"(?s)(?:{han})|(?:(?!\p{{IsHan}})[\p{{L}}\p{{Nd}}])+|[^\p{{P}}{P.WHITE_SPACE}]"
+        found = F.regexp_extract_all(F.reverse(text) if back else text, F.lit(rx), F.lit(0))
+        return F.transform(F.reverse(found), lambda t: F.reverse(t)) if back else found
+
     def column(self, text: Column, types: bool = False) -> Column:
-        """Native for forward matching with a list of at most ``NATIVE_WORDS`` words."""
-        if self.mode != "forward" or len(self.words) > NATIVE_WORDS:
+        """Native with a list of at most ``NATIVE_WORDS`` words."""
+        if len(self.words) > NATIVE_WORDS:
             return super().column(text, types)
-        listed = sorted((w for w in self.words if _HAN.match(w)), key=len, reverse=True)
-        han = "|".join([*map(_quoted, listed), r"\p{IsHan}"])
-        rx = rf"(?s)(?:{han})|(?:(?!\p{{IsHan}})[\p{{L}}\p{{Nd}}])+|[^\p{{P}}{P.WHITE_SPACE}]"
-        found = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
-        kind = lambda t: F.when(t.rlike(r"^\p{IsHan}"), "han").when(t.rlike(r"^[\p{L}\p{Nd}]"), "word").otherwise("symbol")
-        return F.transform(found, lambda t, i: _struct(t, i, kind(t) if types else None))
+        kind = lambda t: F.when(t.rlike(r"\p{IsHan}"), "han").when(t.rlike(r"^[\p{L}\p{Nd}]"), "word").otherwise("symbol")
+        shown = lambda terms: F.transform(terms, lambda t, i: _struct(t, i, kind(t) if types else None))
+        if self.mode != "both":
+            return shown(self._matched(text, self.mode == "reverse"))
+        # both cuttings are made once and compared inside a one-element array, whose only value is then taken
+        both = F.array(F.struct(self._matched(text, False).alias("f"), self._matched(text, True).alias("r")))
+        cost = lambda terms: F.struct(F.size(terms), F.size(F.filter(terms, lambda t: F.length(t) == 1)))
+        best = F.transform(both, lambda x: F.when(cost(x["r"]) < cost(x["f"]), x["r"]).otherwise(x["f"]))[0]
+        return shown(best)
 
 
 _HAN_KINDS = {1: "han", 2: "word", 3: "symbol"}
@@ -224,9 +261,16 @@ class HmmTokenizer(_HanRuns):
 
         self.model = model or HmmModel()
         self._known: dict[str, list[str]] = {}
+        self._ends: dict[int, list[int]] = {}
 
     def _words(self, run: str) -> list[str]:
         """Words of a Han run; short runs recur and are remembered, up to a bound."""
+        if not self.model.emission:
+            # all signs alike: the best path depends on the length alone
+            ends = self._ends.get(len(run))
+            if ends is None:
+                ends = self._ends[len(run)] = [0, *accumulate(map(len, self.model.segment(run)))]
+            return [run[a:b] for a, b in zip(ends, ends[1:])]
         got = self._known.get(run)
         if got is None:
             got = self.model.segment(run)
