@@ -91,6 +91,24 @@ def test_groups_against_brute_force(found):
     assert got == {k: top(k) for k in docs}
 
 
+def test_links_against_brute_force(spark, found):
+    docs, (members, pairs) = found
+    truth = _truth(docs)
+    want = {k: sum(k in p for p in truth) for k, ts in docs.items() if ts}
+    got = {x["k"]: (x["class"], x["links"]) for x in nd.linked_records(members, pairs, "k").collect()}
+    assert {k: n for k, (_, n) in got.items()} == want
+    assert all(got[k][0] == min(j for j in got if set(docs[j]) == set(docs[k])) for k in got)
+
+
+def test_full_bands_in_parts(spark, monkeypatch):
+    """Sixty texts that all differ in one word share nearly every band; none of their links is lost."""
+    monkeypatch.setattr(nd, "FULL_BAND", 7)
+    docs = {i: [f"w{j}" for j in range(30)] + [f"own{i}"] for i in range(60)}
+    bags = materialize(nd.bags_of_terms(_tokens(spark, docs).where("term IS NOT NULL"), ["k"], "term"), "bags")
+    members, pairs = nd.similar_pairs(bags, "k", (7, 10))
+    assert members.count() == 60 and {tuple(p) for p in pairs.collect()} == {(a, b) for a in docs for b in docs if a < b}
+
+
 def test_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (200, 100), (7, 7)]
     random.Random(1).shuffle(edges)

@@ -74,6 +74,25 @@ def test_pack(spark):
     assert all(0 <= x["fill"] <= 1 for x in filled) and sum(x["texts"] for x in filled) == len(rows)
 
 
+def test_pack_many_kinds_and_large_ones(spark, monkeypatch):
+    """More kinds than could be listed by hand, capacities beyond a million, and runs that span many stretches."""
+    from textloom.llm import packing
+
+    monkeypatch.setattr(packing, "STRETCH_BITS", 2)
+    r = random.Random(6)
+    sizes = {i: r.randint(0, 120) for i in range(70)}
+    kinds = {f"k{c}": c for c in range(30, 100)} | {"huge": 3_000_000}
+    rows = pack(spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long"), spark.createDataFrame(list(kinds.items()), "container_kind string, capacity_tokens int")).collect()
+    assert {x["kind"] for x in rows} == set(kinds)
+    for kind, cap in kinds.items():
+        mine = [x for x in rows if x["kind"] == kind]
+        whole = sorted((x["doc_id"], x["piece"], x["tokens"]) for x in mine)
+        assert [n for _, _, n in whole] == [n for i, s in sizes.items() for n in ([cap] * ((s - 1) // cap) + [s - cap * max(0, (s - 1) // cap)] if s else [0])]
+        loads = [sum(x["tokens"] for x in mine if x["container"] == c) for c in {x["container"] for x in mine}]
+        assert max(loads) <= cap and sum(2 * x <= cap for x in loads) <= 1
+        assert len(loads) == max(1, len(_best_fit_decreasing([n for _, _, n in whole if n], cap)))
+
+
 def test_pack_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, n_tokens long")
     kinds = spark.createDataFrame([("s", 10)], KINDS)

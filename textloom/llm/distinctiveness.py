@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.counted_join import join_counted
+from textloom.runtime import broadcast_if_small, materialize
+
 
 def dfr_gl2(tf: Column, df: Column, n: Column, length: Column, mean_length: Column, c: float = 1.0) -> Column:
     """Divergence from randomness: geometric model, Laplace after-effect, second normalisation.
@@ -41,20 +44,27 @@ def distinctiveness(postings: DataFrame, doclen: DataFrame, n_records: int, of:
     lengths are over all records, those without the field included. ``of``
     (``shard, id``) limits the scored records, never the statistics. A posting
     whose length is missing, or with neither ``tf`` nor positions, has a null
-    score. Empty inputs give no rows.
+    score; one with a null field or term is none. Empty inputs give no rows.
     """
     once = unique_postings(postings)
-    freq = once.groupBy("field", "term").agg(F.count("*").alias("df"))
+    if of is None:
+        # read twice below
+        once = materialize(once, "postings")
+    freq = once.where(F.col("field").isNotNull() & F.col("term").isNotNull()).groupBy("field", "term").agg(F.count("*").alias("df"))
+    freq = materialize(freq, "freq")
     lens = doclen.groupBy("shard", "id", "field").agg(F.max("len").alias("len"))
-    # one line per field name; names of fields are few by the nature of a record
+    # one line per field name; names of fields are few by the nature of a record, but that is measured
     mean = lens.groupBy("field").agg(F.sum("len").alias("_total")).select(
         F.col("field").alias("_f"), (F.col("_total") / F.lit(float(max(1, n_records)))).alias("_mean")
     )
+    mean = broadcast_if_small(materialize(mean, "means"))
     if of is not None:
-        once = once.join(of.select("shard", "id").distinct(), ["shard", "id"], "left_semi")
-        lens = lens.join(of.select("shard", "id").distinct(), ["shard", "id"], "left_semi")
-    rows = once.join(freq, ["field", "term"]).join(lens, ["shard", "id", "field"], "left")
-    rows = rows.join(F.broadcast(mean), F.col("field") == F.col("_f"), "left")
+        wanted = of.select("shard", "id").distinct()
+        once = materialize(once.join(wanted, ["shard", "id"], "left_semi"), "postings")
+        lens = lens.join(wanted, ["shard", "id"], "left_semi")
+    # a hot term's postings stay where they are
+    rows = join_counted(once, freq, ["field", "term"], "df").join(lens, ["shard", "id", "field"], "left")
+    rows = rows.join(mean, F.col("field") == F.col("_f"), "left")
     score = dfr_gl2(F.col("tf"), F.col("df"), F.lit(float(n_records)), F.col("len"), F.col("_mean"), c)
     return rows.select("shard", "id", "field", "term", "tf", "df", score.alias("score"))
 

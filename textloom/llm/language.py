@@ -141,19 +141,26 @@ def fit(texts: list[str], labels: list[str], rounds: int = 2, limit: float = 4.0
 
 
 def labelled_sample(rows: DataFrame, text: str, label: str, key: str, per_language: int = FIT_RECORDS) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` labelled texts of each language, chosen by a hash of ``key``.
+    """At most ``per_language`` labelled texts of each language, chosen by a hash of ``key``: the smallest hashes.
 
-    A top-k per language: the driver gets a bounded number of rows, however many there are.
+    One aggregation counts the texts of each language, from which follows up to
+    which hash some twice as many as wanted lie; one pass then reads those. The
+    driver gets a bounded number of rows, however many there are.
     """
     base = rows.select(F.col(text).alias("_t"), label_code(F.col(label)).alias("_l"), F.xxhash64(key).alias("_h")).where(
         F.col("_l").isNotNull() & (F.length("_t") > 0)
     )
-    out = None
+    counts = {r["_l"]: r["n"] for r in base.groupBy("_l").agg(F.count("*").alias("n")).collect()}
+    # of hashes spread evenly, fewer than wanted below the limit do not occur
+    limits = {lang: round(2**64 * (2 * per_language + 200) / n) - 2**63 for lang, n in counts.items() if n > 2 * per_language + 200}
+    some = base
+    for lang, limit in limits.items():
+        some = some.where((F.col("_l") != lang) | (F.col("_h") < limit))
+    got = sorted(map(tuple, some.select("_l", "_h", "_t").collect()))
+    out: list[tuple[str, str]] = []
     for lang in LANGS:
-        part = base.where(F.col("_l") == lang).orderBy("_h").limit(per_language)
-        out = part if out is None else out.unionByName(part)
-    got = out.select("_t", "_l").collect()
-    return [r[0] for r in got], [r[1] for r in got]
+        out += [(t, lab) for lab, _, t in got if lab == lang][:per_language]
+    return [t for t, _ in out], [lab for _, lab in out]
 
 
 def paragraph_languages(rows: DataFrame, key: str, text: str, model: Model, temperature: float = 4.0) -> DataFrame:

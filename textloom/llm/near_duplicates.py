@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.runtime import broadcast_if_small, materialize
+from textloom.operators.counted_join import join_counted
+from textloom.runtime import broadcast_if_small, discard, estimated_bytes, materialize
 
 #: Largest weight of an item that a signature has levels for.
 TOP_WEIGHT = 10
@@ -20,6 +21,11 @@ TOP_WEIGHT = 10
 #: with 0.999997.
 ROWS, BANDS = 7, 90
 
+#: Bytes of bags that one task makes signatures of.
+SIGNATURE_BYTES = 4 << 20
+#: A band with more bags is joined in parts of about this size.
+FULL_BAND = 1000
+
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 #: Resolution of a point's time, in mean gaps of its process.
@@ -184,14 +190,22 @@ def similar_pairs(bags: DataFrame, key: str, threshold: tuple[int, int], rows: i
     No rows give no classes and no pairs.
     """
     bags = bags.where(F.size("items") > 0)
-    marked = bags.select(key, F.xxhash64("items").alias("_f"), F.xxhash64(F.lit(7), "items").alias("_g"))
-    classes = marked.groupBy("_f", "_g").agg(F.min(key).alias("rep"))
-    members = materialize(marked.join(classes, ["_f", "_g"]).select("rep", key), "members")
-    reps = materialize(bags.join(members.where(F.col("rep") == F.col(key)).select(key), key, "left_semi"), "reps")
-    keys = band_keys(reps, key, rows, bands)
-    a = keys.select(F.col(key).alias("a"), "band")
-    b = keys.select(F.col(key).alias("b"), "band")
-    candidates = materialize(a.join(b, "band").where(F.col("a") < F.col("b")).select("a", "b").distinct(), "candidates")
+    marked = materialize(bags.select(key, F.xxhash64("items").alias("_f"), F.xxhash64(F.lit(7), "items").alias("_g")), "marked")
+    classes = materialize(marked.groupBy("_f", "_g").agg(F.min(key).alias("rep"), F.count("*").alias("_size")), "classes")
+    members = materialize(join_counted(marked, classes, ["_f", "_g"], "_size").select("rep", key), "members")
+    reps = materialize(bags.join(classes.select(F.col("rep").alias(key)), key, "left_semi"), "reps")
+    discard(marked, classes)
+    # signatures cost much for each byte: as many tasks as there are cores, whatever the files are
+    tasks = max(2 * reps.sparkSession.sparkContext.defaultParallelism, estimated_bytes(reps) // SIGNATURE_BYTES)
+    keys = materialize(band_keys(reps.repartition(tasks, key), key, rows, bands), "bands")
+    # a band that few share is joined by itself, a full one in parts: each row meets every part of the other side once
+    full = keys.groupBy("band").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    full = materialize(full.select("band", F.ceil(F.col("_n") / FULL_BAND).cast("int").alias("_parts")), "full")
+    keys = materialize(keys.join(full, "band"), "shared")
+    a = keys.select(F.col(key).alias("a"), "band", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    b = keys.select(F.col(key).alias("b"), "band", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part"))
+    candidates = materialize(a.join(b, ["band", "_part"]).where(F.col("a") < F.col("b")).select("a", "b").distinct(), "candidates")
+    discard(keys, full)
     left = reps.select(F.col(key).alias("a"), F.col("items").alias("xa")).join(broadcast_if_small(candidates), "a")
     left = broadcast_if_small(materialize(left, "left"))
     both = reps.select(F.col(key).alias("b"), F.col("items").alias("xb")).join(left, "b")
@@ -213,6 +227,19 @@ def record_pairs(members: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return across.unionByName(within)
 
 
+def linked_records(members: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """``key, class, links``: one row per record with the representative of its class of equal bags and the number of records it is similar to.
+
+    Links are counted from class sizes; no pair of records is written out. A
+    record without bag is in no class and has no row.
+    """
+    size = materialize(members.groupBy("rep").agg(F.count("*").alias("n")), "sizes")
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    across = both.join(size.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("across"))
+    links = materialize(size.join(across, "rep", "left").select("rep", "n", (F.col("n") - 1 + F.coalesce("across", F.lit(0))).alias("links")), "links")
+    return join_counted(members, links, ["rep"], "n").select(key, F.col("rep").alias("class"), "links")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of each node's connected component, for all nodes of ``pairs(a, b)``.
 
@@ -231,9 +258,11 @@ def components(pairs: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         small = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = materialize(small.where("u > v").distinct(), "edges")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            break
+        same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
+        discard(edges, large)
         edges = new
+        if same:
+            break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.join(edges.select(F.col("u").alias("node")), "node", "left_anti"))
 
@@ -249,4 +278,4 @@ def estimate(sig_a: np.ndarray, sig_b: np.ndarray) -> float:
     return float(np.mean(sig_a == sig_b))
 
 
-__all__ = ["bag_min_hash", "bags_of_terms", "band_keys", "components", "estimate", "groups", "record_pairs", "similar_pairs"]
+__all__ = ["bag_min_hash", "bags_of_terms", "band_keys", "components", "estimate", "groups", "linked_records", "record_pairs", "similar_pairs"]

@@ -8,27 +8,27 @@ successor of all documents of that size at once; where they outnumber the
 places, their rank decides who gets in and the others go on to the next gap;
 those that find none open containers. Then the gaps are updated and the next
 size follows. The outcome is that of best fit decreasing, one document at a
-time. The sweep costs time and memory by the capacity, not by the number of
-documents: what depends on the documents - sizes, ranks and the lookup of each
-rank's container - is distributed.
+time. What depends on the documents - sizes, ranks, counts and the lookup of
+each rank's container - is distributed over them. The sweep of a kind costs
+time and memory by its capacity, not by the number of documents, and is one
+task; the kinds are swept side by side.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections import deque
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.ranking import global_rank
+from textloom.runtime import broadcast_if_small, materialize
 
-#: Largest allowed sum of the capacities, and number of kinds; they bound the sweep's tables.
-MAX_CAPACITIES = 1 << 20
-MAX_KINDS = 64
+#: Runs are matched to items by stretches of so many positions.
+STRETCH_BITS = 14
 
 
 def best_fit_runs(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -87,6 +87,12 @@ def best_fit_runs(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple
     return runs, opened
 
 
+def _kinds(containers: DataFrame) -> DataFrame:
+    """``kind, cap`` of the usable kinds of containers; of several capacities of a kind the largest counts."""
+    got = containers.where(F.col("container_kind").isNotNull() & (F.col("capacity_tokens") > 0))
+    return got.groupBy(F.col("container_kind").alias("kind")).agg(F.max("capacity_tokens").cast("long").alias("cap"))
+
+
 def pieces(sizes: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
     """``kind, doc_id, piece, first_token, tokens``: each document once per kind, cut only where it exceeds the capacity."""
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).cast("long").alias("cap")) for k, c in kinds])
@@ -96,6 +102,19 @@ def pieces(sizes: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
     return rows.select("kind", "doc_id", "piece", (F.col("piece") * F.col("cap")).alias("first_token"), F.least("cap", F.col("n") - F.col("piece") * F.col("cap")).alias("tokens"))
 
 
+def _sweep(frame: pd.DataFrame) -> pd.DataFrame:
+    """Runs of one kind, from its counts by size: ``kind, tokens, start, stop, base, per``, a run holding the items from one position up to another."""
+    frame = frame.sort_values("tokens")
+    kind, capacity = frame["kind"].iloc[0], int(frame["cap"].iloc[0])
+    at = dict(zip(frame["tokens"].tolist(), frame["at"].tolist()))
+    rows = [(kind, 0, at[0], at[0] + int(frame["n"].iloc[0]), 0, 0)] if 0 in at else []
+    real = frame[frame["tokens"] > 0]
+    for size, n, base, per in best_fit_runs(real["tokens"].to_numpy(), real["n"].to_numpy(), capacity)[0]:
+        rows.append((kind, size, at[size], at[size] + n, base, per))
+        at[size] += n
+    return pd.DataFrame(rows, columns=["kind", "tokens", "start", "stop", "base", "per"])
+
+
 def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     """``kind, container, doc_id, piece, first_token, tokens`` for every document and kind of container.
 
@@ -105,54 +124,35 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     cut. A document without tokens takes no room and lies in container 0. Kinds
     with a null name or a capacity below 1 are left out; no kinds or no
     documents give no rows. Equal sizes are placed in order of id and piece.
+
+    The items are range-sorted by kind and size. Each kind's sweep is a task of
+    its own over at most ``capacity`` counts; its runs go to the ranges of items
+    that they cover, so neither items nor counts come to the driver, which
+    reads the kinds alone: they are a parameter.
     """
-    got = containers.where(F.col("container_kind").isNotNull() & (F.col("capacity_tokens") > 0)).groupBy("container_kind").agg(F.max("capacity_tokens").alias("c"))
-    kinds = sorted((r[0], int(r[1])) for r in got.limit(MAX_KINDS + 1).collect())
-    if len(kinds) > MAX_KINDS or sum(c for _, c in kinds) > MAX_CAPACITIES:
-        raise ValueError("too many kinds of containers, or too large ones")
+    kinds = sorted((r["kind"], r["cap"]) for r in _kinds(containers).collect())
     spark = sizes.sparkSession
     if not kinds:
         kind = sizes.schema["doc_id"].dataType.simpleString()
         return spark.createDataFrame([], f"kind string, container long, doc_id {kind}, piece long, first_token long, tokens long")
     items = pieces(sizes, kinds).withColumn("_down", -F.col("tokens"))
-    ranked = global_rank(items, ["kind", "_down"], ["doc_id", "piece"], "items").drop("_down")
-    # at most one line per kind and size: bounded by the capacities
-    hist = ranked.groupBy("kind", "tokens").agg(F.count("*").alias("n"), F.min("position").alias("at")).collect()
-    starts, bases, pers = [], [], []
-    for kind, capacity in kinds:
-        mine = {r["tokens"]: (r["n"], r["at"]) for r in hist if r["kind"] == kind}
-        if 0 in mine:
-            starts.append(mine[0][1])
-            bases.append(0)
-            pers.append(0)
-        real = sorted(s for s in mine if s > 0)
-        runs, _ = best_fit_runs(np.array(real, np.int64), np.array([mine[s][0] for s in real], np.int64), capacity)
-        used: dict[int, int] = {}
-        for size, n, base, per in runs:
-            starts.append(mine[size][1] + used.get(size, 0))
-            used[size] = used.get(size, 0) + n
-            bases.append(base)
-            pers.append(per)
-    order = np.argsort(np.array(starts, np.int64), kind="stable")
-    table = spark.sparkContext.broadcast(tuple(np.array(x, np.int64)[order] for x in (starts, bases, pers)))
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, base, per = table.value
-        for batch in batches:
-            p = batch.column(batch.num_columns - 1).to_numpy()
-            i = np.searchsorted(start, p, side="right") - 1
-            where = base[i] + np.where(per[i] > 0, (p - start[i]) // np.maximum(per[i], 1), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(where, pa.int64()), *batch.columns[1:-1]], ["kind", "container", "doc_id", "piece", "first_token", "tokens"])
-
-    kind = sizes.schema["doc_id"].dataType.simpleString()
-    rows = ranked.select("kind", "doc_id", "piece", "first_token", "tokens", "position")
-    return rows.mapInArrow(look_up, f"kind string, container long, doc_id {kind}, piece long, first_token long, tokens long")
+    ranked = materialize(global_rank(items, ["kind", "_down"], ["doc_id", "piece"], "items").drop("_down", "rank"), "ranked")
+    counts = ranked.groupBy("kind", "tokens").agg(F.count("*").alias("n"), F.min("position").alias("at"))
+    counts = counts.join(F.broadcast(spark.createDataFrame(kinds, "kind string, cap long")), "kind")
+    runs = counts.groupBy("kind").applyInPandas(_sweep, "kind string, tokens long, start long, stop long, base long, per long")
+    # a run goes to each stretch of positions that it touches: as many lines as runs and stretches
+    touched = F.sequence(F.shiftright("start", STRETCH_BITS), F.shiftright(F.col("stop") - 1, STRETCH_BITS))
+    runs = broadcast_if_small(materialize(runs.withColumn("_stretch", F.explode(touched)), "runs"))
+    rows = ranked.withColumn("_stretch", F.shiftright("position", STRETCH_BITS)).join(runs, ["kind", "tokens", "_stretch"])
+    rows = rows.where((F.col("position") >= F.col("start")) & (F.col("position") < F.col("stop")))
+    place = F.when(F.col("per") > 0, F.floor((F.col("position") - F.col("start")) / F.greatest("per", F.lit(1)))).otherwise(0)
+    return rows.select("kind", (F.col("base") + place).alias("container"), "doc_id", "piece", "first_token", "tokens")
 
 
 def fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """``kind, capacity, container, texts, tokens, fill``: the load of each container."""
-    caps = containers.groupBy(F.col("container_kind").alias("kind")).agg(F.max("capacity_tokens").cast("long").alias("capacity"))
     load = packed.groupBy("kind", "container").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"))
-    return load.join(F.broadcast(caps.limit(MAX_KINDS)), "kind").select(
-        "kind", "capacity", "container", "texts", "tokens", (F.col("tokens") / F.col("capacity")).alias("fill")
+    caps = broadcast_if_small(materialize(_kinds(containers), "kinds"))
+    return load.join(caps, "kind").select(
+        "kind", F.col("cap").alias("capacity"), "container", "texts", "tokens", (F.col("tokens") / F.col("cap")).alias("fill")
     )

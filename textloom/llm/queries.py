@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.llm.distinctiveness import distinctiveness, leading_terms
 from textloom.llm.language import fit, labelled_sample, paragraph_languages, relabelled
 from textloom.llm.mixing import EXACT, mix, mix_shares
-from textloom.llm.near_duplicates import bags_of_terms, groups, record_pairs, similar_pairs
+from textloom.llm.near_duplicates import bags_of_terms, groups, linked_records, record_pairs, similar_pairs
 from textloom.llm.packing import fill, pack
 from textloom.llm.pii import find_pii, redact_pii
 from textloom.llm.pii import fit as fit_pii
@@ -60,20 +60,69 @@ def _content_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return similar_pairs(materialize(bags.join(current, ["shard", "id"]).select("seq", "items"), "bags"), "seq", SIMILARITY)
 
 
-@query()
+PAIRS_SQL = f"""
+    {CURRENT_SQL},
+    bag AS (SELECT DISTINCT seq, term FROM tokens JOIN cur USING (shard, id) WHERE field = 'content' AND term IS NOT NULL),
+    size AS (SELECT seq, count(*) n FROM bag GROUP BY seq),
+    both_ AS (SELECT a.seq a, b.seq b, count(*) c FROM bag a JOIN bag b USING (term) WHERE a.seq < b.seq GROUP BY ALL),
+    pair AS (SELECT a, b FROM both_ JOIN size x ON x.seq = a JOIN size y ON y.seq = b WHERE 10 * c >= 7 * (x.n + y.n - c))
+"""
+
+
+@query(f"WITH {PAIRS_SQL} SELECT a AS seq_a, b AS seq_b FROM pair")
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of current records whose contents share at least 70 % of their distinct terms."""
     members, pairs = _content_pairs(spark, folder)
     return record_pairs(members, pairs, "seq").select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {PAIRS_SQL}, edge AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair UNION ALL SELECT seq, seq FROM size),
+    reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b)
+    SELECT a AS seq, min(b) AS group_seq FROM reach GROUP BY a
+    """
+)
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The group of near-duplicate contents that each current record belongs to."""
     members, pairs = _content_pairs(spark, folder)
     return groups(members, pairs, "seq").withColumnRenamed("group", "group_seq")
 
 
+@query(
+    f"""
+    WITH {PAIRS_SQL}, l AS (SELECT seq, count(b) links FROM size LEFT JOIN (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair) ON a = seq GROUP BY seq),
+    k AS (SELECT seq, array_to_string(list(term ORDER BY term), chr(1)) k FROM bag GROUP BY seq)
+    SELECT seq, min(seq) OVER (PARTITION BY k) AS class_seq, links FROM l JOIN k USING (seq)
+    """
+)
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of equal contents of each current record and the number of records it is similar to, without writing out pairs."""
+    members, pairs = _content_pairs(spark, folder)
+    return linked_records(members, pairs, "seq").withColumnRenamed("class", "class_seq")
+
+
+@query(
+    f"""
+    WITH {CURRENT_SQL},
+    bag AS (SELECT seq, term, count(DISTINCT position) c FROM tokens JOIN cur USING (shard, id) WHERE field = 'content' AND term IS NOT NULL GROUP BY seq, term),
+    size AS (SELECT seq, sum(c) n FROM bag GROUP BY seq),
+    both_ AS (SELECT a.seq a, b.seq b, sum(least(a.c, b.c)) c FROM bag a JOIN bag b USING (term) WHERE a.seq < b.seq GROUP BY ALL),
+    pair AS (SELECT a, b FROM both_ JOIN size x ON x.seq = a JOIN size y ON y.seq = b WHERE 10 * c >= 7 * (x.n + y.n - c)),
+    l AS (SELECT seq, count(b) links FROM size LEFT JOIN (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair) ON a = seq GROUP BY seq),
+    k AS (SELECT seq, array_to_string(list(term || chr(2) || c ORDER BY term), chr(1)) k FROM bag GROUP BY seq)
+    SELECT seq, min(seq) OVER (PARTITION BY k) AS class_seq, links FROM l JOIN k USING (seq)
+    """
+)
+def p1_bags(spark: SparkSession, folder: str) -> DataFrame:
+    """Like ``p1_links`` with bags of terms: how often a term occurs counts too, and the overlap is that of multisets."""
+    content = read_table(spark, folder, "tokens").where(F.col("field") == "content").select("shard", "id", "term", "position").distinct()
+    bags = bags_of_terms(content, ["shard", "id"], "term", multiset=True)
+    current = current_records(read_table(spark, folder, "records"))
+    members, pairs = similar_pairs(materialize(bags.join(current, ["shard", "id"]).select("seq", "items"), "bags"), "seq", SIMILARITY)
+    return linked_records(members, pairs, "seq").withColumnRenamed("class", "class_seq")
+
+
 # ------------------------------------------------- 2: how distinctive a term is
 
 GL2_SQL = """
@@ -230,6 +279,32 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_sizes(spark, folder), read_table(spark, folder, "containers"))
 
 
+@query(
+    """
+    SELECT container_kind AS kind, (SELECT count(*) FROM documents) AS texts, 0 AS overfull, 0 AS cut_small, 0 AS gaps_or_overlaps, 0 AS could_merge FROM containers
+    """
+)
+def p7_sound(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of a packing, for each kind: how many texts it has, and how often something is wrong.
+
+    Wrong are containers above the capacity, texts cut though they fit, pieces
+    that do not follow each other from token 0 to the last, and, beyond one,
+    containers that are not even half full: best fit puts two such together.
+    """
+    sizes, containers = _sizes(spark, folder), read_table(spark, folder, "containers")
+    packed = materialize(pack(sizes, containers), "packed")
+    caps = F.broadcast(containers.select(F.col("container_kind").alias("kind"), F.col("capacity_tokens").cast("long").alias("cap")))
+    texts = packed.groupBy("kind", "doc_id").agg(F.count("*").alias("n"), F.min("first_token").alias("lo"), F.max(F.col("first_token") + F.col("tokens")).alias("hi"), F.sum("tokens").alias("sum"))
+    texts = texts.join(sizes.select("doc_id", F.col("n_tokens").alias("all")), "doc_id").join(caps, "kind")
+    odd = (F.col("lo") != 0) | (F.col("hi") != F.col("all")) | (F.col("sum") != F.col("all"))
+    how_many = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    by_text = texts.groupBy("kind").agg(F.count("*").alias("texts"), how_many((F.col("all") <= F.col("cap")) & (F.col("n") > 1)).alias("cut_small"), how_many(odd).alias("gaps_or_overlaps"))
+    load = packed.groupBy("kind", "container").agg(F.sum("tokens").alias("load")).join(caps, "kind")
+    low = how_many(F.col("load") * 2 <= F.col("cap"))
+    by_load = load.groupBy("kind").agg(how_many(F.col("load") > F.col("cap")).alias("overfull"), F.greatest(low - 1, F.lit(0)).alias("could_merge"))
+    return by_text.join(by_load, "kind").select("kind", "texts", "overfull", "cut_small", "gaps_or_overlaps", "could_merge")
+
+
 @query()
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Texts, tokens and fill of every container."""
@@ -253,6 +328,37 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_shares(mix(_sizes(spark, folder), targets), targets)
 
 
+@query(
+    """
+    SELECT source, (SELECT count(*) FROM documents d WHERE d.source = t.source AND length(text) > 0) > 0 AS has_texts, 0 AS unknown, 0 AS repeated_too_often, 0 AS twice, true AS share_reached
+    FROM source_targets t
+    """
+)
+def p8_sound(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the mixture that meets every share: no unknown text, none more often than allowed, none in two rows, and each share within a thousandth.
+
+    Copies of a source are spread over its texts in order of size, so its
+    tokens differ from the wanted ones by some of the longest texts at most.
+    """
+    sizes, targets = _sizes(spark, folder), read_table(spark, folder, "source_targets")
+    chosen = materialize(mix(sizes, targets, EXACT), "chosen")
+    few = F.broadcast(targets.select("source", "max_repeat", "target_share"))
+    per = chosen.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    per = per.join(sizes.select(F.col("doc_id").alias("d"), F.col("source").alias("s")), F.col("doc_id") == F.col("d"), "left").join(few, "source")
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    bad = per.groupBy("source").agg(
+        count(F.col("s").isNull() | (F.col("s") != F.col("source"))).alias("unknown"), count(F.col("copies") > F.col("max_repeat")).alias("repeated_too_often"), count(F.col("n") > 1).alias("twice")
+    )
+    longest = sizes.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    shares = mix_shares(chosen, targets)
+    total = shares.agg(F.sum("tokens")).first()[0] or 1
+    weight = targets.agg(F.sum("target_share")).first()[0] or 1.0
+    rows = shares.join(bad, "source", "left").join(F.broadcast(longest), "source", "left")
+    off = F.abs(F.col("tokens") - F.col("target_share") / F.lit(float(weight)) * F.lit(float(total)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("source", F.col("longest").isNotNull().alias("has_texts"), zero("unknown"), zero("repeated_too_often"), zero("twice"), (off <= 0.001 * total + 2 * F.coalesce("longest", F.lit(0))).alias("share_reached"))
+
+
 @query()
 def p8_exact_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Wanted and reached share of each source, in the largest mixture that meets every share."""
