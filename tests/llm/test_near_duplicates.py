@@ -103,6 +103,7 @@ def test_links_against_brute_force(spark, found):
 def test_full_bands_in_parts(spark, monkeypatch):
     """Sixty texts that all differ in one word share nearly every band; none of their links is lost."""
     monkeypatch.setattr(nd, "FULL_BAND", 7)
+    monkeypatch.setattr(nd, "SAMPLED", 2)
     docs = {i: [f"w{j}" for j in range(30)] + [f"own{i}"] for i in range(60)}
     bags = materialize(nd.bags_of_terms(_tokens(spark, docs).where("term IS NOT NULL"), ["k"], "term"), "bags")
     members, pairs = nd.similar_pairs(bags, "k", (7, 10))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from textloom.llm import pii
-from textloom.llm.crf import Chain, certain, forward_backward, legal, loopy, skip_edges, train_skip, viterbi
+from textloom.llm.crf import Chain, certain, forward_backward, legal, loopy, train_skip, viterbi
 from textloom.llm.pii_samples import make
 
 
@@ -54,7 +54,16 @@ def test_loopy_is_exact_on_a_tree():
 
 
 def test_edges_are_linear_in_the_group():
-    assert skip_edges([1, 2]) == [(1, 2)] and skip_edges([4, 6, 9]) == [(4, 6), (6, 9), (9, 4)] and skip_edges([3]) == []
+    texts = ["Ann Bly, then ann and ANN Bly and Cy Ann. Ann", "no Ann Bly here twice", "王芳和王芳，王芳", "call 555-010-9999 or +1 555 010 9999"]
+    lexer = pii.Lexer()
+    r = lexer.read(texts)
+    got = {}
+    for a, b, kind in r.edges(texts, np.ones(len(r.real), bool)).tolist():
+        t = int(r.owner[a])
+        assert t == r.owner[b]
+        got.setdefault((t, kind, texts[t][slice(*r.spans[a])].lower()), []).append((a, b))
+    # three of four "Ann" stand beside another capital, in a ring of three edges; a pair has one edge
+    assert {k: len(v) for k, v in got.items()} == {(0, 0, "ann"): 4, (0, 0, "bly"): 1, (2, 1, "王"): 3, (3, 2, "555-010-9999"): 1}
 
 
 @pytest.mark.parametrize("seed", range(30))

@@ -132,7 +132,9 @@ def train_skip(features: np.ndarray, labels: np.ndarray, lengths: Sequence[int],
     for _ in range(epochs):
         for g in rng.permutation(len(groups)):
             b = groups[g]
-            unary = w[b.features].sum(axis=1, dtype=np.float64)
+            unary = np.zeros((len(b.labels), n_labels))
+            for column in b.features:
+                unary += w.take(column, axis=0)
             if len(b.edges):
                 full = skip[:, classes][:, :, classes]
                 unary, to_left, to_right = messages(unary, trans, b.chain, b.edges, full)
@@ -148,10 +150,10 @@ def train_skip(features: np.ndarray, labels: np.ndarray, lengths: Sequence[int],
                 np.add.at(sg, kind, diff)
                 sg = (sg + sg.transpose(0, 2, 1)) / b.n - l2_skip * skip
                 gs += sg**2
-                skip += rate * sg / np.sqrt(gs)
+                skip += 3.0 * rate * sg / np.sqrt(gs)
             diff = -np.exp(marg)
             diff[np.arange(len(b.labels)), b.labels] += 1.0
-            grad = np.add.reduceat(diff.astype(np.float32)[b.by], b.first, axis=0) / b.n - l2 * w[b.used]
+            grad = np.add.reduceat(diff.astype(np.float32).take(b.by, axis=0), b.first, axis=0) / b.n - l2 * w[b.used]
             gw[b.used] += grad**2
             w[b.used] += rate * grad / np.sqrt(gw[b.used])
             w[0] = 0.0
@@ -167,9 +169,10 @@ class _Batch:
     def __init__(self, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, starts: np.ndarray, seqs: np.ndarray, n_labels: int, edges: np.ndarray):
         rows = np.concatenate([np.arange(starts[s], starts[s] + lengths[s]) for s in seqs])
         self.n, self.chain = len(seqs), Chain(lengths[seqs])
-        self.features, self.labels = features[rows], labels[rows]
+        self.labels = labels[rows]
         # the rows of one feature lie together after a sort and are summed in one pass
-        flat = self.features.reshape(-1)
+        flat = features[rows].reshape(-1)
+        self.features = np.ascontiguousarray(features[rows].T)
         by = np.argsort(flat, kind="stable")
         self.first = np.flatnonzero(np.r_[True, np.diff(flat[by]) != 0])
         self.used = flat[by[self.first]]
@@ -184,11 +187,6 @@ class _Batch:
         self.edges = np.c_[place[here[:, :2]], here[:, 2]]
 
 
-def skip_edges(group: Sequence[int]) -> list[tuple[int, int]]:
-    """Edges between each member of a group and the next, closing the circle of three or more: linear in the group."""
-    return [*zip(group, group[1:]), *([(group[-1], group[0])] if len(group) > 2 else [])]
-
-
 def messages(unary: np.ndarray, trans: np.ndarray, chain: Chain, edges: np.ndarray, skip: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unary scores after message passing along the skip edges, and the last messages to left and right ends.
 

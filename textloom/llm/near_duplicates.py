@@ -23,8 +23,9 @@ ROWS, BANDS = 7, 90
 
 #: Bytes of bags that one task makes signatures of.
 SIGNATURE_BYTES = 4 << 20
-#: A band with more bags is joined in parts of about this size.
+#: A band with more bags is joined in parts of about this size; such bands are found in one of so many bags.
 FULL_BAND = 1000
+SAMPLED = 64
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,11 +149,14 @@ def bags_of_terms(tokens: DataFrame, record: list[str], term: str, multiset: boo
     return rows.select(*record, item.alias("_x")).groupBy(*record).agg(F.array_sort(F.collect_set("_x")).alias("items"))
 
 
-def band_keys(bags: DataFrame, key: str, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """``key, band``: one line per bag and band, ``band`` being a hash of the band's number and values.
+def band_keys(bags: DataFrame, key: str, rows: int = ROWS, bands: int = BANDS, full: DataFrame | None = None) -> DataFrame:
+    """``key, band, part, side``: one line per bag and band, ``band`` being a hash of the band's number and values.
 
     Every item weighs 1, so registers agree with the probability of the very
     similarity that is verified, whatever the share of the bags with an item.
+    Bands listed in ``full`` (``band, parts``) are cut: on side 1 a bag lies in
+    all parts, on side 2 in one of them, so that a row of one side meets each
+    bag of the other once. All other lines are for both sides, 0.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +178,14 @@ def band_keys(bags: DataFrame, key: str, rows: int = ROWS, bands: int = BANDS) -
 
     kind = bags.schema[key].dataType.simpleString()
     out = bags.select(key, "items").mapInArrow(work, f"key {kind}, bands array<long>")
-    return out.select(F.col("key").alias(key), F.explode("bands").alias("band"))
+    out = out.select(F.col("key").alias(key), F.explode("bands").alias("band"))
+    if full is None:
+        return out.select(key, "band", F.lit(0).alias("part"), F.lit(0).alias("side"))
+    out = out.join(broadcast_if_small(full), "band", "left")
+    line = lambda part, side: F.struct(part.cast("int").alias("part"), F.lit(side).alias("side"))
+    cut = F.concat(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: line(i, 1)), F.array(line(F.pmod(F.xxhash64(key), F.col("parts")), 2)))
+    lines = F.when(F.col("parts").isNull(), F.array(line(F.lit(0), 0))).otherwise(cut)
+    return out.select(key, "band", F.inline(lines))
 
 
 def similar_pairs(bags: DataFrame, key: str, threshold: tuple[int, int], rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
@@ -193,19 +204,19 @@ def similar_pairs(bags: DataFrame, key: str, threshold: tuple[int, int], rows: i
     marked = materialize(bags.select(key, F.xxhash64("items").alias("_f"), F.xxhash64(F.lit(7), "items").alias("_g")), "marked")
     classes = materialize(marked.groupBy("_f", "_g").agg(F.min(key).alias("rep"), F.count("*").alias("_size")), "classes")
     members = materialize(join_counted(marked, classes, ["_f", "_g"], "_size").select("rep", key), "members")
-    reps = materialize(bags.join(classes.select(F.col("rep").alias(key)), key, "left_semi"), "reps")
+    # signatures cost much for each byte: as many files as make tasks enough, by the exchange that the join needs anyway
+    tasks = max(2 * bags.sparkSession.sparkContext.defaultParallelism, estimated_bytes(bags) // SIGNATURE_BYTES)
+    reps = materialize(bags.repartition(tasks, key).join(classes.select(F.col("rep").alias(key)), key, "left_semi"), "reps")
     discard(marked, classes)
-    # signatures cost much for each byte: as many tasks as there are cores, whatever the files are
-    tasks = max(2 * reps.sparkSession.sparkContext.defaultParallelism, estimated_bytes(reps) // SIGNATURE_BYTES)
-    keys = materialize(band_keys(reps.repartition(tasks, key), key, rows, bands), "bands")
-    # a band that few share is joined by itself, a full one in parts: each row meets every part of the other side once
-    full = keys.groupBy("band").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    full = materialize(full.select("band", F.ceil(F.col("_n") / FULL_BAND).cast("int").alias("_parts")), "full")
-    keys = materialize(keys.join(full, "band"), "shared")
-    a = keys.select(F.col(key).alias("a"), "band", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    b = keys.select(F.col(key).alias("b"), "band", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part"))
-    candidates = materialize(a.join(b, ["band", "_part"]).where(F.col("a") < F.col("b")).select("a", "b").distinct(), "candidates")
-    discard(keys, full)
+    # full bands show in a sample of the bags; what it misses costs time and no links
+    some = band_keys(reps.where(F.pmod(F.xxhash64(F.lit(5), key), F.lit(SAMPLED)) == 0), key, rows, bands)
+    full = some.groupBy("band").agg((F.count("*") * SAMPLED).alias("n")).where(F.col("n") >= FULL_BAND)
+    keys = band_keys(reps, key, rows, bands, materialize(full.select("band", F.ceil(F.col("n") / FULL_BAND).cast("int").alias("parts")), "full"))
+    # both sides are one exchange; which rows of a full band are for which side is asked of the pair, lest it part them
+    a = keys.select(F.col(key).alias("a"), F.col("side").alias("sa"), "band", "part")
+    b = keys.select(F.col(key).alias("b"), F.col("side").alias("sb"), "band", "part")
+    met = a.join(b, ["band", "part"]).where((F.col("a") < F.col("b")) & (F.col("sa") * 3 + F.col("sb")).isin(0, 5))
+    candidates = materialize(met.select("a", "b").distinct(), "candidates")
     left = reps.select(F.col(key).alias("a"), F.col("items").alias("xa")).join(broadcast_if_small(candidates), "a")
     left = broadcast_if_small(materialize(left, "left"))
     both = reps.select(F.col(key).alias("b"), F.col("items").alias("xb")).join(left, "b")

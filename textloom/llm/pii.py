@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textloom.llm.crf import NEVER, Chain, certain, legal, loopy, marginals, skip_edges, train, train_skip, viterbi
+from textloom.llm.crf import NEVER, Chain, certain, legal, loopy, marginals, train, train_skip, viterbi
 from textloom.llm.pii_samples import SURNAMES_ZH, make
 
 KINDS = ("name", "email", "phone", "id_number", "address")
@@ -115,10 +115,11 @@ class Lexer:
         self.key: list[int | str] = [EDGE]
         self.shape: list[int | str] = [EDGE]
         self.own: list[tuple[str, ...]] = [()]
-        #: length, gap (0 for tokens), whether a word, whether it starts like a name, kind of skip edge
-        self.traits: list[tuple[int, int, int, int, int]] = [(0, 0, 1, 0, -1)]
+        #: length, gap (0 for tokens), whether a word, whether it starts like a name, kind of skip edge, number of the word in any case
+        self.traits: list[tuple[int, int, int, int, int, int]] = [(0, 0, 1, 0, -1, 0)]
+        self.words: dict[str, int] = {}
         self.mails = [self._add("E", x, 0) for x in ("tld", "num")]
-        self.columns = np.zeros((0, 7), np.int64)
+        self.columns = np.zeros((0, 8), np.int64)
 
         class Numbers(dict):
             def __missing__(this, s: str) -> int:  # noqa: N805
@@ -128,12 +129,12 @@ class Lexer:
 
     def _add(self, kind: str, s: str, length: int) -> int:
         if kind == "S":
-            row, traits = ("", "", ()), (length, 3 if "\n" in s else 2, 0, 0, -1)
+            row, traits = ("", "", ()), (length, 3 if "\n" in s else 2, 0, 0, -1, 0)
         else:
             row = _word_forms(kind, s)
             capital = kind == "W" and row[1][0] == "X"
             link = WORDS if capital and len(s) > 2 else SIGNS if kind == "H" else NUMBERS if kind in "NA" and sum(c.isdigit() for c in s) >= 6 else -1
-            traits = (length, 0, kind in "WH", capital, link)
+            traits = (length, 0, kind in "WH", capital, link, self.words.setdefault(row[0], len(self.words)) if link in (WORDS, SIGNS) else 0)
         self.key.append(row[0] if self.keys is None else self.keys.get(row[0], UNKNOWN))
         self.shape.append(row[1] if self.shapes is None else self.shapes.get(row[1], UNKNOWN))
         self.own.append(row[2])
@@ -242,29 +243,36 @@ class Read:
 
     def edges(self, texts: list[str], open_: np.ndarray) -> np.ndarray:
         """Skip edges ``(left, right, type)`` between open tokens of one text that recur in it."""
-        link = self.columns[self.real, 6]
+        link = self.columns[:, 6].take(self.real)
         some = np.flatnonzero(open_ & (link >= 0))
+        none = np.zeros((0, 3), np.int64)
         if not len(some):
-            return np.zeros((0, 3), np.int64)
-        capital = self.columns[:, 5] > 0
-        place = self.real[some]
-        last = len(capital) - 1
-        beside = capital[place - 1] | capital[place + 1] | capital[place - 2] | capital[np.minimum(place + 2, last)]
-        groups: dict[tuple, list[int]] = defaultdict(list)
-        for i, near, kind in zip(some.tolist(), beside.tolist(), link[some].tolist()):
-            t = int(self.owner[i])
-            a, b = self.spans[i]
-            if kind == WORDS:
-                if near:
-                    groups[(kind, t, texts[t][a:b].lower())].append(i)
-            elif kind == SIGNS:
-                if "㐀" <= texts[t][b : b + 1] <= "鿿":
-                    groups[(kind, t, texts[t][a : b + 1])].append(i)
-            else:
-                # of a number the last digits: prefixes come and go
-                groups[(kind, t, "".join(c for c in texts[t][a:b] if c.isalnum())[-7:])].append(i)
-        out = [(*e, key[0]) for key, g in groups.items() if len(g) > 1 for e in skip_edges(g)]
-        return np.array(out, np.int64).reshape(-1, 3)
+            return none
+        kind, place = link.take(some), self.real.take(some)
+        capital, word, last = self.columns[:, 5], self.columns[:, 7], len(self.form) - 1
+        after = np.minimum(place + 1, last)
+        beside = (capital.take(place - 1) + capital.take(after) + capital.take(place - 2) + capital.take(np.minimum(place + 2, last))) > 0
+        paired = (self.columns[:, 6].take(after) == SIGNS) & (self.gap.take(after) == 1)
+        keep = np.where(kind == WORDS, beside, np.where(kind == SIGNS, paired, True))
+        some, kind, place, after = some[keep], kind[keep], place[keep], after[keep]
+        if not len(some):
+            return none
+        one, two = word.take(place), np.where(kind == SIGNS, word.take(after), 0)
+        # of a number the last digits: prefixes come and go
+        digits: dict[str, int] = {}
+        for i in np.flatnonzero(kind == NUMBERS).tolist():
+            t, (a, b) = int(self.owner[some[i]]), self.spans[some[i]].tolist()
+            one[i] = digits.setdefault("".join(c for c in texts[t][a:b] if c.isalnum())[-7:], len(digits))
+        order = np.lexsort((two, one, kind, self.owner.take(some)))
+        some, kind, one, two = some[order], kind[order], one[order], two[order]
+        owner = self.owner.take(some)
+        alike = (owner[1:] == owner[:-1]) & (kind[1:] == kind[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        # each with the next of its group, and the last of three or more with the first
+        first = np.flatnonzero(np.r_[True, ~alike])
+        end = np.r_[first[1:], len(some)] - 1
+        rings = end - first >= 2
+        left, right = np.r_[np.flatnonzero(alike), end[rings]], np.r_[np.flatnonzero(alike) + 1, first[rings]]
+        return np.c_[some[left], some[right], kind[left]]
 
 
 class Pairs:
@@ -459,11 +467,12 @@ class Recogniser:
     def _pass(self, u: np.ndarray, edges: np.ndarray, which: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         """Message passing over the stretches with edges; adds the messages to ``u``.
 
-        A message changes the odds of two labels by no more than the spread of
-        the potentials, and a token has at most two edges. So an edge of which
-        both ends are surer than that, and by as much again, can be left out.
+        A message changes the logarithm of the odds of two labels by no more
+        than the spread of the potentials, and a token has at most two edges. So
+        an edge of which both ends are surer than two messages can undo, with
+        one to spare, is left out.
         """
-        sure = 1.0 / (1.0 + np.exp(-4.0 * (self.skip.max(axis=(1, 2)) - self.skip.min(axis=(1, 2))).max()))
+        sure = 1.0 / (1.0 + np.exp(-1.0 - 2.0 * (self.skip.max(axis=1) - self.skip.min(axis=1)).max()))
 
         def part(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             linked = np.unique(which[edges[:, :2].reshape(-1)])

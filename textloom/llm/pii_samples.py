@@ -218,9 +218,10 @@ class Maker:
     def digits(self, pattern: str) -> str:
         return "".join(str(self.r.randint(0, 9)) if c == "0" else c for c in pattern)
 
-    def name(self, lang: str) -> str:
+    def name(self, lang: str, again: float = 0.35) -> str:
+        """A new name or, as likely as ``again``, one that the document has already."""
         r = self.r
-        if self.known and r.random() < 0.35:
+        if self.known and r.random() < again:
             return self.variant(r.choice(self.known), lang)
         made = self.new_name(lang)
         if len(self.known) < 3:
@@ -285,10 +286,9 @@ class Maker:
     def phone(self, lang: str) -> str:
         """Country formats in general use; an empty country prefix is as likely as one."""
         r = self.r
-        blocks = lambda *n: [self.digits("0" * k) for k in n]
         if lang == "en":
-            a, b, c = blocks(3, 3, 4)
-            s = r.choice([f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"({a}) {b}-{c}", f"+1{a}{b}{c}", f"+1 ({a}) {b}-{c}", f"1-{a}-{b}-{c}", f"+1 {a} {b} {c}", self.digits("020 0000 0000"), self.digits("+44 20 0000 0000"), self.digits("07000 000000"), self.digits("+44 7000 000000"), self.digits("+91 00000 00000")])
+            a, b, c = "000", "000", "0000"
+            s = self.digits(r.choice([f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"({a}) {b}-{c}", f"+1{a}{b}{c}", f"+1 ({a}) {b}-{c}", f"1-{a}-{b}-{c}", f"+1 {a} {b} {c}", "020 0000 0000", "+44 20 0000 0000", "07000 000000", "+44 7000 000000", "+91 00000 00000"]))
         elif lang == "zh":
             s = self.digits(r.choice(["1" + "0" * 10, "+86 100 0000 0000", "+8610000000000", "010-00000000", "(021) 0000 0000", "0755-0000000", "021 00000000", "100-0000-0000"]))
         elif lang == "ru":
@@ -354,11 +354,9 @@ class Maker:
         n = r.randint(1, 999)
         return r.choice(
             [
-                f"order {d(8)}", f"ticket {d(r.randint(3, 8))}", f"invoice {d(7)}", f"(build {d(8)}.{n})", f"build {d(8)}", f"({d(r.randint(2, 9))})", f"rev {d(5)}", f"doc-{d(r.randint(3, 8))}", f"({r.choice(['doc', 'ref', 'job', 'run'])}-{d(r.randint(3, 8))})", f"part_{n}", f"({self.word(1, 1)}_{n})", f"v{n % 20}.{n % 17}.{n % 13}", f"({self.word(1, 1)}@v{n % 9}.{n % 7})",
-                f"{r.choice('ABCJKR')}{r.choice('EOIU')}{r.choice('RSTX')}-{d(r.randint(3, 5))}", f"({r.choice('ABCJKR')}{r.choice('EOIU')}{r.choice('RSTX')}-{d(r.randint(3, 5))})", f"[{d(r.randint(2, 6))}]", f"{n}.{d(2)}", f"({n}.{d(2)})", f"{n}.{d(3)} ms", f"{n},{d(3)}", f"{n} %", f"port {d(4)}", f"10.{n % 256}.{n % 99}.{n % 7}", f"({n % 256}.0.2.{n % 99}:{d(4)})", f"192.168.{n % 9}.{n % 256}", f"20{d(2)}-0{n % 9 + 1}-1{n % 9}", f"(20{d(2)}-0{n % 9 + 1}-1{n % 9}T1{n % 9}:2{n % 9}:3{n % 9}Z)", f"1{n % 9}:2{n % 9}:0{n % 9}",
-                f"{d(7)} bytes", f"({r.choice(['read', 'wrote', 'sent', 'got'])} {d(r.randint(5, 9))} bytes)", f"sha {''.join(r.choice('0123456789abcdef') for _ in range(r.choice([8, 16])))}", f"https://{self.word()}.example/{d(5)}", f"({n % 50}-{n % 50 + 3}-{n % 50 + 9}-{d(2)})", f"(lines {n % 50}-{n % 50 + 2}-{n % 50 + 9}-{n})", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"DE{d(2)} {d(4)} {d(4)} {d(4)}", f"{d(4)} items of {d(8)}", f"{n} rows", f"page {n}", f"No. {n}", f"x{n}", f"{n}", f"{n} of {n + 9}", f"${n}.{d(2)}", f"{n} EUR", f"{self.word(1, 2)}:{self.word(1, 1)}@{n % 9}", f"({self.word(1, 2)}:{self.word(1, 1)}@{n % 9})", f"{d(10)} ns", f"0x{d(6)}",
+                lambda: f"order {d(8)}", lambda: f"ticket {d(r.randint(3, 8))}", lambda: f"invoice {d(7)}", lambda: f"(build {d(8)}.{n})", lambda: f"build {d(8)}", lambda: f"({d(r.randint(2, 9))})", lambda: f"rev {d(5)}", lambda: f"doc-{d(r.randint(3, 8))}", lambda: f"({r.choice(['doc', 'ref', 'job', 'run'])}-{d(r.randint(3, 8))})", lambda: f"part_{n}", lambda: f"({self.word(1, 1)}_{n})", lambda: f"v{n % 20}.{n % 17}.{n % 13}", lambda: f"({self.word(1, 1)}@v{n % 9}.{n % 7})", lambda: f"{r.choice('ABCJKR')}{r.choice('EOIU')}{r.choice('RSTX')}-{d(r.randint(3, 5))}", lambda: f"({r.choice('ABCJKR')}{r.choice('EOIU')}{r.choice('RSTX')}-{d(r.randint(3, 5))})", lambda: f"[{d(r.randint(2, 6))}]", lambda: f"{n}.{d(2)}", lambda: f"({n}.{d(2)})", lambda: f"{n}.{d(3)} ms", lambda: f"{n},{d(3)}", lambda: f"{n} %", lambda: f"port {d(4)}", lambda: f"10.{n % 256}.{n % 99}.{n % 7}", lambda: f"({n % 256}.0.2.{n % 99}:{d(4)})", lambda: f"192.168.{n % 9}.{n % 256}", lambda: f"20{d(2)}-0{n % 9 + 1}-1{n % 9}", lambda: f"(20{d(2)}-0{n % 9 + 1}-1{n % 9}T1{n % 9}:2{n % 9}:3{n % 9}Z)", lambda: f"1{n % 9}:2{n % 9}:0{n % 9}", lambda: f"{d(7)} bytes", lambda: f"({r.choice(['read', 'wrote', 'sent', 'got'])} {d(r.randint(5, 9))} bytes)", lambda: f"sha {''.join(r.choice('0123456789abcdef') for _ in range(r.choice([8, 16])))}", lambda: f"https://{self.word()}.example/{d(5)}", lambda: f"({n % 50}-{n % 50 + 3}-{n % 50 + 9}-{d(2)})", lambda: f"(lines {n % 50}-{n % 50 + 2}-{n % 50 + 9}-{n})", lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"DE{d(2)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(4)} items of {d(8)}", lambda: f"{n} rows", lambda: f"page {n}", lambda: f"No. {n}", lambda: f"x{n}", lambda: f"{n}", lambda: f"{n} of {n + 9}", lambda: f"${n}.{d(2)}", lambda: f"{n} EUR", lambda: f"{self.word(1, 2)}:{self.word(1, 1)}@{n % 9}", lambda: f"({self.word(1, 2)}:{self.word(1, 1)}@{n % 9})", lambda: f"{d(10)} ns", lambda: f"0x{d(6)}",
             ]
-        )
+        )()
 
     def title(self) -> str:
         """Capitalised words that are no name."""
@@ -479,25 +477,27 @@ class Maker:
         if lang == "zh":
             before = r.choice(["", r.choice(self.clauses) + "，", r.choice(self.clauses) + "。"]) + r.choice(["", "", "", *"请 由 和 找 给 请教 感谢 通知 见到 问 听 同事 经理 学生 跟 对 让 在 被 向 从 是 为".split()])
             after = r.choice(["", "", *"说 在 和 的 去 把 已经 将 ， 。 （ 也 都 还 就 要 想 会 是 有 没 被 让 帮 跟 对 从 向 到 做 写 看 那里 这里 上周 昨天 最近 正在 回来".split()])
-            return [(before, None), self.piece("N", lang), (after + r.choice(self.clauses), None)]
+            return [(before, None), (self.name(lang, 0.6), "name"), (after + r.choice(self.clauses), None)]
         w = self.word if lang != "ru" else self.word_ru
         some = lambda low, high: " ".join(r.choice(WORDS[lang].split()) if r.random() < 0.6 else w() for _ in range(r.randint(low, high)))
-        before = some(1, 4)
-        return [((before.capitalize() if r.random() < 0.3 else before) + r.choice([" ", " ", " ", "; ", ", "]), None), self.piece(r.choice("NNNNNAAPI"), lang), (r.choice([" ", " ", ", ", ". ", " ("]) + some(1, 4), None)]
+        before = some(1, 1 if r.random() < 0.3 else 4)
+        key = r.choice("NNNNNNNAAPI")
+        piece = (self.name(lang, 0.6), "name") if key == "N" else self.piece(key, lang)
+        return [((before.capitalize() if r.random() < 0.45 else before) + r.choice([" ", " ", " ", "; ", ", "]), None), piece, (r.choice([" ", " ", ", ", ". ", " ("]) + some(1, 4), None)]
 
     def document(self) -> list[tuple[str, str | None]]:
-        """Two to six sentences, somewhat fewer than half of which tell personal data."""
+        """Two to seven sentences, somewhat fewer than half of which tell personal data."""
         r = self.r
         lang = r.choice([*PROSE, "zh", "zh", "de", "en"])
         out: list[tuple[str, str | None]] = []
         self.known, self.numbers = [], []
-        for _ in range(r.randint(2, 6)):
+        for _ in range(r.randint(2, 7)):
             x, tongue = r.random(), lang if r.random() < 0.85 else r.choice(list(PROSE))
             if x < 0.24:
                 out += self.fill(r.choice(PROSE[tongue]), tongue)
             elif x < 0.37:
                 out += self.labelled(tongue)
-            elif x < 0.44:
+            elif x < 0.45:
                 out += self.around(tongue)
             else:
                 out.append((self.plain(lang if r.random() < 0.7 else "en"), None))

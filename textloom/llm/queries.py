@@ -16,7 +16,8 @@ from textloom.llm.pii import find_pii, redact_pii
 from textloom.llm.pii import fit as fit_pii
 from textloom.llm.term_counts import mark, term_counts
 from textloom.llm.token_sizes import token_sizes
-from textloom.llm.visual_form import visual_form
+from textloom.llm.visual_form import character_table, visual_form
+from textloom.operators.counted_join import join_counted
 from textloom.runtime import materialize, read_table
 from textloom.sources.records import current_records
 
@@ -206,7 +207,32 @@ def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------ 4: one form for what looks alike
 
 
-@query()
+def _quoted(s: str) -> str:
+    """A SQL expression for any string."""
+    return " || ".join(f"chr({ord(c)})" for c in s) or "''"
+
+
+def _forms_sql(source: str) -> str:
+    """SQL for the forms of ``k, v``: characters one by one by a table, then composed. Half-width sound marks become combining ones, which compose too."""
+    rows = ", ".join(f"({ord(c)}, {_quoted(new)})" for c, new in character_table())
+    return f"""
+        look(c, t) AS (VALUES {rows}),
+        src AS ({source}),
+        chars AS (SELECT k, unnest(t) ch, generate_subscripts(t, 1) i FROM (SELECT k, regexp_extract_all(v, '(?s).') t FROM src)),
+        form AS (SELECT k, nfc_normalize(string_agg(coalesce(t, ch), '' ORDER BY i)) form FROM chars LEFT JOIN look ON c = unicode(ch) GROUP BY k
+                 UNION ALL SELECT k, v FROM src WHERE v IS NULL OR v = '')
+    """
+
+
+TITLES_SQL = f"{CURRENT_SQL}, " + _forms_sql("SELECT seq k, fields['title'] v FROM cur")
+
+
+@query(
+    f"""
+    WITH {TITLES_SQL}, t AS (SELECT k, v, form FROM src JOIN form USING (k) WHERE v IS NOT NULL)
+    SELECT least(a.k, b.k) AS seq_a, greatest(a.k, b.k) AS seq_b FROM t a JOIN t b USING (form) WHERE a.v < b.v
+    """
+)
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of current records whose titles differ but look the same.
 
@@ -227,14 +253,39 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.least("sa", "sb").alias("seq_a"), F.greatest("sa", "sb").alias("seq_b"))
 
 
-@query()
+@query(
+    f"""
+    WITH {TITLES_SQL}, t AS (SELECT k, v, form FROM src JOIN form USING (k) WHERE v IS NOT NULL)
+    SELECT k AS seq, min(k) OVER (PARTITION BY form) AS class_seq, n AS titles FROM t JOIN (SELECT form, count(DISTINCT v) n FROM t GROUP BY form) USING (form)
+    """
+)
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of current records whose titles look the same, and how many different titles it has: one row for each record, whatever the size of a class."""
+    titles = current_records(read_table(spark, folder, "records"), "title").where(F.col("title").isNotNull())
+    rows = materialize(titles.select("seq", "title", visual_form(F.col("title")).alias("form")), "titles")
+    kinds = rows.groupBy("form", "title").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+    classes = materialize(kinds.groupBy("form").agg(F.min("seq").alias("class_seq"), F.count("*").alias("titles"), F.sum("n").alias("n")), "classes")
+    return join_counted(rows, classes, ["form"], "n").select("seq", "class_seq", "titles")
+
+
+@query(
+    f"""
+    WITH {CURRENT_SQL}, {_forms_sql("SELECT seq * 2 k, fields['title'] v FROM cur UNION ALL SELECT seq * 2 + 1, fields['content'] FROM cur")}
+    SELECT seq, t.form AS title, c.form AS content FROM cur JOIN form t ON t.k = seq * 2 JOIN form c ON c.k = seq * 2 + 1
+    """
+)
 def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Title and content of every current record in the one form."""
     rows = current_records(read_table(spark, folder, "records"), "title", "content")
     return rows.select("seq", visual_form(F.col("title")).alias("title"), visual_form(F.col("content")).alias("content"))
 
 
-@query()
+@query(
+    f"""
+    WITH {_forms_sql("SELECT DISTINCT term k, term v FROM tokens WHERE term IS NOT NULL")}
+    SELECT form, count(*) AS terms FROM form GROUP BY form HAVING count(*) > 1
+    """
+)
 def p4_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Forms that several distinct terms of tokens share, with the number of those terms."""
     terms = read_table(spark, folder, "tokens").where(F.col("term").isNotNull()).select("term").distinct()

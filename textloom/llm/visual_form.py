@@ -12,6 +12,7 @@ import sys
 import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +25,8 @@ a а ɑ   c с ϲ ⅽ   d ԁ ⅾ   e е   g ɡ   h һ   i і ⅰ   j ј ϳ   l 
 p р ρ   q ԛ   s ѕ   u ս   v ν ѵ ⅴ   w ԝ   x х ⅹ   y у ү   æ ӕ   ə ә
 A А Α   B В Β   C С Ϲ Ⅽ   D Ⅾ   E Е Ε   G Ԍ   H Н Η   I І Ι Ⅰ Ӏ   J Ј Ϳ   K К Κ   L Ⅼ   M М Μ Ⅿ
 N Ν   O О Ο Օ   P Р Ρ   Q Ԛ   S Ѕ Տ   T Т Τ   U Ս   V Ѵ Ⅴ   W Ԝ   X Х Χ Ⅹ   Y Ү Υ   Z Ζ   Æ Ӕ   Ə Ә
+A Ꭺ ꓮ   B Ᏼ ꓐ   C Ꮯ ꓚ   D Ꭰ ꓓ   E Ꭼ ꓰ   F ꓝ   G Ꮐ ꓖ   H Ꮋ ꓧ   I ꓲ   J Ꭻ ꓙ   K Ꮶ ꓗ   L Ꮮ ꓡ   M Ꮇ ꓟ   N ꓠ   O ꓳ   P Ꮲ ꓑ
+R Ꮢ ꓣ   S Ꮪ ꓢ   T Ꭲ ꓔ   U ꓴ   V Ꮩ ꓦ   W Ꮃ ꓪ   X ꓫ   Y ꓬ   Z Ꮓ ꓜ
 """
 
 # Hyphens drawn like the ASCII one.
@@ -49,11 +52,14 @@ def _within(cp: int, ranges: Iterable[tuple[int, int]]) -> bool:
 
 
 def _points() -> Iterable[int]:
+    """All code points that may change: the whole basic plane, and beyond it what has a decomposition or is a mark, a blank or a format character."""
     yield from range(0x80, 0xD800)
     yield from range(0xE000, 0x10000)
-    yield from range(0x1D400, 0x1D800)
-    yield from range(0x2F800, 0x2FA20)
-    yield from range(0xE0000, 0xE1000)
+    # the ideographs of the planes 2 and 3 have neither; their compatibility forms begin at 2F800
+    for cp in chain(range(0x10000, 0x20000), range(0x2F800, 0x30000), range(0xE0000, 0xE1000)):
+        ch = chr(cp)
+        if unicodedata.decomposition(ch) or unicodedata.category(ch) in ("Cf", "Zs", "Mn", "Mc", "Me") or _within(cp, INVISIBLE):
+            yield cp
 
 
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
@@ -120,7 +126,7 @@ class Transducer:
     def _compile(self) -> None:
         table = self.table
         changed, marks, hidden = [], [], []
-        for cp in [*range(0x80), *_points(), *range(0x10000, 0x1D400)]:
+        for cp in chain(range(0x80), _points()):
             ch = chr(cp)
             # what stands for a combining mark, such as the half-width sound marks, belongs to its cluster too
             mark = table.get(ch, ch)
@@ -190,6 +196,19 @@ def transducer() -> Transducer:
     return Transducer()
 
 
+@lru_cache(maxsize=1)
+def character_table() -> list[tuple[str, str]]:
+    """Each single character that changes, with what it becomes alone: a plain table of the mapping, for checks of another make."""
+    t = transducer()
+    out = []
+    for cp in chain(range(0x80), _points()):
+        ch = chr(cp)
+        new = t.table[ch] if ch in t.table else "".join(t.table.get(c, c) for c in unicodedata.normalize("NFD", ch))
+        if unicodedata.normalize("NFC", new) != ch:
+            out.append((ch, new))
+    return out
+
+
 def visual_form(text: Column) -> Column:
     """Column of texts in the one form. Nulls stay null; whole texts are rewritten, of any length."""
 
