@@ -202,6 +202,10 @@ def test_key_value_store(spark, tmp_path, persistent):
     s.put(b"q/\xff", b"")
     value[0] = 0
     assert list(s.scan(b"p/")) == [(b"p/1", b"one"), (b"p/2", b"two")] and s.get(b"q/\xff") == b""
+    it = s.scan(b"p/")
+    assert not it.valid and it.advance() and it.valid and (it.key, it.value) == (b"p/1", b"one")
+    it.close()
+    assert not it.valid and not it.advance() and it.error is None
     s.delete(b"p/1")
     assert [k for k, _ in s.scan()] == [b"p/2", b"q/\xff"]
     if persistent:

@@ -9,12 +9,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+class Scorer:
+    """How much a term says about a document. ``name`` begins an explanation."""
+
+    name = "score"
+
+    def column(self, tf: Column, df: Column, n: float, dl: Column, avgdl: Column) -> Column:
+        """From the term's frequency in the document, the documents with it, all documents, the field's length and its mean length."""
+        raise NotImplementedError
+
+
 @dataclass(frozen=True)
-class BM25:
+class BM25(Scorer):
     """``k1`` not above 0 counts as 1.2, ``b`` outside 0..1 as 0.75."""
 
     k1: float = 1.2
     b: float = 0.75
+    name = "BM25"
 
     def params(self) -> tuple[float, float]:
         return (self.k1 if self.k1 > 0 else 1.2), (self.b if 0 <= self.b <= 1 else 0.75)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.analyzer import Analyzer, standard_analyzer
 from textloom.functions.highlight import HighlightOptions, highlight_column
-from textloom.functions.scoring import BM25
+from textloom.functions.scoring import BM25, Scorer
 from textloom.model import DocumentMissingError, InvalidDocumentError
 from textloom.operators.index_tables import BLANK, IndexTables, build, invalid_documents, last_of, terms_of
 from textloom.plans.ast import Query, TermQuery
@@ -20,11 +20,11 @@ from textloom.plans.parser import parse
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """Default analyzer, analyzers of single fields, and BM25 parameters. Analyzers are not stored with an index."""
+    """Default analyzer, analyzers of single fields, and the scorer. Analyzers are not stored with an index."""
 
     analyzer: Analyzer = field(default_factory=standard_analyzer)
     field_analyzers: dict[str, Analyzer] = field(default_factory=dict)
-    bm25: BM25 = BM25()
+    bm25: Scorer = BM25()
 
     def with_analyzer(self, analyzer: Analyzer | None) -> "IndexConfig":
         return replace(self, analyzer=analyzer) if analyzer else self
@@ -35,6 +35,10 @@ class IndexConfig:
     def with_bm25(self, k1: float, b: float) -> "IndexConfig":
         return replace(self, bm25=BM25(k1, b))
 
+    def with_scorer(self, scorer: Scorer) -> "IndexConfig":
+        """Another way to score; anything that has the two parts of :class:`Scorer`."""
+        return replace(self, bm25=scorer)
+
     def of(self, name: str | None) -> Analyzer:
         return self.field_analyzers.get(name, self.analyzer)
 
@@ -118,7 +122,7 @@ class SearchIndex:
             rows = rows.withColumn("score", F.round("score", digits))
         if isinstance(query, TermQuery) and query.field and query.term:
             tf = self.tables.postings.where((F.col("field") == query.field) & (F.col("term") == query.term)).select("id", "tf")
-            text = F.concat(F.lit(f"BM25({query.field}:{query.term}, tf="), F.col("tf"), F.lit(")"))
+            text = F.concat(F.lit(f"{self.config.bm25.name}({query.field}:{query.term}, tf="), F.col("tf"), F.lit(")"))
             rows = rows.join(tf, "id").select("id", "score", text.alias("explanation"))
         else:
             rows = rows.select("id", "score", F.lit("").alias("explanation"))

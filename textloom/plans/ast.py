@@ -4,9 +4,31 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 
 class Query:
-    """Base of all nodes."""
+    """Base of all nodes. Leaves of other makes derive from :class:`TermsQuery`."""
+
+
+class TermsQuery(Query):
+    """A leaf of the user's own: which terms of the dictionary it stands for, and with what weight.
+
+    ``field`` names its field. ``matching`` gets the dictionary of that field,
+    ``field, term, df``, and returns its choice with a column ``weight``; the
+    score of a document is the sum of the weighted scores of the terms chosen.
+    ``scan`` may say in a condition on ``term`` alone what of the postings has
+    to be read at most, so that it is pushed into their scan.
+    """
+
+    field: str
+
+    def matching(self, terms: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def scan(self) -> Column:
+        return F.lit(True)
 
 
 @dataclass(frozen=True)

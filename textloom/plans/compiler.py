@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from textloom.functions.analyzer import Analyzer
 from textloom.functions.scoring import BM25
 from textloom.operators.index_tables import IndexTables
-from textloom.plans.ast import BooleanQuery, FuzzyQuery, MatchQuery, PhraseQuery, PrefixQuery, Query, TermQuery
+from textloom.plans.ast import BooleanQuery, FuzzyQuery, MatchQuery, PhraseQuery, PrefixQuery, Query, TermQuery, TermsQuery
 
 #: Score of a phrase relative to the sum of its terms.
 PHRASE_BOOST = 1.5
@@ -57,9 +57,14 @@ class Plan:
     # ---- leaves
 
     def _leaf(self, q: Query) -> int:
+        if not hasattr(q, "field"):
+            raise TypeError(f"not a query: {q!r}")
         number = len(self.leaves)
         leaf = _Leaf(number, q.field)
         self.leaves.append(leaf)
+        if isinstance(q, TermsQuery):
+            leaf.expand, leaf.scan = q.matching, q.scan()
+            return number
         if isinstance(q, TermQuery):
             if q.field and q.term:
                 leaf.terms = [(0, q.term, 1.0)]

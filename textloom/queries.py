@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +14,13 @@ from textloom.functions.codec import decode_postings, encode_postings, key_parts
 from textloom.functions.filters import ENGLISH_STOP_WORDS, lower, stem
 from textloom.functions.highlight import HighlightOptions
 from textloom.functions.patterns import WHITE_SPACE
+from textloom.functions.scoring import Scorer
 from textloom.functions.tokenizers import DictionaryTokenizer, HmmTokenizer, SimpleTokenizer, StandardTokenizer, WhitespaceTokenizer
 from textloom.model import TextloomError
 from textloom.operators import postings as lists
 from textloom.operators.heavy_keys import heavy_keys, once, profile_keys
 from textloom.operators.search_index import SearchIndex
-from textloom.plans.ast import BooleanQuery, FuzzyQuery, MatchQuery, PhraseQuery, PrefixQuery, Query, TermQuery
+from textloom.plans.ast import BooleanQuery, FuzzyQuery, MatchQuery, PhraseQuery, PrefixQuery, Query, TermQuery, TermsQuery
 from textloom.runtime import materialize, read_table, shared_dir
 from textloom.sources.corpora import corpus, corpus_of_records
 from textloom.sources.records import accepted
@@ -587,6 +588,53 @@ def fuzzy_boost(spark: SparkSession, folder: str) -> DataFrame:
     return _hits(spark, folder, FuzzyQuery("content", "reprots", 9))
 
 
+@dataclass(frozen=True)
+class EndingQuery(TermsQuery):
+    """A leaf that is not of the library: terms with an ending, longer ones weighing less."""
+
+    field: str
+    ending: str
+
+    def matching(self, terms: DataFrame) -> DataFrame:
+        return terms.where(F.col("term").endswith(self.ending)).withColumn("weight", F.lit(1.0) / F.char_length("term"))
+
+    def scan(self):
+        return F.col("term").endswith(self.ending)
+
+
+class TfIdf(Scorer):
+    """A scorer that is not of the library."""
+
+    name = "tf-idf"
+
+    def column(self, tf, df, n, dl, avgdl):
+        return tf * F.ln(F.lit(float(n)) / df)
+
+
+@query(
+    f"""
+    WITH {TOK}, e AS (SELECT id, sum(s / length(term)) x FROM sc WHERE field = 'content' AND ends_with(term, 'ing') GROUP BY id),
+         b AS (SELECT id FROM sc WHERE field = 'content' AND term = 'parser')
+    SELECT id, round(x, {DIGITS}) AS score FROM e WHERE id NOT IN (SELECT id FROM b)
+    """
+)
+def own_query(spark: SparkSession, folder: str) -> DataFrame:
+    """A leaf of the user's own inside a Boolean query."""
+    return _hits(spark, folder, BooleanQuery(must=(EndingQuery("content", "ing"),), must_not=(_t("parser"),)))
+
+
+@query(
+    f"""
+    WITH {TOK} SELECT id, round(tf * ln((SELECT n FROM nn) / df), {DIGITS}) AS score, 'tf-idf(content:parser, tf=' || tf || ')' AS explanation
+    FROM sc WHERE field = 'content' AND term = 'parser'
+    """
+)
+def own_scorer(spark: SparkSession, folder: str) -> DataFrame:
+    """A scorer of the user's own."""
+    index = records_index(spark, folder)
+    return SearchIndex(index.tables, index.config.with_scorer(TfIdf())).search(TermQuery("content", "parser"), digits=DIGITS)
+
+
 @query(_bool_sql("""
     SELECT id, coalesce(x.score, 0) + coalesce(y.score, 0) score FROM
     (SELECT id, sum(s) * 1.5 score FROM sc WHERE field = 'content' AND term IN ('stale', 'snapshot') AND id IN (

@@ -6,6 +6,7 @@ import json
 import threading
 import time
 import uuid
+from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -401,7 +402,7 @@ class Transaction:
         # as large as one transaction's writes, which the driver holds already
         return self._base.join(F.broadcast(new.select("key")), "key", "left_anti").unionByName(new.where(F.col("value").isNotNull()))
 
-    def scan(self, prefix: bytes = b"") -> Iterator[tuple[bytes, bytes]]:
+    def scan(self, prefix: bytes = b"") -> KeyIterator:
         return scan_rows(self.result(), prefix)
 
 
@@ -410,12 +411,76 @@ def scan(table: DataFrame, prefix: bytes = b"") -> DataFrame:
     return table.where(F.expr("startswith(key, X'" + prefix.hex() + "')")).orderBy("key")
 
 
-def scan_rows(table: DataFrame, prefix: bytes) -> Iterator[tuple[bytes, bytes]]:
-    for r in scan(table, prefix).toLocalIterator():
-        yield bytes(r["key"]), bytes(r["value"])
+class KeyIterator(Iterator[tuple[bytes, bytes]]):
+    """Cursor over rows in byte order of the key, fetched a partition at a time.
+
+    It stands before the first row; ``advance`` moves and tells whether there
+    is a row, ``key`` and ``value`` are None outside, ``error`` is what ended the
+    rows early, and after ``close`` there are none. A Python iterator too.
+    """
+
+    def __init__(self, table: DataFrame):
+        self._rows = table.toLocalIterator()
+        self.key: bytes | None = None
+        self.value: bytes | None = None
+        self.error: Exception | None = None
+        self._open = True
+
+    @property
+    def valid(self) -> bool:
+        return self.key is not None
+
+    def advance(self) -> bool:
+        row = None
+        if self._open:
+            try:
+                row = next(self._rows, None)
+            except Exception as e:
+                self.error = e
+        if row is None:
+            self.close()
+            return False
+        self.key, self.value = bytes(row["key"]), bytes(row["value"])
+        return True
+
+    def __next__(self) -> tuple[bytes, bytes]:
+        if not self.advance():
+            if self.error:
+                raise self.error
+            raise StopIteration
+        return self.key, self.value
+
+    def close(self) -> None:
+        self._open, self.key, self.value = False, None, None
+
+
+def scan_rows(table: DataFrame, prefix: bytes) -> KeyIterator:
+    return KeyIterator(scan(table, prefix))
 
 
-class KeyValueStore:
+class Store(ABC):
+    """What a key-value store of the user's own has to offer."""
+
+    @abstractmethod
+    def transaction(self, work: Callable[[Transaction], None]) -> None: ...
+
+    @abstractmethod
+    def get(self, key: bytes) -> bytes: ...
+
+    @abstractmethod
+    def scan(self, prefix: bytes = b"") -> KeyIterator: ...
+
+    @abstractmethod
+    def close(self) -> None: ...
+
+    def put(self, key: bytes, value: bytes) -> None:
+        self.transaction(lambda tx: tx.put(key, value))
+
+    def delete(self, key: bytes) -> None:
+        self.transaction(lambda tx: tx.delete(key))
+
+
+class KeyValueStore(Store):
     """An ordered key-value store ``key BINARY, value BINARY``; with a path it is persistent.
 
     A transaction costs its own changes: they are one more segment, in which a
@@ -462,13 +527,7 @@ class KeyValueStore:
     def get(self, key: bytes) -> bytes:
         return Transaction(self._now()[1]).get(key)
 
-    def put(self, key: bytes, value: bytes) -> None:
-        self.transaction(lambda tx: tx.put(key, value))
-
-    def delete(self, key: bytes) -> None:
-        self.transaction(lambda tx: tx.delete(key))
-
-    def scan(self, prefix: bytes = b"") -> Iterator[tuple[bytes, bytes]]:
+    def scan(self, prefix: bytes = b"") -> KeyIterator:
         """A snapshot of the rows under a prefix, in byte order."""
         return scan_rows(self._now()[1], prefix)
 
