@@ -111,6 +111,15 @@ def _sizes(spark):
     return spark.createDataFrame(rows + [(1, "big", 0), (2, None, 9), (3, "unlisted", 9), (4, "big", None), (5, "big", 77), (5, "big", 77)], SIZES)
 
 
+def test_no_rank_is_too_large(spark):
+    from textloom.llm.mixing import UNIT_BITS, crossed
+
+    r, one = random.Random(3), 1 << UNIT_BITS
+    rows = [(r.choice([r.randint(0, 1 << 60), r.randint(0, 50), one - 1, one]), r.choice([r.randint(1, 40 * one), one, 3 * one]), r.randint(0, one - 1)) for _ in range(300)]
+    got = spark.createDataFrame(rows, "rank long, units long, start long").select("rank", "units", "start", crossed(F.col("rank"), F.col("units"), F.col("start")))
+    assert all(n == (k * u + u + s) // one - (k * u + s) // one for k, u, s, n in got.collect())
+
+
 def test_mix_exact(spark):
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("tiny", 0.2, 5), ("none", 0.4, 3), (None, 0.1, 1)], TARGETS)
     chosen = mix(_sizes(spark), targets, EXACT, seed=3).cache()

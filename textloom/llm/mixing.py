@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.ranking import global_rank
@@ -72,6 +72,16 @@ def _offset(seed: int, source: str) -> int:
     return int.from_bytes(hashlib.sha256(f"{seed}:{source}".encode()).digest()[:8], "big") % (1 << UNIT_BITS)
 
 
+def crossed(rank: Column, units: Column, start: Column) -> Column:
+    """Whole numbers that the running sum ``start + rank * units`` crosses with one more document.
+
+    The high bits of the rank add whole numbers alone, so only the low ones are
+    multiplied: no rank is too large.
+    """
+    at = rank.bitwiseAND(F.lit((1 << UNIT_BITS) - 1)) * units + start
+    return F.shiftright(at + units, UNIT_BITS) - F.shiftright(at, UNIT_BITS)
+
+
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | str = ALL, seed: int = 0) -> DataFrame:
     """``doc_id, source, n_tokens, copies`` of every chosen document.
 
@@ -93,8 +103,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | str = ALL, see
     ranked = global_rank(rows, ["source"], ["n_tokens", "doc_id"], "mix").drop("position")
     # the plan has at most MAX_SOURCES lines
     ranked = ranked.join(F.broadcast(table), "source")
-    at = F.col("rank") * F.col("units") + F.col("start")
-    copies = F.shiftright(at + F.col("units"), UNIT_BITS) - F.shiftright(at, UNIT_BITS)
+    copies = crossed(F.col("rank"), F.col("units"), F.col("start"))
     return ranked.select("doc_id", "source", "n_tokens", copies.alias("copies")).where(F.col("copies") > 0)
 
 

@@ -332,7 +332,7 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """
-    SELECT container_kind AS kind, (SELECT count(*) FROM documents) AS texts, 0 AS overfull, 0 AS cut_small, 0 AS gaps_or_overlaps, 0 AS could_merge FROM containers
+    SELECT container_kind AS kind, (SELECT count(*) FROM documents) AS texts, 0::BIGINT AS overfull, 0::BIGINT AS cut_small, 0::BIGINT AS gaps_or_overlaps, 0::BIGINT AS could_merge FROM containers
     """
 )
 def p7_sound(spark: SparkSession, folder: str) -> DataFrame:
@@ -381,7 +381,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """
-    SELECT source, (SELECT count(*) FROM documents d WHERE d.source = t.source AND length(text) > 0) > 0 AS has_texts, 0 AS unknown, 0 AS repeated_too_often, 0 AS twice, true AS share_reached
+    SELECT source, (SELECT count(*) FROM documents d WHERE d.source = t.source AND length(text) > 0) > 0 AS has_texts, 0::BIGINT AS unknown, 0::BIGINT AS repeated_too_often, 0::BIGINT AS twice, true AS share_reached
     FROM source_targets t
     """
 )
