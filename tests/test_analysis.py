@@ -130,3 +130,26 @@ def test_hmm():
     assert terms(HmmTokenizer().scan("中文分词 AI")) == ["中文", "分词", "AI"]
     own = HmmModel(emission={"的": (-9.0, -9.0, -9.0, -0.01)})
     assert own.segment("我的书") == ["我", "的", "书"]
+
+
+@pytest.mark.parametrize("mode", ["forward", "reverse", "both"])
+@pytest.mark.parametrize("native", [0, 2000])
+def test_cuttings_on_both_sides_of_the_word_limit(spark, monkeypatch, mode, native):
+    """Long lists are matched by scanning, short ones inside the JVM: the same terms, positions and types."""
+    from textloom.functions import tokenizers
+
+    monkeypatch.setattr(tokenizers, "NATIVE_WORDS", native)
+    r = random.Random(7)
+    words = ["北京", "北京大学", "大学生", "大学", "学生活动", "生活", "活动中心", "中心", "X光", "光学", "é光", "e\u0301光"]
+    texts = ["", None, " ", "北京大学生活动中心", "X光学é光", "a1北京,b。😀京", "e\u0301光学"] + ["".join(r.choice("北京大学生活动中心光Xé1 ,。😀") for _ in range(r.randint(1, 30))) for _ in range(60)]
+    tokenizer = DictionaryTokenizer(words, mode)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for i, got in df.select("i", tokenizer.column(F.col("text"), types=True)).collect():
+        want = [(t.term, t.position, t.type) for t in tokenizer.scan(texts[i] or "")]
+        assert [tuple(t) for t in got or []] == want, texts[i]
+
+
+def test_paths_of_equal_signs_depend_on_the_length_alone():
+    plain, listed = HmmTokenizer(), HmmTokenizer(HmmModel(emission={"龘": (-0.6, -0.8, -0.6, -0.9)}))
+    for n in range(1, 40):
+        assert plain.scan("大" * n) == listed.scan("大" * n)

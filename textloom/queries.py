@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.analyzer import Analyzer, field_tokens, standard_analyzer
-from textloom.functions.codec import decode_postings, encode_postings, key_parts
+from textloom.functions.codec import decode_postings, encode_postings, from_json, key_parts, to_json
 from textloom.functions.filters import ENGLISH_STOP_WORDS, lower, stem
 from textloom.functions.highlight import HighlightOptions
 from textloom.functions.patterns import WHITE_SPACE
 from textloom.functions.scoring import Scorer
 from textloom.functions.tokenizers import DictionaryTokenizer, HmmTokenizer, SimpleTokenizer, StandardTokenizer, WhitespaceTokenizer
-from textloom.model import TextloomError
+from textloom.model import Posting, TextloomError
 from textloom.operators import postings as lists
 from textloom.operators.heavy_keys import heavy_keys, once, profile_keys
-from textloom.operators.search_index import SearchIndex
+from textloom.operators.search_index import SearchIndex, add, new_index
 from textloom.plans.ast import BooleanQuery, FuzzyQuery, MatchQuery, PhraseQuery, PrefixQuery, Query, TermQuery, TermsQuery
 from textloom.runtime import materialize, read_table, shared_dir
 from textloom.sources.corpora import corpus, corpus_of_records
@@ -32,13 +32,13 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    def add(f):
+    def register(f):
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
         return f
 
-    return add
+    return register
 
 
 # ---------------------------------------------------------------- heavy keys
@@ -904,7 +904,7 @@ def rebuild_equal(spark: SparkSession, folder: str) -> DataFrame:
     return records_index(spark, folder).rebuild().tables.terms.select("field", "term", "df", "total_tf")
 
 
-@query(f"WITH {TOK} SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM dic) AS terms, (SELECT count(*) FROM pos) AS postings, 0 AS n_problems")
+@query(f"WITH {TOK} SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM dic) AS terms, (SELECT count(*) FROM pos) AS postings, 0::BIGINT AS n_problems")
 def check_report(spark: SparkSession, folder: str) -> DataFrame:
     return records_index(spark, folder).check().withColumnRenamed("problems", "n_problems")
 
@@ -979,6 +979,79 @@ def stored_index(spark: SparkSession, folder: str) -> DataFrame:
     return _stored(spark, records_index(spark, folder)).snapshot().tables.terms.select("field", "term", "df", "total_tf")
 
 
+@query(
+    """
+    WITH t AS (SELECT source, max_repeat, row_number() OVER (ORDER BY source) n FROM source_targets), k AS (SELECT * FROM t WHERE n > 1),
+    w AS (SELECT 'source' AS field, lower(source) AS term FROM k UNION ALL SELECT 'repeat', CAST(max_repeat AS VARCHAR) FROM k WHERE n > 2 UNION ALL SELECT 'repeat', unnest(['seldom', 'seldom']) FROM k WHERE n = 2)
+    SELECT field, term, count(*) - CASE WHEN term = 'seldom' THEN 1 ELSE 0 END AS df, count(*) AS total_tf FROM w GROUP BY field, term
+    """
+)
+def temporary_index(spark: SparkSession, folder: str) -> DataFrame:
+    """An index in memory: a document for each source added one at a time, the first then deleted and the second put in place again."""
+    rows = sorted((r["source"], str(r["max_repeat"])) for r in read_table(spark, folder, "source_targets").collect())
+    index = new_index(spark)
+    for source, repeat in rows:
+        index = add(index, source, {"source": source, "repeat": repeat})
+    index = add(index.delete(rows[0][0]), rows[1][0], {"source": rows[1][0], "repeat": "seldom seldom"})
+    out = index.tables.terms.select("field", "term", "df", "total_tf")
+    index.close()
+    return out
+
+
+@query(
+    """
+    SELECT "case", CAST(hits AS BIGINT) AS hits FROM (VALUES ('empty Boolean', 0), ('Boolean of empty Booleans', 0), ('no query', 0), ('empty term', 0), ('empty match', 0), ('empty phrase', 0), ('stop words only', 0), ('unknown field', 0)) t("case", hits)
+    UNION ALL SELECT 'nothing excluded', CAST(sum(document_count) AS BIGINT) FROM stats
+    """
+)
+def empty_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries without content match nothing; only the negation of nothing matches all."""
+    index = records_index(spark, folder)
+    cases = {
+        "empty Boolean": BooleanQuery(), "Boolean of empty Booleans": BooleanQuery(must=(BooleanQuery(),)), "no query": None, "empty term": TermQuery("content", ""), "empty match": MatchQuery("content", ""),
+        "empty phrase": PhraseQuery("content", ""), "stop words only": MatchQuery("content", "the and of", "and"), "unknown field": TermQuery("nowhere", "parser"), "nothing excluded": BooleanQuery(must_not=(TermQuery("content", ""),)),
+    }
+    return spark.createDataFrame([(name, index.search(q).count()) for name, q in cases.items()], "case string, hits long")
+
+
+@query("SELECT source AS text, 0 AS position, lower(source) AS term, 0 AS start_offset, CAST(octet_length(encode(source)) AS INT) AS end_offset FROM source_targets UNION ALL SELECT 'again', 1, 'end', 4, 7")
+def token_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The cursor over tokens, reset from text to text; the last text has a stop word and another token."""
+    stream, rows = standard_analyzer().stream(""), []
+    texts = [(r["source"], r["source"]) for r in read_table(spark, folder, "source_targets").select("source").collect()]
+    for name, text in [*texts, ("again", "the end")]:
+        stream.reset(text)
+        while stream.next():
+            t = stream.token
+            rows.append((name, t.position, t.term, t.start_offset, t.end_offset))
+    return spark.createDataFrame(rows, "text string, position int, term string, start_offset int, end_offset int")
+
+
+@query(f"""
+    WITH {TOK}, p AS (SELECT id, tf FROM tfs WHERE field = 'content' AND term = 'parser'), w AS (SELECT unnest(['', '0/doc', '0/doc-00000200', '1/', '1/shared', '9']) target)
+    SELECT target, first AS id, coalesce(tf, 0) AS tf FROM (SELECT target, (SELECT min(id) FROM p WHERE id >= target) first FROM w) LEFT JOIN p ON id = first
+    """)
+def posting_cursor(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the cursor over one term's postings stands after jumps to ascending targets."""
+    found = records_index(spark, folder).postings("content", "parser").collect()
+    cursor, rows = lists.PostingCursor([Posting(r["id"], tuple(r["positions"])) for r in found]), []
+    for target in ("", "0/doc", "0/doc-00000200", "1/", "1/shared", "9"):
+        cursor.skip_to(target)
+        rows.append((target, cursor.key, cursor.posting.frequency if cursor.valid else 0))
+    return spark.createDataFrame(rows, "target string, id string, tf int")
+
+
+@query("""
+    WITH t AS (SELECT unnest(map_entries(total_field_length)) e FROM stats)
+    SELECT '{"field":"' || e.key || '","total":' || CAST(sum(e.value) AS BIGINT) || '}' AS json, e.key AS field, CAST(sum(e.value) AS BIGINT) AS total FROM t GROUP BY e.key
+    """)
+def json_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata of the index as JSON and read back."""
+    _, totals = records_index(spark, folder).stats()
+    coded = [to_json({"field": f, "total": n}) for f, n in totals.items()]
+    return spark.createDataFrame([(c.decode(), from_json(c)["field"], from_json(c)["total"]) for c in coded], "json string, field string, total long")
+
+
 @query("SELECT lower(source) AS term, count(*) AS df, count(*) AS total_tf FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as a stream into a stored index; the terms of their source."""

@@ -31,8 +31,10 @@ def ship(spark: SparkSession) -> None:
         return
     sc.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
     if not sc.master.startswith("local"):
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "textloom"), "zip", home, "textloom")
-        sc.addPyFile(archive)
+        made = tempfile.mkdtemp()
+        # Spark takes its own copy and hands it to the executors
+        sc.addPyFile(shutil.make_archive(os.path.join(made, "textloom"), "zip", home, "textloom"))
+        atexit.register(shutil.rmtree, made, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
