@@ -23,7 +23,7 @@ ROWS, BANDS = 7, 90
 
 #: Bytes of bags that one task makes signatures of.
 SIGNATURE_BYTES = 4 << 20
-#: A band with more bags is joined in parts of about this size; such bands are found in one of so many bags.
+#: A band with more bags is cut into groups of about this size; such bands are found in one of so many bags.
 FULL_BAND = 1000
 SAMPLED = 64
 
@@ -150,13 +150,13 @@ def bags_of_terms(tokens: DataFrame, record: list[str], term: str, multiset: boo
 
 
 def band_keys(bags: DataFrame, key: str, rows: int = ROWS, bands: int = BANDS, full: DataFrame | None = None) -> DataFrame:
-    """``key, band, part, side``: one line per bag and band, ``band`` being a hash of the band's number and values.
+    """``key, band``: one line per bag and band, ``band`` being a hash of the band's number and values.
 
     Every item weighs 1, so registers agree with the probability of the very
     similarity that is verified, whatever the share of the bags with an item.
-    Bands listed in ``full`` (``band, parts``) are cut: on side 1 a bag lies in
-    all parts, on side 2 in one of them, so that a row of one side meets each
-    bag of the other once. All other lines are for both sides, 0.
+    Bands listed in ``full`` (``band, parts``) are cut into cells: a bag is of
+    one of so many groups, and there is a cell for each two groups. It lies in
+    the cells of its own group, so that any two bags meet in one.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,12 +180,11 @@ def band_keys(bags: DataFrame, key: str, rows: int = ROWS, bands: int = BANDS, f
     out = bags.select(key, "items").mapInArrow(work, f"key {kind}, bands array<long>")
     out = out.select(F.col("key").alias(key), F.explode("bands").alias("band"))
     if full is None:
-        return out.select(key, "band", F.lit(0).alias("part"), F.lit(0).alias("side"))
+        return out
     out = out.join(broadcast_if_small(full), "band", "left")
-    line = lambda part, side: F.struct(part.cast("int").alias("part"), F.lit(side).alias("side"))
-    cut = F.concat(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: line(i, 1)), F.array(line(F.pmod(F.xxhash64(key), F.col("parts")), 2)))
-    lines = F.when(F.col("parts").isNull(), F.array(line(F.lit(0), 0))).otherwise(cut)
-    return out.select(key, "band", F.inline(lines))
+    group = F.pmod(F.xxhash64(F.lit(3), key), F.col("parts"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("band", F.least(group, j.cast("long")), F.greatest(group, j.cast("long"))))
+    return out.select(key, F.explode(F.when(F.col("parts").isNull(), F.array("band")).otherwise(cells)).alias("band"))
 
 
 def similar_pairs(bags: DataFrame, key: str, threshold: tuple[int, int], rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
@@ -212,11 +211,10 @@ def similar_pairs(bags: DataFrame, key: str, threshold: tuple[int, int], rows: i
     some = band_keys(reps.where(F.pmod(F.xxhash64(F.lit(5), key), F.lit(SAMPLED)) == 0), key, rows, bands)
     full = some.groupBy("band").agg((F.count("*") * SAMPLED).alias("n")).where(F.col("n") >= FULL_BAND)
     keys = band_keys(reps, key, rows, bands, materialize(full.select("band", F.ceil(F.col("n") / FULL_BAND).cast("int").alias("parts")), "full"))
-    # both sides are one exchange; which rows of a full band are for which side is asked of the pair, lest it part them
-    a = keys.select(F.col(key).alias("a"), F.col("side").alias("sa"), "band", "part")
-    b = keys.select(F.col(key).alias("b"), F.col("side").alias("sb"), "band", "part")
-    met = a.join(b, ["band", "part"]).where((F.col("a") < F.col("b")) & (F.col("sa") * 3 + F.col("sb")).isin(0, 5))
-    candidates = materialize(met.select("a", "b").distinct(), "candidates")
+    # both sides are one exchange
+    a = keys.select(F.col(key).alias("a"), "band")
+    b = keys.select(F.col(key).alias("b"), "band")
+    candidates = materialize(a.join(b, "band").where(F.col("a") < F.col("b")).select("a", "b").distinct(), "candidates")
     left = reps.select(F.col(key).alias("a"), F.col("items").alias("xa")).join(broadcast_if_small(candidates), "a")
     left = broadcast_if_small(materialize(left, "left"))
     both = reps.select(F.col(key).alias("b"), F.col("items").alias("xb")).join(left, "b")
