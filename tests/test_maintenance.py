@@ -140,6 +140,19 @@ def test_segments(spark, tmp_path):
     assert store.rebuild().stats()[0] == len(state)
 
 
+def test_forks_go_their_own_way(spark, tmp_path):
+    one = StoredIndex(spark, str(tmp_path / "one"))
+    one.add_batch(docs(spark, [("1", {C: "alpha"}), ("2", {C: "beta"})]))
+    two = one.fork(str(tmp_path / "two"))
+    two.add_batch(docs(spark, [("2", {C: "gamma"}), ("3", {C: "alpha"})]))
+    one.delete("1")
+    assert sorted(r["id"] for r in one.snapshot().all_ids().collect()) == ["2"] and report(one.snapshot()) == (1, [])
+    assert sorted(r["id"] for r in two.snapshot().all_ids().collect()) == ["1", "2", "3"] and report(two.snapshot()) == (3, [])
+    two.rebuild()
+    two.vacuum(1)
+    assert two.snapshot().term_info(C, "alpha") == (2, 2) and one.snapshot().document("2") == {C: "beta"}
+
+
 def test_small_segments_merge(spark, tmp_path):
     store = StoredIndex(spark, str(tmp_path / "index"))
     for i in range(6):

@@ -836,11 +836,20 @@ def _summary_sql(tokens: str, docs: str) -> str:
     """
 
 
-def _stored(spark: SparkSession, index: SearchIndex) -> StoredIndex:
-    """``index`` as a version of a stored one."""
-    store = StoredIndex(spark, f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}")
-    store.write(lambda _: index)
-    return store
+_stores: dict[tuple[str, str], StoredIndex] = {}
+
+
+def _new_store(spark: SparkSession) -> StoredIndex:
+    return StoredIndex(spark, f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}")
+
+
+def _stored(spark: SparkSession, folder: str) -> StoredIndex:
+    """A stored index of its own that begins as that of all current records, which is written once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stores:
+        _stores[key] = _new_store(spark)
+        _stores[key].write(lambda _: records_index(spark, folder))
+    return _stores[key].fork(f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}")
 
 
 @query(
@@ -855,7 +864,7 @@ def _stored(spark: SparkSession, index: SearchIndex) -> StoredIndex:
 )
 def upsert_batch(spark: SparkSession, folder: str) -> DataFrame:
     """All documents of one category get the content "Renewed": the old terms go, the new one comes. The change is a segment of a stored index."""
-    store = _stored(spark, records_index(spark, folder))
+    store = _stored(spark, folder)
     some = store.snapshot().tables.documents.where(F.col("fields").getItem("category") == "book")
     new = some.select("id", F.create_map(F.lit("content"), F.lit("Renewed"), F.lit("category"), F.lit("book")).alias("fields"))
     return _summary(store.add_batch(new))
@@ -866,14 +875,14 @@ def upsert_repeated(spark: SparkSession, folder: str) -> DataFrame:
     """All accepted rows of the log in one batch, in which ids repeat: of each the last in the order of arrival stays."""
     rows = read_table(spark, folder, "records").where(accepted(F.col("id"), F.col("fields")))
     rows = rows.select(F.concat_ws("/", F.col("shard").cast("string"), "id").alias("id"), F.map_filter("fields", lambda k, v: v.isNotNull()).alias("fields"), "seq")
-    store = StoredIndex(spark, f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}")
+    store = _new_store(spark)
     return _summary(store.add_batch(rows, "seq"))
 
 
 @query(f"WITH {TOK}" + _summary_sql("SELECT id, field, term, tf FROM tfs WHERE NOT ends_with(id, '/shared/glossary')", "SELECT id, fields FROM docs WHERE NOT ends_with(id, '/shared/glossary')"))
 def delete_docs(spark: SparkSession, folder: str) -> DataFrame:
     """The glossary of every shard is deleted from a stored index."""
-    store = _stored(spark, records_index(spark, folder))
+    store = _stored(spark, folder)
     return _summary(store.delete_all(store.snapshot().tables.documents.where(F.col("id").endswith("/shared/glossary"))))
 
 
@@ -886,7 +895,7 @@ def delete_docs(spark: SparkSession, folder: str) -> DataFrame:
 )
 def refused_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Every change that is refused, with its error and the number of documents after it: each leaves the stored index as it was."""
-    store = _stored(spark, records_index(spark, folder))
+    store = _stored(spark, folder)
     batch = lambda *rows: spark.createDataFrame([("good", {"content": "x"}), *rows], "id string, fields map<string,string>")
     calls = {
         "blank id": lambda: store.add_batch(batch((" ", {"content": "x"}))), "no fields": lambda: store.add_batch(batch(("b", {}))), "blank field": lambda: store.add_batch(batch(("b", {" ": "x"}))),
@@ -929,7 +938,7 @@ def check_damaged(spark: SparkSession, folder: str) -> DataFrame:
 def segmented_index(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of each of five parts added one batch after the other, each a segment; the whole is the same."""
     docs = records_index(spark, folder).tables.documents
-    store = StoredIndex(spark, f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}")
+    store = _new_store(spark)
     for part in range(5):
         store.add_batch(docs.where(F.pmod(F.xxhash64("id"), F.lit(5)) == part))
     return store.snapshot().tables.terms.select("field", "term", "df", "total_tf")
@@ -976,7 +985,7 @@ def key_value_store(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {TOK} SELECT field, term, df, total_tf FROM dic")
 def stored_index(spark: SparkSession, folder: str) -> DataFrame:
     """The index published as a new version of a stored one and read back."""
-    return _stored(spark, records_index(spark, folder)).snapshot().tables.terms.select("field", "term", "df", "total_tf")
+    return _stored(spark, folder).snapshot().tables.terms.select("field", "term", "df", "total_tf")
 
 
 @query(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from textloom.model import DOCUMENTS, POSTINGS, STATS, CorruptIndexError, DocumentMissingError, InvalidDocumentError, KeyNotFoundError, StoreClosedError
 from textloom.operators.index_tables import BLANK, IndexTables
 from textloom.operators.search_index import IndexConfig, SearchIndex, fresh_tables, new_index
-from textloom.runtime import broadcast_if_small, materialize, scope, shared_dir
+from textloom.runtime import broadcast_if_small, estimated_bytes, materialize, scope, shared_dir
 
 
 #: Seconds after which a writer that no longer renews its claim counts as dead.
@@ -66,7 +66,8 @@ class Folder:
         return self.manifest()["version"]
 
     def at(self, part: str, table: str) -> str:
-        return f"{self.path}/{part}/{table}"
+        """Where a table of a part lies; a part of another folder has its whole path for a name."""
+        return f"{part if '/' in part else f'{self.path}/{part}'}/{table}"
 
     def commit(self, base: int, tables: list[tuple[str, DataFrame]], say: Callable[[str], dict]) -> int:
         """Write all tables into a new part and publish version ``base + 1`` in one rename.
@@ -184,6 +185,8 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 LITERAL_IDS = 2000
 #: From so many segments on, those of a key-value store are merged.
 MERGE_SEGMENTS = 8
+#: Tables up to so many bytes are written as one file.
+ONE_FILE = 4 << 20
 #: Versions whose parts a manifest remembers.
 HISTORY = 8
 
@@ -225,6 +228,17 @@ class StoredIndex:
             raise StoreClosedError(self._folder.path)
         return self._folder.manifest()
 
+    def fork(self, path: str) -> "StoredIndex":
+        """A new index in ``path`` that begins as this one is now and goes its own way.
+
+        Nothing is copied: its first segments are those of this index, which
+        must not be vacuumed before the new one has merged or rebuilt them.
+        """
+        manifest, folder = self._manifest(), Folder(self._folder.spark, path)
+        here = [x | {"part": x["part"] if "/" in x["part"] else f"{self._folder.path}/{x['part']}"} for x in manifest["segments"]]
+        folder.commit(0, [], lambda part: manifest | {"segments": here, "history": []})
+        return StoredIndex(folder.spark, path, self.config)
+
     def _table(self, segments: list[dict], name: str) -> DataFrame:
         """Rows of the segments that no later one of them has removed."""
         spark = self._folder.spark
@@ -260,7 +274,8 @@ class StoredIndex:
     def _sorted(name: str, df: DataFrame) -> DataFrame:
         """The order in which a reader prunes: all postings of a term lie together, in order of id."""
         keys = {"postings": ("field", "term", "id"), "terms": ("field", "term")}.get(name, ("id",))
-        return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        # what one file holds needs no ranges
+        return (df.coalesce(1) if estimated_bytes(df) <= ONE_FILE else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
     def _commit(self, manifest: dict, keep: list[dict], tables: dict[str, DataFrame], segment: dict, documents: int, lengths: dict[str, int]) -> None:
         def say(part: str) -> dict:
