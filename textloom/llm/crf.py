@@ -153,9 +153,14 @@ def train_skip(features: np.ndarray, labels: np.ndarray, lengths: Sequence[int],
                 skip += 3.0 * rate * sg / np.sqrt(gs)
             diff = -np.exp(marg)
             diff[np.arange(len(b.labels)), b.labels] += 1.0
-            grad = np.add.reduceat(diff.astype(np.float32).take(b.by, axis=0), b.first, axis=0) / b.n - l2 * w[b.used]
-            gw[b.used] += grad**2
-            w[b.used] += rate * grad / np.sqrt(gw[b.used])
+            grad = np.add.reduceat(diff.astype(np.float32).take(b.by, axis=0), b.first, axis=0)
+            now, past = w.take(b.used, axis=0), gw.take(b.used, axis=0)
+            grad *= np.float32(1 / b.n)
+            grad -= np.float32(l2) * now
+            past += grad * grad
+            gw[b.used] = past
+            now += np.float32(rate) * grad / np.sqrt(past)
+            w[b.used] = now
             w[0] = 0.0
             tg = (b.steps - pair) / b.n
             gt += tg**2
