@@ -21,8 +21,8 @@ TOP_WEIGHT = 10
 #: with 0.999997.
 ROWS, BANDS = 7, 90
 
-#: Bytes of bags that one task makes signatures of.
-SIGNATURE_BYTES = 4 << 20
+#: Most bytes of bags that one task makes signatures of.
+SIGNATURE_BYTES = 64 << 20
 #: A band with more bags is cut into groups of about this size; such bands are found in one of so many bags.
 FULL_BAND = 1000
 SAMPLED = 64
@@ -204,7 +204,8 @@ def similar_pairs(bags: DataFrame, key: str, threshold: tuple[int, int], rows: i
     classes = materialize(marked.groupBy("_f", "_g").agg(F.min(key).alias("rep"), F.count("*").alias("_size")), "classes")
     members = materialize(join_counted(marked, classes, ["_f", "_g"], "_size").select("rep", key), "members")
     # signatures cost much for each byte: as many files as make tasks enough, by the exchange that the join needs anyway
-    tasks = max(2 * bags.sparkSession.sparkContext.defaultParallelism, estimated_bytes(bags) // SIGNATURE_BYTES)
+    spark = bags.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(bags) // SIGNATURE_BYTES)
     reps = materialize(bags.repartition(tasks, key).join(classes.select(F.col("rep").alias(key)), key, "left_semi"), "reps")
     discard(marked, classes)
     # full bands show in a sample of the bags; what it misses costs time and no links
