@@ -21,7 +21,7 @@ N_LABELS = 1 + 2 * len(KINDS)
 CLASSES = np.array([0] + [1 + k for k in range(len(KINDS)) for _ in range(2)])
 
 #: Documents made up for fitting, a bound of the model and of nothing else.
-FIT_DOCUMENTS = 8000
+FIT_DOCUMENTS = 9000
 #: Characters of the texts that are read at once; a longer text is read alone.
 READ_AT_ONCE = 800_000
 

@@ -40,42 +40,42 @@ STREETS_ZH = "人民 中山 解放 建设 和平 长江 文化 新华 东风 北
 #: What stands before a name, a phone number, an identity number and an address, by language.
 LABELS = {
     "en": {
-        "N": "Name|Full name|Contact|Contact person|Sender|Recipient|Owner|Assignee|Reviewer|Author|Customer|Patient|Applicant|To|Cc|Attn|Attendee|Maintainer|Editor|Witness|Tenant|Reported by|Reviewed-by|Signed-off-by|Approved by|Written by|Co-authored-by|user|customer|contact",
+        "N": "Name|Full name|Contact|Contact person|Sender|Recipient|Owner|Assignee|Reviewer|Author|Customer|Patient|Applicant|To|Cc|Attn|Attendee|Maintainer|Editor|Witness|Tenant|Reviewed-by|Signed-off-by|Approved by|Written by|Co-authored-by|user|customer|contact",
         "P": "Phone|Phone number|Mobile|Cell|Fax|Telephone|Tel|Tel.|Office phone|Call|Hotline|WhatsApp|Reach me on|ring|mobile|tel|phone|fax",
         "I": "Passport|Passport no.|Passport number|SSN|Social security no.|Social security number|Tax number|Tax ID|National insurance number|ID card|ID number|Identity card|NI no.|ssn|passport|id|taxpayer number",
         "A": "Address|Home address|Street|Office|Delivery address|Ship to|Billing address|Residence|addr|address|Mailing address|visit us at",
         "E": "Email|E-mail|Mail|Reply-To|mail|email|Contact|write to|user|login",
     },
     "de": {
-        "N": "Name|Ansprechpartner|Kontakt|Absender|Empfänger|Bearbeiter|Kundin|Kunde|Verfasser|An|Von|Teilnehmer|Autor|Vertreter|Mieter|Zuständig|Gemeldet von|Geprüft von|Erstellt von",
+        "N": "Name|Ansprechpartner|Kontakt|Absender|Empfänger|Bearbeiter|Kundin|Kunde|Verfasser|An|Von|Teilnehmer|Autor|Vertreter|Mieter|Zuständig|Geprüft von|Erstellt von",
         "P": "Telefon|Telefonnummer|Mobil|Handy|Fax|Rufnummer|Tel|Tel.|Durchwahl|Rückruf|erreichbar unter",
         "I": "Ausweisnummer|Reisepass|Passnummer|Personalausweis|Steuernummer|Steuer-ID|Sozialversicherungsnummer|Personalausweis Nr.|Ausweis",
         "A": "Adresse|Anschrift|Wohnort|Straße|Lieferadresse|Rechnungsadresse|Büro|wohnhaft|Postanschrift",
         "E": "E-Mail|Mail|Antwort an|Kontakt|schreiben an",
     },
     "es": {
-        "N": "Nombre|Contacto|Remitente|Destinatario|Cliente|Responsable|Autor|Autora|Para|De|Titular|Paciente|Revisado por|Enviado por|Firmado por",
+        "N": "Nombre|Contacto|Remitente|Destinatario|Cliente|Responsable|Autor|Autora|Para|De|Titular|Paciente|Revisado por|Firmado por",
         "P": "Teléfono|Móvil|Tel|Tel.|Fax|Llame al|Celular|Número de contacto",
         "I": "DNI|NIE|Pasaporte|Número de pasaporte|Documento de identidad|NIF|Seguridad social",
         "A": "Dirección|Domicilio|Calle|Envío a|Oficina|Dirección de entrega|residente en",
         "E": "Correo|Correo electrónico|Email|Escriba a",
     },
     "fr": {
-        "N": "Nom|Contact|Expéditeur|Destinataire|Client|Cliente|Responsable|Auteur|À|De|Titulaire|Patient|Rédigé par|Relu par|Envoyé par|Signalé par",
+        "N": "Nom|Contact|Expéditeur|Destinataire|Client|Cliente|Responsable|Auteur|À|De|Titulaire|Patient|Rédigé par|Relu par|Envoyé par",
         "P": "Téléphone|Portable|Mobile|Tél|Tél.|Fax|Appelez le|Joignable au",
         "I": "Passeport|Numéro de passeport|Carte d'identité|Numéro de sécurité sociale|Sécurité sociale|Numéro fiscal|NIR",
         "A": "Adresse|Domicile|Livraison|Bureau|Adresse postale|demeurant|domicile",
         "E": "Courriel|Mail|E-mail|Écrire à",
     },
     "nl": {
-        "N": "Naam|Contactpersoon|Afzender|Ontvanger|Klant|Behandelaar|Auteur|Aan|Van|Huurder|Beoordeeld door|Geschreven door|Gemeld door",
+        "N": "Naam|Contactpersoon|Afzender|Ontvanger|Klant|Behandelaar|Auteur|Aan|Van|Huurder|Beoordeeld door|Geschreven door",
         "P": "Telefoon|Telefoonnummer|Mobiel|Tel|Tel.|Fax|Bel|Bereikbaar op",
         "I": "BSN|Burgerservicenummer|Paspoort|Paspoortnummer|Identiteitskaart|Sofinummer|Belastingnummer",
         "A": "Adres|Woonadres|Bezorgadres|Kantoor|Postadres|woont op",
         "E": "E-mail|Mail|Antwoord aan|Stuur naar",
     },
     "pt": {
-        "N": "Nome|Contacto|Contato|Remetente|Destinatário|Cliente|Responsável|Autor|Para|De|Titular|Paciente|Revisto por|Enviado por|Escrito por",
+        "N": "Nome|Contacto|Contato|Remetente|Destinatário|Cliente|Responsável|Autor|Para|De|Titular|Paciente|Revisto por|Escrito por",
         "P": "Telefone|Telemóvel|Celular|Tel|Tel.|Fax|Ligue para|Número de contato",
         "I": "CPF|NIF|Passaporte|Número do passaporte|Bilhete de identidade|Cartão de cidadão|RG|Número fiscal",
         "A": "Morada|Endereço|Residência|Entrega|Escritório|residente na|Endereço de entrega",
@@ -103,7 +103,7 @@ PROSE = {
         "I had lunch with {N} and we talked about the budget.", "{N} moved to {A} last spring.", "You can reach {N} on {P} after six.", "Could you forward this to {N} ({E})?", "{N} will chair the meeting, {N} takes the minutes.",
         "The parcel went to {A} by mistake.", "According to {N}, the report is late.", "My number changed, it is {P} now.", "Her passport, {I}, expires in May.", "{N} <{E}> wrote:", "{N}, {A}", "{N} ({E})", "{N}, {P}", "Best regards,\n{N}", "Kind regards\n{N}\n{P}",
         "Dear {N},\nthank you for the letter.", "Mr. {N} and Mrs. {N} signed the lease for {A}.", "Prof. {N} gave the lecture.", "Dr. {N} is on holiday.", "Please call {P} or write to {E}.", "{N} joined the team in June.", "We hired {N} as an accountant.",
-        "Thanks, {N}!", "Thanks to {N} for the review.", "a friend of {N} came by", "the desk of {N} is empty", "My neighbour {N} is away.", "Our new colleague {N} comes from {A}.", "my boss {N} agreed", "This is the number of {N}: {I}", "the wife of {N}", "My brother {N} lives at {A}, his phone is {P}.", "It was {N} who found the key.", "they still have my old card {I} on file", "the form lists {I} as my tax number", "my ID number is {I}, keep it private", "the ID on it is {I}", "somebody pasted {I} into the chat", "remove {I} from the list, please", "drop it off at {A} before noon", "we live at {A} now", "{N}\n{A}\n{P}\n{E}", "{N}\n{P}\n{E}", "{N}\n{A}",
+        "Thanks, {N}!", "For details contact {N} at {E}.", "You may contact {N} or {N}.", "Thanks to {N} for the review.", "a friend of {N} came by", "the desk of {N} is empty", "My neighbour {N} is away.", "Our new colleague {N} comes from {A}.", "my boss {N} agreed", "This is the number of {N}: {I}", "the wife of {N}", "My brother {N} lives at {A}, his phone is {P}.", "It was {N} who found the key.", "they still have my old card {I} on file", "the form lists {I} as my tax number", "my ID number is {I}, keep it private", "the ID on it is {I}", "somebody pasted {I} into the chat", "remove {I} from the list, please", "drop it off at {A} before noon", "we live at {A} now", "{N}\n{A}\n{P}\n{E}", "{N}\n{P}\n{E}", "{N}\n{A}",
         "{N} | {E} | {P}", "| {N} | {A} |", "{N};{E};{P};{I}", '{{"name": "{N}", "email": "{E}", "phone": "{P}"}}', '{{"owner": "{N}", "address": "{A}", "id": "{I}"}}', 'login={E} street="{A}" nr={I}', "name={N} tel={P}", "From: {N} <{E}>", "To: {N} <{E}>", "--\n{N}\n{P}", "-- \n{N}\n{A}\n{P}\n{E}",
         "@maintainers ask {N} about it", "cc {N}, {N}", "The record of {N} carries the number {I}.", "a letter for {N}, {A}", "{N} has the number {I} and the phone {P}.", "talk to {N}", "signed {N}", "{N} said so", "mailed {E} yesterday, no answer", "the address {A} appears twice",
     ],
@@ -176,7 +176,7 @@ TEXT_ZH = (
 NOUNS_ZH = "程序 模块 接口 线程 进程 队列 目录 窗口 按钮 菜单 算法 变量 函数 对象 表格 图片 视频 音乐 电影 文章 句子 词语 单词 段落 标题 字段 记录 索引 缓存 硬盘 内存 网页 浏览器 编译器 解释器 计算器 处理器 存储器 过滤器 监视器 备份 镜像 快照 日志 报表 任务 计划 步骤 阶段 版本 分支 补丁 工具 组件 服务 客户端 服务器 数据库 结果 错误 警告 消息 通知 请求 响应 规则 参数 选项 密码 账号 订单 商品 价格 仓库 车站 机场 医院 学校 教室 花园 河流 山脉 天气 季节 早晨 傍晚".split()
 VERBS_ZH = "删除 更新 替换 加载 压缩 丢弃 锁定 移动 复制 粘贴 检查 比较 统计 收集 合并 拆分 排序 读取 写入 保存 发送 接收 打开 关闭 启动 停止 跳过 忽略 隐藏 显示 修改 增加 减少 返回 等待 推迟 取消 验证 分析 生成 导出 导入 上传 下载 重复 嵌套 覆盖 清空 限制 允许 拒绝 需要 使用 支持 影响 准备 完成 报告".split()
 ADJECTIVES_ZH = "新的 旧的 空的 短小的 很长的 重要的 常见的 罕见的 隐藏的 全部 多余的 临时的 默认的 错误的 正确的 每个 这个 我们的 较小的 少量 大量 许多 第一个 最后一个".split()
-ADVERBS_ZH = "很快 慢慢地 经常 偶尔 没有办法 在夜里 每天 每小时 突然 仍然 立即 同时 为了安全 因为下雨 由于故障 按照顺序 在大多数时候 从来不 已经 正在 再次 直到早上 毫无准备地 速度很快地".split()
+ADVERBS_ZH = "很快 慢慢地 经常 偶尔 没有办法 在夜里 每天 每小时 突然 仍然 立即 同时 为了安全 因为下雨 由于故障 按照顺序 在大多数时候 从来不 已经 正在 再次 直到早上 毫无准备地 速度很快地 在高峰的时候 在空闲的时候 在高温下 慢得惊人 好得出奇 快到极点 经常性地 高度一致地 方便地 万一需要时 任何时候".split()
 
 _ONSET = "b c d f g h j k l m n p r s t v w z br ch cl cr dr fl fr gr kl kn pl pr qu sch sh sl sp st str th tr tw wh".split()
 _VOWEL = "a e i o u a e i o ai au ea ee ei ie oo ou y".split()
@@ -215,6 +215,9 @@ class Maker:
                 out += chr(r.randint(0x4E00, 0x9FA5))
         return out
 
+    def hexes(self, n: int) -> str:
+        return "".join(self.r.choice("0123456789abcdef") for _ in range(n - 1)) + self.r.choice("abcdef0123")
+
     def digits(self, pattern: str) -> str:
         return "".join(str(self.r.randint(0, 9)) if c == "0" else c for c in pattern)
 
@@ -354,7 +357,7 @@ class Maker:
         n = r.randint(1, 999)
         return r.choice(
             [
-                lambda: f"order {d(8)}", lambda: f"ticket {d(r.randint(3, 8))}", lambda: f"invoice {d(7)}", lambda: f"(build {d(8)}.{n})", lambda: f"build {d(8)}", lambda: f"({d(r.randint(2, 9))})", lambda: f"rev {d(5)}", lambda: f"doc-{d(r.randint(3, 8))}", lambda: f"({r.choice(['doc', 'ref', 'job', 'run'])}-{d(r.randint(3, 8))})", lambda: f"part_{n}", lambda: f"({self.word(1, 1)}_{n})", lambda: f"v{n % 20}.{n % 17}.{n % 13}", lambda: f"({self.word(1, 1)}@v{n % 9}.{n % 7})", lambda: f"{r.choice('ABCJKR')}{r.choice('EOIU')}{r.choice('RSTX')}-{d(r.randint(3, 5))}", lambda: f"({r.choice('ABCJKR')}{r.choice('EOIU')}{r.choice('RSTX')}-{d(r.randint(3, 5))})", lambda: f"[{d(r.randint(2, 6))}]", lambda: f"{n}.{d(2)}", lambda: f"({n}.{d(2)})", lambda: f"{n}.{d(3)} ms", lambda: f"{n},{d(3)}", lambda: f"{n} %", lambda: f"port {d(4)}", lambda: f"10.{n % 256}.{n % 99}.{n % 7}", lambda: f"({n % 256}.0.2.{n % 99}:{d(4)})", lambda: f"192.168.{n % 9}.{n % 256}", lambda: f"20{d(2)}-0{n % 9 + 1}-1{n % 9}", lambda: f"(20{d(2)}-0{n % 9 + 1}-1{n % 9}T1{n % 9}:2{n % 9}:3{n % 9}Z)", lambda: f"1{n % 9}:2{n % 9}:0{n % 9}", lambda: f"{d(7)} bytes", lambda: f"({r.choice(['read', 'wrote', 'sent', 'got'])} {d(r.randint(5, 9))} bytes)", lambda: f"sha {''.join(r.choice('0123456789abcdef') for _ in range(r.choice([8, 16])))}", lambda: f"https://{self.word()}.example/{d(5)}", lambda: f"({n % 50}-{n % 50 + 3}-{n % 50 + 9}-{d(2)})", lambda: f"(lines {n % 50}-{n % 50 + 2}-{n % 50 + 9}-{n})", lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"DE{d(2)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(4)} items of {d(8)}", lambda: f"{n} rows", lambda: f"page {n}", lambda: f"No. {n}", lambda: f"x{n}", lambda: f"{n}", lambda: f"{n} of {n + 9}", lambda: f"${n}.{d(2)}", lambda: f"{n} EUR", lambda: f"{self.word(1, 2)}:{self.word(1, 1)}@{n % 9}", lambda: f"({self.word(1, 2)}:{self.word(1, 1)}@{n % 9})", lambda: f"{d(10)} ns", lambda: f"0x{d(6)}",
+                lambda: f"order {d(8)}", lambda: f"ticket {d(r.randint(3, 8))}", lambda: f"invoice {d(7)}", lambda: f"(build {d(8)}.{n})", lambda: f"build {d(8)}", lambda: f"({d(r.randint(2, 9))})", lambda: f"rev {d(5)}", lambda: f"doc-{d(r.randint(3, 8))}", lambda: f"({r.choice(['doc', 'ref', 'job', 'run'])}-{d(r.randint(3, 8))})", lambda: f"part_{n}", lambda: f"({self.word(1, 1)}_{n})", lambda: f"v{n % 20}.{n % 17}.{n % 13}", lambda: f"({self.word(1, 1)}@v{n % 9}.{n % 7})", lambda: f"{r.choice('ABCJKR')}{r.choice('EOIU')}{r.choice('RSTX')}-{d(r.randint(3, 5))}", lambda: f"({r.choice('ABCJKR')}{r.choice('EOIU')}{r.choice('RSTX')}-{d(r.randint(3, 5))})", lambda: f"[{d(r.randint(2, 6))}]", lambda: f"{n}.{d(2)}", lambda: f"({n}.{d(2)})", lambda: f"{n}.{d(3)} ms", lambda: f"{n},{d(3)}", lambda: f"{n} %", lambda: f"port {d(4)}", lambda: f"10.{n % 256}.{n % 99}.{n % 7}", lambda: f"({n % 256}.0.2.{n % 99}:{d(4)})", lambda: f"192.168.{n % 9}.{n % 256}", lambda: f"20{d(2)}-0{n % 9 + 1}-1{n % 9}", lambda: f"(20{d(2)}-0{n % 9 + 1}-1{n % 9}T1{n % 9}:2{n % 9}:3{n % 9}Z)", lambda: f"1{n % 9}:2{n % 9}:0{n % 9}", lambda: f"{d(7)} bytes", lambda: f"({r.choice(['read', 'wrote', 'sent', 'got'])} {d(r.randint(5, 9))} bytes)", lambda: f"sha {''.join(r.choice('0123456789abcdef') for _ in range(r.choice([8, 16])))}", lambda: f"https://{self.word()}.example/{d(5)}", lambda: f"({n % 50}-{n % 50 + 3}-{n % 50 + 9}-{d(2)})", lambda: f"(lines {n % 50}-{n % 50 + 2}-{n % 50 + 9}-{n})", lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"DE{d(2)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(4)} items of {d(8)}", lambda: f"{n} rows", lambda: f"page {n}", lambda: f"No. {n}", lambda: f"x{n}", lambda: f"{n}", lambda: f"{n} of {n + 9}", lambda: f"${n}.{d(2)}", lambda: f"{n} EUR", lambda: f"{self.word(1, 2)}:{self.word(1, 1)}@{n % 9}", lambda: f"({self.word(1, 2)}:{self.word(1, 1)}@{n % 9})", lambda: f"{d(10)} ns", lambda: f"0x{d(6)}", lambda: self.hexes(8), lambda: f"({self.hexes(8)})", lambda: d(7) + r.choice('abcdef'), lambda: d(r.randint(5, 14)) + r.choice('abcdef'), lambda: self.hexes(r.choice([7, 12, 16])),
             ]
         )()
 
